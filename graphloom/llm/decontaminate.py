@@ -50,7 +50,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", te
     only while they have at most ``BROADCAST_ROWS`` rows, else both sides are dealt by shingle.
     """
     kept = without(df, ("n_words", "n_hit", "n_items", "items", "contaminated"))
-    docs = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = df.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in kept if c != text)).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     # Copies of a text are one document here. Two texts of one hash would only be offered each other's spans.
     docs = docs.withColumn("of", F.xxhash64("text"))
     windows = cut(windows_of(benchmark, item, item_text, window))
@@ -85,9 +85,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", te
         # Another form of the key, so that both sides are dealt anew and a text with very many copies can be split.
         keyed = docs.withColumn("k", F.bitwise_not("of"))
         judged = keyed.join(found.select(F.bitwise_not("of").alias("k"), "spans"), "k", "left")
-    judged = judged.select("row", words_of(F.col("text")).alias("words"), "spans")
-    held = judged.select("row", F.size("words").alias("n_words"), F.expr("filter(coalesce(spans, array()), s -> slice(words, s.start + 1, size(s.window)) = s.window)").alias("spans"))
+    judged = judged.select("row", "text", words_of(F.col("text")).alias("words"), "spans")
+    held = judged.select("row", "text", F.size("words").alias("n_words"), F.expr("filter(coalesce(spans, array()), s -> slice(words, s.start + 1, size(s.window)) = s.window)").alias("spans"))
     held = held.withColumn("spans", F.expr("array_sort(transform(spans, s -> named_struct('start', s.start, 'stop', s.start + size(s.window), 'items', s.items)))"))
     hit = "aggregate(spans, named_struct('n', 0L, 'upto', 0), (z, s) -> named_struct('n', z.n + greatest(0, s.stop - greatest(s.start, z.upto)), 'upto', greatest(z.upto, s.stop)), z -> z.n)"
-    out = held.select("row", F.col("n_words").cast("long").alias("n_words"), F.expr(hit).alias("n_hit"), F.expr("array_sort(array_distinct(flatten(transform(spans, s -> s.items))))").alias("items"))
-    return out.select("row.*", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    out = held.select("row", "text", F.col("n_words").cast("long").alias("n_words"), F.expr(hit).alias("n_hit"), F.expr("array_sort(array_distinct(flatten(transform(spans, s -> s.items))))").alias("items"))
+    return out.select(*((F.col("text") if c == text else F.col("row")[c]).alias(c) for c in kept), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))

@@ -40,6 +40,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(langid.learned_from(F.col("doc_id"))))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -52,6 +67,16 @@ def oracle_sql() -> dict[str, str]:
 WORDS = r"[w for w in regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if w <> '']"
 
 ORACLE: dict[str, str] = {
+    "op9_line_dedup": """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, text, i, array_to_string(ls[i:i + 2], chr(10)) AS win FROM (SELECT *, unnest(range(1, greatest(1, len(ls) - 2) + 1)) AS i FROM d)),
+f AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM f WHERE k > 1),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS p, unnest(ls) AS line FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS text FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(kept.text, '') AS text, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN kept USING (doc_id)
+""",
     "op6_decontamination": f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS.format("text")} AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format("text")} AS ws FROM benchmark),
