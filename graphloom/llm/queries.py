@@ -32,6 +32,14 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade_toxicity(docs, model).drop("text")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.simhash import near_duplicates
 
@@ -78,6 +86,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
