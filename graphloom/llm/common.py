@@ -22,11 +22,15 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; one of our own is set only where that is
     unset, as in tests on one machine.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def ascii_lower(text: Column) -> Column:
@@ -49,7 +53,3 @@ def without(df: DataFrame, names) -> list[str]:
     """Columns of ``df`` but those that an operator's own output replaces, whatever their case."""
     own = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in own]
-
-
-def tick(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -1,8 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
-Grades are ordered: 0 not toxic, 1 toxic and thinly spread, 2 toxic and dense. P(grade > j) = s(w.x - t_j) with one
+Grades are ordered: 0 not toxic, 1 toxic with few different marks, 2 toxic with many. P(grade > j) = s(w.x - t_j) with one
 weight vector for all thresholds t_0 <= t_1. The output is the expected grade, the probability of each grade and
-whether a text is toxic (P(grade > 0) at one half or more).
+whether a text is toxic (P(grade > 0) at ``TOXIC_AT`` or more).
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the model is fitted on, at most about: a sample by hash of their ids.
 SAMPLE_ROWS = 20_000
 #: Lengths of the word beginnings that are features; passes, step and shrinkage of the fit.
-PREFIXES, PASSES, STEP, SHRINK = (4, 6), 12, 0.5, 2e-5
+PREFIXES, PASSES, STEP, SHRINK = (3, 4, 5, 6), 600, 0.1, 0.01
+#: Features are kept whose likelihood ratio against the toxic label is so high (far beyond chance among a million).
+EVIDENCE = 28.0
 #: Words of which a worker remembers what they add; emptied when full, which changes no result.
 MEMO = 300_000
 GRADES = 3
+#: Probability of any toxic grade from which a text counts as toxic: one strong mark reaches it.
+TOXIC_AT = 0.35
 
 
 def features(text: str | None) -> dict[str, int]:
@@ -71,35 +75,52 @@ class Model:
         return [above[j] - above[j + 1] for j in range(len(above) - 1)]
 
 
+def evidence(rows: list[np.ndarray], bad: np.ndarray, n: int) -> np.ndarray:
+    """G squared of each feature's presence against the label."""
+    empty = np.zeros(0, np.int64)
+    in_bad = np.bincount(np.concatenate([empty, *(r for r, b in zip(rows, bad) if b)]), minlength=n).astype(float)
+    in_good = np.bincount(np.concatenate([empty, *(r for r, b in zip(rows, bad) if not b)]), minlength=n).astype(float)
+    whole, all_bad = float(len(rows)), float(bad.sum())
+    seen = in_bad + in_good
+    total = np.zeros(n)
+    for have, size, label in ((in_bad, seen, all_bad), (in_good, seen, whole - all_bad), (all_bad - in_bad, whole - seen, all_bad), (whole - all_bad - in_good, whole - seen, whole - all_bad)):
+        expected = size * label / max(whole, 1.0)
+        total += np.where(have > 0, have * np.log(np.maximum(have, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    return 2 * total
+
+
 def fit(names: list[list[str]], grades: np.ndarray, grades_n: int = GRADES) -> Model:
-    """Weights by AdaGrad on the likelihood of the grades; presence of a feature is its value."""
+    """Weights of the greatest penalised likelihood of the grades; presence of a feature is its value.
+
+    Features without clear evidence are left out: a long text has so many of them that their chance weights
+    would add up to more than the words that matter.
+    """
     index: dict[str, int] = {}
     rows = [np.array(sorted({index.setdefault(x, len(index)) for x in r}), dtype=np.int64) for r in names]
-    # Features of one text only teach nothing that carries over.
-    often = np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=len(index))
-    rows = [r[often[r] > 2] for r in rows]
-    w, g2 = np.zeros(len(index)), np.full(len(index), 1e-6)
-    t, t2 = np.linspace(2.0, 3.0, grades_n - 1), np.full(grades_n - 1, 1e-6)
-    order = np.random.default_rng(5)
-    for _ in range(PASSES):
-        for i in order.permutation(len(rows)):
-            r, y = rows[i], grades[i]
-            z = w[r].sum()
-            above = np.concatenate([[1.0], squash(z - t), [0.0]])
-            slope = above * (1 - above)
-            p = max(1e-9, above[y] - above[y + 1])
-            # d ln p / dz and d ln p / dt, from the two bounds of the grade.
-            dz = (slope[y] - slope[y + 1]) / p
-            dt = np.zeros(len(t))
-            if y > 0:
-                dt[y - 1] = -slope[y] / p
-            if y < len(t):
-                dt[y] = slope[y + 1] / p
-            g = dz - SHRINK * w[r]
-            g2[r] += g * g
-            w[r] += STEP * g / np.sqrt(g2[r]) / max(1.0, np.sqrt(len(r)) / 4)
-            t2 += dt * dt
-            t = np.maximum.accumulate(t + STEP * 0.2 * dt / np.sqrt(t2))
+    strong = evidence(rows, grades > 0, len(index)) >= EVIDENCE
+    rows = [r[strong[r]] for r in rows]
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at = np.concatenate([np.zeros(0, np.int64), *rows])
+    # Thresholds are kept in order as a first one and steps above it, whose logarithms are free.
+    free = np.concatenate([np.zeros(len(index)), [1.0], np.zeros(grades_n - 2)])
+    first, second = np.zeros_like(free), np.zeros_like(free)
+    here = np.arange(len(rows))
+    for step in range(1, PASSES + 1):
+        w, gaps = free[: len(index)], np.exp(free[len(index) + 1 :])
+        t = free[len(index)] + np.concatenate([[0.0], np.cumsum(gaps)])
+        z = np.bincount(of, w[at], minlength=len(rows))
+        above = np.concatenate([np.ones((len(rows), 1)), squash(z[:, None] - t), np.zeros((len(rows), 1))], axis=1)
+        slope = above * (1 - above)
+        p = np.maximum(1e-9, above[here, grades] - above[here, grades + 1])
+        upper, lower = slope[here, grades] / p, slope[here, grades + 1] / p
+        by_t = np.bincount(grades, -upper, minlength=grades_n + 1)[1:grades_n] + np.bincount(grades + 1, lower, minlength=grades_n + 1)[1:grades_n]
+        tails = np.cumsum(by_t[::-1])[::-1]
+        g = np.concatenate([np.bincount(at, (upper - lower)[of], minlength=len(index)) - SHRINK * w, [tails[0]], tails[1:] * gaps])
+        # Adam on the whole sample: every row counts in every step, so the order of rows does not matter.
+        first += 0.1 * (g - first)
+        second += 0.01 * (g * g - second)
+        free = free + STEP * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    w, t = free[: len(index)], free[len(index)] + np.concatenate([[0.0], np.cumsum(np.exp(free[len(index) + 1 :]))])
     keep = np.flatnonzero(np.abs(w) > 1e-4)
     back = list(index)
     return Model({back[k]: float(w[k]) for k in keep}, tuple(float(x) for x in t))
@@ -109,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
     """A model fitted on a sample by hash of about ``sample_rows`` of the labelled rows.
 
     Rows with a null id, text or label are left out; repeated rows count as often as they occur. A toxic row's
-    grade is 2 if the share of its words that mark toxic texts is above the toxic rows' median, else 1; marks
-    are words at least four times as common in toxic texts. Without toxic rows everything has grade 0.
+    grade is 2 if it has more different marks than the median toxic row, else 1; marks are features at least
+    four times as common in toxic texts. Without toxic rows everything has grade 0.
     """
     known = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("toxic")).where("id is not null and toxic is not null")
     share = min(1.0, sample_rows / max(1, known.count()))
@@ -133,8 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
             seen[b][x] = seen[b].get(x, 0) + 1
     n_bad, n_good = bad.sum(), max(1, (~bad).sum())
     marks = {x for x, n in seen[1].items() if n > 2 and n / n_bad > 4 * (seen[0].get(x, 0) + 0.5) / n_good}
-    density = np.array([sum(n for x, n in zip(r["names"], r["n"]) if x in marks) / max(1, sum(r["n"])) for r in got])
-    grades = np.where(bad, np.where(density > np.median(density[bad]), 2, 1), 0)
+    count = np.array([sum(x in marks for x in r["names"]) for r in got])
+    grades = np.where(bad, np.where(count > np.median(count[bad]), 2, 1), 0)
     return fit([r["names"] for r in got], grades)
 
 
@@ -155,6 +176,6 @@ def grade_toxicity(df: DataFrame, model: Model, *, text: str = "text") -> DataFr
             found = [shared.value.grades(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             severity = [sum(j * p for j, p in enumerate(f)) for f in found]
             p = [1.0 - f[0] for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(severity, pa.float64()), pa.array(p, pa.float64()), pa.array([x >= 0.5 for x in p], pa.bool_())], names=[*batch.schema.names[:-1], "severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(severity, pa.float64()), pa.array(p, pa.float64()), pa.array([x >= TOXIC_AT for x in p], pa.bool_())], names=[*batch.schema.names[:-1], "severity", "p_toxic", "toxic"])
 
     return source.mapInArrow(run, schema)
