@@ -19,10 +19,12 @@ def cover(cells: DataFrame) -> DataFrame:
     fold over them by descending stop keeps the cover.
     """
     gathered = cells.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("stop", "start", "frag", "score")), asc=False).alias("cells"))
-    kept = F.expr("""
-        aggregate(cells, named_struct('edge', 2147483647, 'out', slice(cells, 1, 0)),
-                  (z, c) -> if(c.stop <= z.edge, named_struct('edge', c.start, 'out', concat(z.out, array(c))), z), z -> z.out)""")
-    return gathered.select("sent_id", F.inline(kept)).select("sent_id", "start", "stop", "frag", "score")
+    # The fold writes one flag for each cell; flags are copied as bytes, which an array of cells would not be.
+    flags = F.expr("""
+        aggregate(cells, named_struct('edge', 2147483647, 'flags', ''),
+                  (z, c) -> if(c.stop <= z.edge, named_struct('edge', c.start, 'flags', concat(z.flags, '1')), named_struct('edge', z.edge, 'flags', concat(z.flags, '0'))), z -> z.flags)""")
+    kept = gathered.withColumn("flags", flags).select("sent_id", F.inline(F.expr("filter(cells, (c, i) -> substring(flags, i + 1, 1) = '1')")))
+    return kept.select("sent_id", "start", "stop", "frag", "score")
 
 
 def oracle_candidates(candidates: DataFrame, gold: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def leave_one_out(spark, sf):
     return dictionary.leave_one_out(dictionary.phrase_concept_counts(I.pairs(spark, sf), 10**9), F.lit(100)).select("phrase", "frag")
 
 
-@query("SELECT sent_id, start, phrase, frag FROM (SELECT sent_id, CAST(unnest(range(len(words))) AS INTEGER) AS start, words FROM sent) JOIN (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') AS phrase, string_split(text, ' ')[1] AS frag FROM benchmark WHERE len(string_split(text, ' ')) > 1) ON array_to_string(words[start + 1:start + 2], ' ') = phrase", "sent")
+@query("n AS (SELECT sent_id, idx AS start, tok || ' ' || lead(tok) OVER (PARTITION BY sent_id ORDER BY idx) AS phrase FROM tok) SELECT sent_id, start, phrase, frag FROM n JOIN (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') AS phrase, string_split(text, ' ')[1] AS frag FROM benchmark WHERE len(string_split(text, ' ')) > 1) USING (phrase)", "sent", "tok")
 def dictionary_match(spark, sf):
     b = I.read(spark, sf, "benchmark").select(F.split("text", " ").alias("w")).where("size(w) > 1")
     return dictionary.match_dictionary(I.sentences(spark, sf), b.select(F.slice("w", 1, 2).alias("words"), F.col("w")[0].alias("frag")).distinct())
@@ -371,12 +371,12 @@ def stage1_oracle(spark, sf):
 COSTS = ", j AS (SELECT cand.*, gold.frag AS g FROM cand LEFT JOIN gold USING (sent_id, start, stop)), w AS (SELECT *, max(CASE WHEN g = frag THEN 1 ELSE 0 END) OVER (PARTITION BY sent_id, start, stop) AS ok FROM j)"
 
 
-@query(GOLD + COSTS + " SELECT sent_id, start, stop, frag, CASE WHEN g = frag THEN -0.75 WHEN g IS NULL THEN 0.25 WHEN ok = 1 THEN 0.25 ELSE -0.75 END AS cost FROM w", "ev", "cand")
+@query(GOLD + COSTS + " SELECT sent_id, start, stop, frag, CASE WHEN g = frag THEN -0.75::DOUBLE WHEN g IS NULL THEN 0.25::DOUBLE WHEN ok = 1 THEN 0.25::DOUBLE ELSE -0.75::DOUBLE END AS cost FROM w", "ev", "cand")
 def span_cost(spark, sf):
     return decoding.span_cost(I.span_candidates(spark, sf), gold_spans(spark, sf), 0.25).select("sent_id", "start", "stop", "frag", "cost")
 
 
-@query(GOLD + COSTS + " SELECT sent_id, start, stop, frag, CASE WHEN g = frag THEN -0.75 ELSE 0.25 END AS cost FROM w", "ev", "cand")
+@query(GOLD + COSTS + " SELECT sent_id, start, stop, frag, CASE WHEN g = frag THEN -0.75::DOUBLE ELSE 0.25::DOUBLE END AS cost FROM w", "ev", "cand")
 def span_cost_simple(spark, sf):
     return decoding.span_cost(I.span_candidates(spark, sf), gold_spans(spark, sf), 0.25, kind=2).select("sent_id", "start", "stop", "frag", "cost")
 
