@@ -24,6 +24,8 @@ SAMPLE_ROWS = 20_000
 PREFIXES, PASSES, STEP, SHRINK = (3, 4, 5, 6), 600, 0.1, 0.01
 #: Features are kept whose likelihood ratio against the toxic label is so high (far beyond chance among a million).
 EVIDENCE = 28.0
+#: Features in a model at most: the most frequent ones of those with evidence.
+FEATURES = 20_000
 #: Words of which a worker remembers what they add; emptied when full, which changes no result.
 MEMO = 300_000
 GRADES = 3
@@ -75,30 +77,24 @@ class Model:
         return [above[j] - above[j + 1] for j in range(len(above) - 1)]
 
 
-def evidence(rows: list[np.ndarray], bad: np.ndarray, n: int) -> np.ndarray:
-    """G squared of each feature's presence against the label."""
-    empty = np.zeros(0, np.int64)
-    in_bad = np.bincount(np.concatenate([empty, *(r for r, b in zip(rows, bad) if b)]), minlength=n).astype(float)
-    in_good = np.bincount(np.concatenate([empty, *(r for r, b in zip(rows, bad) if not b)]), minlength=n).astype(float)
-    whole, all_bad = float(len(rows)), float(bad.sum())
-    seen = in_bad + in_good
-    total = np.zeros(n)
-    for have, size, label in ((in_bad, seen, all_bad), (in_good, seen, whole - all_bad), (all_bad - in_bad, whole - seen, all_bad), (whole - all_bad - in_good, whole - seen, whole - all_bad)):
-        expected = size * label / max(whole, 1.0)
-        total += np.where(have > 0, have * np.log(np.maximum(have, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
-    return 2 * total
+def evidence(bad: str, seen: str, all_bad: int, rows: int) -> str:
+    """SQL for G squared of a feature's presence (``bad`` toxic rows of ``seen``) against the label."""
 
+    def term(have: str, expected: str) -> str:
+        return f"if({have} > 0, {have} * ln({have} / ({expected})), 0D)"
 
-def fit(names: list[list[str]], grades: np.ndarray, grades_n: int = GRADES) -> Model:
-    """Weights of the greatest penalised likelihood of the grades; presence of a feature is its value.
+    good, all_good = f"({seen} - {bad})", rows - all_bad
+    without = f"({rows}D - {seen})"
+    return "2 * (" + " + ".join([
+        term(f"double({bad})", f"{seen} * {all_bad}D / {rows}"), term(f"double{good}", f"{seen} * {all_good}D / {rows}"),
+        term(f"({all_bad}D - {bad})", f"{without} * {all_bad} / {rows}"), term(f"({all_good}D - {good})", f"{without} * {all_good} / {rows}"),
+    ]) + ")"
 
-    Features without clear evidence are left out: a long text has so many of them that their chance weights
-    would add up to more than the words that matter.
-    """
+
+def fit(names: list[list[str]], grades: np.ndarray, times: np.ndarray, grades_n: int = GRADES) -> Model:
+    """Weights of the greatest penalised likelihood of the grades; presence of a feature is its value."""
     index: dict[str, int] = {}
     rows = [np.array(sorted({index.setdefault(x, len(index)) for x in r}), dtype=np.int64) for r in names]
-    strong = evidence(rows, grades > 0, len(index)) >= EVIDENCE
-    rows = [r[strong[r]] for r in rows]
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.concatenate([np.zeros(0, np.int64), *rows])
     # Thresholds are kept in order as a first one and steps above it, whose logarithms are free.
@@ -112,7 +108,7 @@ def fit(names: list[list[str]], grades: np.ndarray, grades_n: int = GRADES) -> M
         above = np.concatenate([np.ones((len(rows), 1)), squash(z[:, None] - t), np.zeros((len(rows), 1))], axis=1)
         slope = above * (1 - above)
         p = np.maximum(1e-9, above[here, grades] - above[here, grades + 1])
-        upper, lower = slope[here, grades] / p, slope[here, grades + 1] / p
+        upper, lower = times * slope[here, grades] / p, times * slope[here, grades + 1] / p
         by_t = np.bincount(grades, -upper, minlength=grades_n + 1)[1:grades_n] + np.bincount(grades + 1, lower, minlength=grades_n + 1)[1:grades_n]
         tails = np.cumsum(by_t[::-1])[::-1]
         g = np.concatenate([np.bincount(at, (upper - lower)[of], minlength=len(index)) - SHRINK * w, [tails[0]], tails[1:] * gaps])
@@ -130,33 +126,56 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
     """A model fitted on a sample by hash of about ``sample_rows`` of the labelled rows.
 
     Rows with a null id, text or label are left out; repeated rows count as often as they occur. A toxic row's
-    grade is 2 if it has more different marks than the median toxic row, else 1; marks are features at least
-    four times as common in toxic texts. Without toxic rows everything has grade 0.
+    grade is 2 if it has more different marks than the median toxic row, else 1; marks are features with
+    evidence that are commoner in toxic texts. Without toxic rows everything has grade 0.
     """
     known = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("toxic")).where("id is not null and toxic is not null")
     share = min(1.0, sample_rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(known, "id").where("text is not null")
 
-    def read(batches):
+    rows = rows.select("text", "toxic")
+    n_all, n_bad = rows.agg(F.count("*"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0))).first()  # two numbers
+    if not n_bad or n_bad == n_all:
+        return Model({}, (10.0, 20.0))
+
+    def count(batches):
+        held: dict[str, list[int]] = {}
+
+        def out():
+            names = list(held)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([held[x][0] for x in names], pa.int64()), pa.array([held[x][1] for x in names], pa.int64())], names=["name", "bad", "seen"])
+            held.clear()
+
         for batch in batches:
-            found = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["toxic", "names", "n"])
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for x in features(t):
+                    n = held.setdefault(x, [0, 0])
+                    n[0] += y > 0
+                    n[1] += 1
+                if len(held) > 200_000:
+                    yield from out()
+        yield from out()
+
+    # Features without clear evidence are left out: a long text has so many of them that their chance weights
+    # would add up to more than the words that matter. They are counted and chosen where the rows are.
+    counted = rows.mapInArrow(count, "name string, bad long, seen long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
+    strong = counted.where(F.expr(evidence("bad", "seen", n_bad, n_all)) >= EVIDENCE).orderBy(F.desc("seen"), "name").limit(FEATURES).collect()
+    kept = {r["name"]: r["bad"] * n_all > r["seen"] * n_bad for r in strong}
+    shared = docs.sparkSession.sparkContext.broadcast(set(kept))
 
-    got = rows.select("text", "toxic").mapInArrow(read, "toxic int, names array<string>, n array<int>").collect()
-    got = sorted(got, key=lambda r: (r["toxic"], r["names"], r["n"]))
-    bad = np.array([r["toxic"] > 0 for r in got], dtype=bool)
-    if not bad.any():
-        return Model({}, (10.0, 20.0))
-    seen: list[dict[str, int]] = [{}, {}]
-    for r, b in zip(got, bad.astype(int).tolist()):
-        for x in r["names"]:
-            seen[b][x] = seen[b].get(x, 0) + 1
-    n_bad, n_good = bad.sum(), max(1, (~bad).sum())
-    marks = {x for x, n in seen[1].items() if n > 2 and n / n_bad > 4 * (seen[0].get(x, 0) + 0.5) / n_good}
-    count = np.array([sum(x in marks for x in r["names"]) for r in got])
-    grades = np.where(bad, np.where(count > np.median(count[bad]), 2, 1), 0)
-    return fit([r["names"] for r in got], grades)
+    def read(batches):
+        for batch in batches:
+            found = [sorted(shared.value.intersection(features(t))) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["toxic", "names"])
+
+    got = rows.mapInArrow(read, "toxic int, names array<string>").groupBy("toxic", "names").agg(F.count("*").alias("n")).collect()
+    got = sorted(((r["toxic"] > 0, list(r["names"]), r["n"]) for r in got), key=lambda r: (r[0], r[1]))
+    names, times = [r[1] for r in got], np.array([r[2] for r in got], dtype=float)
+    bad = np.array([r[0] for r in got], dtype=bool)
+    marks = np.array([sum(kept[x] for x in r) for r in names])
+    grades = np.where(bad, np.where(marks > np.median(np.repeat(marks[bad], times[bad].astype(int))), 2, 1), 0)
+    return fit(names, grades, times)
 
 
 def grade_toxicity(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
