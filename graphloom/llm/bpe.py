@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from graphloom.llm.common import without
 
 #: Entries of a worker's memo of short pieces; it is emptied when full, which changes no result.
-MEMO = 300_000
+MEMO = 150_000
 #: Parts without white space that are longer, in characters, go through the transducer step by step.
 LONG = 256
 #: Characters that are normalised and split at a time.
