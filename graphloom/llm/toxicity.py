@@ -132,6 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
     known = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("toxic")).where("id is not null and toxic is not null")
     share = min(1.0, sample_rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    # The sample is bounded, so it goes to the documents; one id with very many labels would break that bound.
+    if known.limit(4 * sample_rows + 1).count() <= 4 * sample_rows:
+        known = F.broadcast(known)
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(known, "id").where("text is not null")
 
     rows = rows.select("text", "toxic")
