@@ -539,7 +539,7 @@ def span_format(spark, sf):
     return spans(spark, sf).select("sent_id", "span_id", graphs.format_span(F.col("start"), F.col("stop"), F.col("node_ids"), F.col("coref")).alias("span"))
 
 
-@query("WITH " + SPANS + ", l AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY span_id) - 1 AS k FROM sp WHERE start < stop) SELECT sent_id, CAST(k AS INTEGER) AS span_id, start, stop, array_to_string(list_sort(node_ids), '+') AS ids, coref, false AS bad FROM l UNION ALL SELECT sent_id, CAST(count(*) AS INTEGER), NULL, NULL, '', false, true FROM l GROUP BY sent_id")
+@query("WITH " + SPANS + ", l AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY span_id, CASE WHEN coref THEN '*' ELSE '' END || start || '-' || stop || '|' || array_to_string(list_sort(node_ids), '+')) - 1 AS k FROM sp WHERE start < stop) SELECT sent_id, CAST(k AS INTEGER) AS span_id, start, stop, array_to_string(list_sort(node_ids), '+') AS ids, coref, false AS bad FROM l UNION ALL SELECT sent_id, CAST(count(*) AS INTEGER), NULL, NULL, '', false, true FROM l GROUP BY sent_id")
 def span_load(spark, sf):
     s = spans(spark, sf).where("start < stop")
     text = s.groupBy("sent_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span_id", graphs.format_span(F.col("start"), F.col("stop"), F.col("node_ids"), F.col("coref")).alias("x")))), lambda z: z["x"]), " ").alias("t"))
@@ -645,22 +645,22 @@ def sparse_dot(spark, sf):
     return algebra.dot(x, w, "sent_id").select("sent_id", F.round("score", 4).alias("score"))
 
 
-BOTH = "SELECT feature, label, round(sum(value), 6) AS value FROM (SELECT * FROM va UNION ALL SELECT feature, label, {} * value FROM vb) GROUP BY feature, label HAVING sum(value) <> 0"
+BOTH = "SELECT feature, label, round(sum(value), 6) + 0 AS value FROM (SELECT * FROM va UNION ALL SELECT feature, label, {} * value FROM vb) GROUP BY feature, label HAVING sum(value) <> 0"
 
 
 @query(BOTH.format("1"), "va", "vb")
 def vector_add(spark, sf):
-    return algebra.add(I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b")).withColumn("value", F.round("value", 6))
+    return algebra.add(I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b")).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query(BOTH.format("-0.5"), "va", "vb")
 def vector_subtract(spark, sf):
-    return algebra.add(I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b"), -0.5).withColumn("value", F.round("value", 6))
+    return algebra.add(I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b"), -0.5).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("SELECT va.feature, va.label, round(va.value / vb.value, 6) AS value FROM va JOIN vb ON va.feature = vb.feature AND va.label IS NOT DISTINCT FROM vb.label WHERE vb.value <> 0", "va", "vb")
+@query("SELECT va.feature, va.label, round(va.value / vb.value, 6) + 0 AS value FROM va JOIN vb ON va.feature = vb.feature AND va.label IS NOT DISTINCT FROM vb.label WHERE vb.value <> 0", "va", "vb")
 def vector_divide(spark, sf):
-    return algebra.divide(I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b")).withColumn("value", F.round("value", 6))
+    return algebra.divide(I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b")).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query("SELECT * FROM va WHERE feature IN (SELECT feature FROM vb WHERE label = 'R' AND value > 0.5)", "va", "vb")
@@ -671,23 +671,23 @@ def vector_filter(spark, sf):
 ADA = "j AS (SELECT coalesce(va.feature, vb.feature) AS feature, coalesce(va.label, vb.label) AS label, coalesce(va.value, 0) AS w, vb.value AS g FROM va FULL JOIN (SELECT * FROM vb WHERE value <> 0) vb ON va.feature = vb.feature AND va.label IS NOT DISTINCT FROM vb.label), k AS (SELECT feature, label, w, g + 0.01 * w AS g FROM j)"
 
 
-@query(ADA + " SELECT feature, label, round(CASE WHEN g IS NULL OR g = 0 THEN w ELSE w - 0.5 * g / sqrt(g * g) END, 6) AS value FROM k", "va", "vb")
+@query(ADA + " SELECT feature, label, round(CASE WHEN g IS NULL OR g = 0 THEN w ELSE w - 0.5 * g / sqrt(g * g) END, 6) + 0 AS value FROM k", "va", "vb")
 def adagrad_step(spark, sf):
     w, g = I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b")
-    return algebra.adagrad(w, w.where("false"), g, 0.5, 0.01)[0].withColumn("value", F.round("value", 6))
+    return algebra.adagrad(w, w.where("false"), g, 0.5, 0.01)[0].withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("SELECT feature, label, round(sum(value) * (1 - 0.1 * 0.2), 6) AS value FROM (SELECT * FROM va UNION ALL SELECT feature, label, -0.1 * value FROM vb) GROUP BY feature, label HAVING sum(value) <> 0", "va", "vb")
+@query("SELECT feature, label, round(sum(value) * (1 - 0.1 * 0.2), 6) + 0 AS value FROM (SELECT * FROM va UNION ALL SELECT feature, label, -0.1 * value FROM vb) GROUP BY feature, label HAVING sum(value) <> 0", "va", "vb")
 def sgd_step(spark, sf):
-    return algebra.sgd(I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b"), 0.1, 0.2).withColumn("value", F.round("value", 6))
+    return algebra.sgd(I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b"), 0.1, 0.2).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("SELECT feature, label, round(sum(value) / 2, 6) AS value FROM (SELECT * FROM va UNION ALL SELECT * FROM vb) GROUP BY feature, label", "va", "vb")
+@query("SELECT feature, label, round(sum(value) / 2, 6) + 0 AS value FROM (SELECT * FROM va UNION ALL SELECT * FROM vb) GROUP BY feature, label", "va", "vb")
 def avg_weights(spark, sf):
-    return algebra.average([I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b")], True).withColumn("value", F.round("value", 6))
+    return algebra.average([I.vectors(spark, sf, "a"), I.vectors(spark, sf, "b")], True).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, 2.0 * p_size AS b, 1.0::DOUBLE AS c FROM part")
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, CAST(2 * p_size AS DOUBLE) AS b, 1.0::DOUBLE AS c FROM part")
 def map_merge(spark, sf):
     s = F.col("p_size").cast("double")
     m = algebra.merge_maps(F.create_map(F.lit("a"), s, F.lit("b"), s), F.create_map(F.lit("b"), s, F.lit("c"), F.lit(1.0)))
