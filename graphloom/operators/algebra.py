@@ -21,8 +21,8 @@ def dot(features: DataFrame, weights: DataFrame, id: str) -> DataFrame:
 
 def divide(a: DataFrame, b: DataFrame) -> DataFrame:
     """a / b where b has an entry that is not zero."""
-    other = b.where("value <> 0").select(*KEY, F.col("value").alias("by"))
-    return a.join(other, (a.feature.eqNullSafe(other.feature)) & (a.label.eqNullSafe(other.label))).select(a.feature, a.label, (a.value / other.by).alias("value"))
+    other = b.where("value <> 0").select(F.col("feature").alias("of"), F.col("label").alias("ol"), F.col("value").alias("by"))
+    return a.join(other, F.expr("feature = of and label <=> ol")).select(*KEY, (F.col("value") / F.col("by")).alias("value"))
 
 
 def keep(a: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -44,11 +44,13 @@ def one_line(a: DataFrame, id: str) -> DataFrame:
 
 def adagrad(weights: DataFrame, squares: DataFrame, gradient: DataFrame, step: float, l2: float = 0.0, n: int = 1) -> tuple[DataFrame, DataFrame]:
     """(weights, squares) after one step: G += g^2, w -= step * g / sqrt(G), with L2 on what the gradient touches."""
-    w, s = weights.select(*KEY, F.col("value").alias("w")), squares.select(*KEY, F.col("value").alias("s"))
-    g = gradient.where("value <> 0").select(*KEY, F.col("value").alias("g"))
-    same = lambda x, y: x.feature.eqNullSafe(y.feature) & x.label.eqNullSafe(y.label)
-    j = g.join(w, same(g, w), "full").select(F.coalesce(g.feature, w.feature).alias("feature"), F.coalesce(g.label, w.label).alias("label"), F.col("g"), F.coalesce("w", F.lit(0.0)).alias("w"))
-    j = j.join(s, same(j, s), "left").select(j.feature, j.label, "g", "w", F.coalesce("s", F.lit(0.0)).alias("s"))
+    w = weights.select(F.col("feature").alias("wf"), F.col("label").alias("wl"), F.col("value").alias("w"))
+    s = squares.select(F.col("feature").alias("sf"), F.col("label").alias("sl"), F.col("value").alias("s"))
+    g = gradient.where("value <> 0").select(F.col("feature").alias("gf"), F.col("label").alias("gl"), F.col("value").alias("g"))
+    j = g.join(w, F.expr("gf = wf and gl <=> wl"), "full")
+    # A null label is a label of its own: the side that is there is told by its feature.
+    j = j.select(F.coalesce("gf", "wf").alias("feature"), F.when(F.col("gf").isNotNull(), F.col("gl")).otherwise(F.col("wl")).alias("label"), "g", F.coalesce("w", F.lit(0.0)).alias("w"))
+    j = j.join(s, F.expr("feature = sf and label <=> sl"), "left").select(*KEY, "g", "w", F.coalesce("s", F.lit(0.0)).alias("s"))
     full = F.col("g") + l2 / n * F.col("w")
     j = j.withColumn("g", F.when(F.col("g").isNotNull(), full)).withColumn("s", F.col("s") + F.coalesce(F.col("g") * F.col("g"), F.lit(0.0)))
     new = F.when(F.col("g").isNull() | (F.col("s") == 0), F.col("w")).otherwise(F.col("w") - step * F.col("g") / F.sqrt("s"))
