@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import without
+from graphloom.llm.common import without, words_of
 
 WINDOW = 3
 
 
-def dedup_lines(df: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_lines(df: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = WINDOW, words: int | None = None) -> DataFrame:
     """``df`` with repeated passages cut out of ``text``, and ``n_lines`` and ``n_removed``.
 
     Lines are split at line feeds. A window is ``window`` consecutive lines; a text of fewer lines is one window.
@@ -24,24 +24,33 @@ def dedup_lines(df: DataFrame, *, id: str = "doc_id", text: str = "text", window
     becomes an empty one and its row stays. Repeated rows (same id and text) are one document and are treated alike. Null
     texts stay null, with no lines; an empty text has one empty line. Columns ``n_lines`` and ``n_removed``
     of the input are replaced. Windows are compared by two 64-bit hashes of different seeds.
+    With ``words``, each run of fewer lines that holds more words than that is a window as well, wherever it stands.
     """
     kept = without(df, ("n_lines", "n_removed"))
     docs = df.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in kept if c != text)).alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     docs = docs.withColumn("of", F.xxhash64("text"))
     lines = docs.where("text is not null").select("id", "of", F.split("text", "\n").alias("lines"))
-    hashed = lines.select("id", "of", F.size("lines").alias("n"), F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("h"))
-    get = ", ".join(f"get(h, i + {k}).{{0}}" for k in range(window))
-    at = F.expr(f"inline(transform(sequence(0, greatest(0, n - {window})), i -> named_struct('at', i, 'a', xxhash64({get.format('a')}), 'b', xxhash64(2, {get.format('b')}))))")
+    hashed = lines.select("id", "of", F.size("lines").alias("n"), F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), *([] if words is None else [F.size(words_of(x)).alias("w")]))).alias("h"))
+
+    def windows(size: int, starts: str) -> str:
+        get = ", ".join(f"get(h, i + {k}).{{0}}" for k in range(size))
+        return f"transform({starts}, i -> named_struct('at', i, 'len', {size}, 'a', xxhash64({get.format('a')}), 'b', xxhash64(2, {get.format('b')})))"
+
+    every = [windows(window, f"sequence(0, greatest(0, n - {window}))")]
+    for size in range(1, window) if words is not None else ():
+        held = " + ".join(f"get(h, i + {k}).w" for k in range(size))
+        every.append(windows(size, f"filter(sequence(0, greatest(0, n - {size})), i -> {held} > {words})"))
+    at = F.expr(f"inline(concat({', '.join(every)}))")
     places = hashed.select("id", "of", at)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "of", "at")
     repeated = places.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     # Joined on another form of the hash, so that both sides are dealt anew and a very common window can be split.
     later = places.withColumn("k", F.col("a").bitwiseXOR(F.col("b"))).join(repeated.select(F.col("a").bitwiseXOR(F.col("b")).alias("k"), F.col("b").alias("b2"), "first"), "k")
     later = later.where((F.col("b") == F.col("b2")) & (order != F.col("first")))
-    marked = later.groupBy("id", "of").agg(F.collect_set("at").alias("at"))
+    marked = later.groupBy("id", "of").agg(F.collect_set(F.struct("at", "len")).alias("at"))
     marked = marked.select(F.xxhash64("id", "of").alias("k"), F.col("id").alias("id2"), F.col("of").alias("of2"), "at")
     found = docs.withColumn("k", F.xxhash64("id", "of")).alias("d").join(marked.alias("m"), F.expr("d.k = m.k and d.of = m.of2 and d.id <=> m.id2"), "left").select("d.row", "d.text", "m.at")
-    found = found.select("row", "text", F.split("text", "\n").alias("lines"), F.expr(f"flatten(transform(at, i -> sequence(i, i + {window - 1})))").alias("gone"))
+    found = found.select("row", "text", F.split("text", "\n").alias("lines"), F.expr("flatten(transform(at, x -> sequence(x.at, x.at + x.len - 1)))").alias("gone"))
     found = found.withColumn("kept", F.when(F.col("gone").isNotNull(), F.expr("array_except(sequence(0, size(lines) - 1), gone)")))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
     new = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.col("lines")[i]), "\n"))
