@@ -721,3 +721,14 @@ def smatch_pool(spark, sf):
 
 
 ORACLE["smatch_pool"] = "WITH " + ORACLE["smatch_pool"]
+
+
+@query("a AS (SELECT l_orderkey // 2 AS pair_id, l_linenumber AS node, lower(l_returnflag) AS v FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT l_orderkey // 2 AS pair_id, l_linenumber AS node, lower(l_returnflag) AS v FROM lineitem WHERE l_orderkey % 2 = 1) SELECT a.pair_id, a.node AS a, b.node AS b, count(*) AS weight FROM a JOIN b ON a.pair_id = b.pair_id AND a.v = b.v GROUP BY ALL")
+def smatch_pool_all(spark, sf):
+    """As ``smatch_pool``, of all orders."""
+    li = I.read(spark, sf, "lineitem")
+    g = li.select(F.floor(F.col("l_orderkey") / 2).alias("pair_id"), F.lit("instance").alias("kind"), F.col("l_linenumber").alias("node"), F.lit("instance").alias("name"), F.col("l_returnflag").alias("value"), (F.col("l_orderkey") % 2).alias("m"))
+    return evaluation.overlap_pool(g.where("m = 0"), g.where("m = 1"))
+
+
+ORACLE["smatch_pool_all"] = "WITH " + ORACLE["smatch_pool_all"]
