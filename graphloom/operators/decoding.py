@@ -65,7 +65,7 @@ def pair_scores(nodes: DataFrame, labels: DataFrame, features: DataFrame, weight
     plain = features.join(weights.where("label is null").select("feature", "value"), "feature").groupBy("sent_id", "src", "dst").agg(F.sum(F.col("u") * F.col("value")).alias("s"))
     by_label = features.join(weights.where("label is not null"), "feature").groupBy("sent_id", "src", "dst", "label").agg(F.sum(F.col("c") * F.col("value")).alias("t"))
     a, b = nodes.select("sent_id", F.col("node_id").alias("src")), nodes.select("sent_id", F.col("node_id").alias("dst"))
-    pairs = a.join(b, "sent_id").where("src <> dst").crossJoin(F.broadcast(labels.select("label").limit(10_000)))  # a label set is a short list
+    pairs = a.join(b, "sent_id").where("src <> dst").crossJoin(labels.select("label"))
     return pairs.join(plain, ["sent_id", "src", "dst"], "left").join(by_label, ["sent_id", "src", "dst", "label"], "left").select("sent_id", "src", "dst", "label", (F.coalesce("s", F.lit(0.0)) + F.coalesce("t", F.lit(0.0))).alias("score"))
 
 

@@ -610,11 +610,20 @@ def lca_path(spark, sf):
     return a.join(b, "sent_id").where("x < y").select("sent_id", "x", "y", graphs.common_suffix(F.col("px"), F.col("py")).alias("shared"))
 
 
+@query(UP + ", z AS (SELECT sent_id, node, list_reverse(path) AS p FROM up), f AS (SELECT sent_id, min(node) AS x FROM z GROUP BY sent_id) SELECT f.sent_id, f.x, b.node AS y, CAST(len([i for i in range(1, least(len(a.p), len(b.p)) + 1) if a.p[1:i] = b.p[1:i]]) AS INTEGER) AS shared FROM f JOIN z a ON a.sent_id = f.sent_id AND a.node = f.x JOIN z b ON b.sent_id = f.sent_id AND b.node <> f.x", "tn", "te")
+def lca_path_all(spark, sf):
+    """As ``lca_path``, of every node against the least node of its tree."""
+    p = root_paths(spark, sf).select("sent_id", "node", "path")
+    least = p.groupBy("sent_id").agg(F.min(F.struct("node", "path")).alias("a"))
+    pairs = p.join(least, "sent_id").where("node != a.node")
+    return pairs.select("sent_id", F.col("a.node").alias("x"), F.col("node").alias("y"), graphs.common_suffix(F.col("a.path"), F.col("path")).alias("shared"))
+
+
 @query("w AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a FROM part), v AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS b FROM part) SELECT a, b, CAST(len([i for i in range(1, least(length(a), length(b)) + 1) if left(a, i) = left(b, i)]) AS INTEGER) AS lcp FROM w, v")
 def prefix_match(spark, sf):
     p = I.read(spark, sf, "part").select(F.split("p_name", " ").alias("w"))
     a, b = p.select(F.col("w")[0].alias("a")).distinct(), p.select(F.col("w")[1].alias("b")).distinct()
-    return a.crossJoin(F.broadcast(b.limit(10_000))).select("a", "b", graphs.common_prefix_length(F.col("a"), F.col("b")).alias("lcp"))
+    return a.crossJoin(b).select("a", "b", graphs.common_prefix_length(F.col("a"), F.col("b")).alias("lcp"))
 
 
 ORACLE["prefix_match"] = "WITH " + ORACLE["prefix_match"]

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from graphloom.functions import edgedecode, penman
+from graphloom.operators import decoding
 from graphloom.plans import queries, rowsonly
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +28,17 @@ def test_graphs_and_overlap_of_all_orders(spark):
 
 def test_pool_of_all_orders(spark):
     assert sorted(tuple(r) for r in queries.smatch_pool_all(spark, SF).collect()) == twin("smatch_pool_all")
+
+
+def test_common_paths_of_all_nodes(spark):
+    got = sorted(tuple(r) for r in queries.lca_path_all(spark, SF).collect())
+    assert got == twin("lca_path_all")
+    assert len(got) == queries.root_paths(spark, SF).count() - 5
+
+
+def test_more_labels_than_ten_thousand(spark):
+    nodes = spark.createDataFrame([(1, "a"), (1, "b")], "sent_id long, node_id string")
+    labels = spark.range(10_001).selectExpr("cast(id as string) as label")
+    features = spark.createDataFrame([], "sent_id long, src string, dst string, feature string, u double, c double")
+    weights = spark.createDataFrame([], "feature string, label string, value double")
+    assert decoding.pair_scores(nodes, labels, features, weights).count() == 2 * 10_001
