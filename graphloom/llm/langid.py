@@ -19,15 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import without
+from graphloom.llm.common import cut, without
 
 #: Symbols, as a power of two, and symbols in an n-gram of the highest order.
 BITS, ORDER = 6, 4
 #: N-grams of all languages that a model may hold before it falls back to the next lower order. At order
 #: 3 a language has 2^18 keys at most, whatever the corpus.
 LARGEST = 24_000_000
-#: Rows that the rejection is calibrated on, about: a sample by hash of the training rows.
-CALIBRATION_ROWS = 20_000
 #: A text is rejected beyond so many times the widest deviation seen in calibration, plus so many units.
 MARGIN_TIMES, MARGIN_MORE = 3.0, 6.0
 #: And only if its cross-entropy is above its language's mean by so many nats a symbol: texts that a model has
@@ -222,7 +220,7 @@ class Model:
             if not sizes[i]:
                 out.append((UNKNOWN, 0.0, True))
                 continue
-            mean, limit = self.limits.get(names[b], (0.0, math.inf))
+            mean, limit = self.limits[names[b]]
             out.append((names[b], float(score[i]), bool(entropy[i, b] - mean > MARGIN_NATS and (entropy[i, b] - mean) * math.sqrt(sizes[i]) > limit)))
         return out
 
@@ -254,10 +252,10 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", order: int =
 
 
 def calibrate(model: Model, rows: DataFrame) -> dict[str, tuple[float, float]]:
-    """For each language, its texts' mean cross-entropy and the greatest scaled deviation that is let pass."""
-    total = rows.count()
-    share = min(1.0, CALIBRATION_ROWS / max(1, total))
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    """For each language, the mean cross-entropy of all its texts and the greatest scaled deviation that is let pass.
+
+    Every language of a trained model has a text with letters and so a limit.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -271,7 +269,7 @@ def calibrate(model: Model, rows: DataFrame) -> dict[str, tuple[float, float]]:
             own = np.array([place[x] for x in langs], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(entropy[np.arange(len(own)), own]), pa.array(sizes)], names=["lang", "e", "size"])
 
-    seen = some.select("text", "lang").mapInArrow(run, "lang string, e double, size double").where("size > 0")
+    seen = cut(rows.select("text", "lang").mapInArrow(run, "lang string, e double, size double").where("size > 0"))
     mean = seen.groupBy("lang").agg((F.sum(F.col("e") * F.col("size")) / F.sum("size")).alias("mean"))
     means = {r["lang"]: r["mean"] for r in mean.collect()}  # one row a language
     chosen = F.create_map(*[x for k, v in means.items() for x in (F.lit(k), F.lit(v))]) if means else None
