@@ -5,7 +5,7 @@ import pytest
 
 from graphloom.functions import edgedecode, penman
 from graphloom.operators import decoding
-from graphloom.plans import queries, rowsonly
+from graphloom.plans import inputs, queries, rowsonly
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -42,3 +42,15 @@ def test_more_labels_than_ten_thousand(spark):
     features = spark.createDataFrame([], "sent_id long, src string, dst string, feature string, u double, c double")
     weights = spark.createDataFrame([], "feature string, label string, value double")
     assert decoding.pair_scores(nodes, labels, features, weights).count() == 2 * 10_001
+
+
+def test_relaxation_says_whether_limits_hold(spark):
+    scored = {}
+    for r in inputs.edge_scores(spark, SF).collect():
+        scored.setdefault(r["sent_id"], []).append((r["src"], r["dst"], r["label"], r["score"]))
+    want = []
+    for sent, edges in scored.items():
+        edges.sort()
+        out, holds = edgedecode.relaxed(sorted({x for e in edges for x in e[:2]}), [], edges, rowsonly.LIMITS)
+        want += [(sent, *e, holds) for e in out]
+    assert sorted(tuple(r) for r in rowsonly.relaxation(spark, SF).collect()) == sorted(want)
