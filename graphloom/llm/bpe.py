@@ -227,9 +227,9 @@ class WordTokenizer:
         self.columns = Columns(self.vocab, self.merges.rank, self.suffix)
         self.strings = {i: t for t, i in self.vocab.items()}
         self.numbers = {i: str(i) for i in self.strings}
+        self.named = {str(i): t for i, t in self.strings.items()}
         self.ids_memo: dict[str, str] = {}
-        self.text_memo: dict[str, str] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        self.words: dict[str, str] = {}
         self.spaces = regex.compile(r"[\t-\r\x85\p{Z}]+")
         #: Splits on white space are splits between pieces; these four are white space to Python alone.
         self.odd = regex.compile("[\x1c-\x1f]")
@@ -282,7 +282,6 @@ class WordTokenizer:
         """Puts all short parts among ``chunks`` into the memo."""
         if len(self.ids_memo) > MEMO:
             self.ids_memo.clear()
-            self.text_memo.clear()
         if len(self.words) > MEMO:
             self.words.clear()
         missing = [c for c in set(chunks).difference(self.ids_memo) if len(c) <= LONG]
@@ -290,48 +289,44 @@ class WordTokenizer:
             return
         pieces = [self.pieces.findall(c) for c in missing]
         new = list({p for ps in pieces for p in ps}.difference(self.words))
-        strings, numbers = self.strings, self.numbers
+        numbers = self.numbers
         if new:
             for piece, ids in zip(new, self.columns.tokens([p.encode("utf-8", "replace") for p in new])):
-                self.words[piece] = " ".join([numbers[i] for i in ids]), " ".join([strings[i] for i in ids])
+                self.words[piece] = " ".join([numbers[i] for i in ids])
         for chunk, ps in zip(missing, pieces):
-            if len(ps) == 1:
-                self.ids_memo[chunk], self.text_memo[chunk] = self.words[ps[0]]
-            else:
-                both = [self.words[p] for p in ps]
-                self.ids_memo[chunk], self.text_memo[chunk] = " ".join([x[0] for x in both]), " ".join([x[1] for x in both])
+            self.ids_memo[chunk] = " ".join([self.words[p] for p in ps])
 
-    def emit(self, chunks: list[str]) -> Iterator[tuple[str, str]]:
-        """(ids joined by spaces, strings joined by spaces) of parts that were learned or are long."""
+    def emit(self, chunks: list[str]) -> Iterator[str]:
+        """Ids, joined by spaces, of parts that were learned or are long."""
         try:
             if chunks:
-                yield " ".join(map(self.ids_memo.__getitem__, chunks)), " ".join(map(self.text_memo.__getitem__, chunks))
+                yield " ".join(map(self.ids_memo.__getitem__, chunks))
             return
         except KeyError:
             pass
         for chunk in chunks:
             if len(chunk) <= LONG:
-                yield self.ids_memo[chunk], self.text_memo[chunk]
+                yield self.ids_memo[chunk]
                 continue
             batch: list[str] = []
             for token in self.tokens_of(chunk):
-                batch.append(token)
+                batch.append(self.numbers[self.vocab[token]])
                 if len(batch) == 1024:
-                    yield " ".join([self.numbers[self.vocab[t]] for t in batch]), " ".join(batch)
+                    yield " ".join(batch)
                     batch = []
             if batch:
-                yield " ".join([self.numbers[self.vocab[t]] for t in batch]), " ".join(batch)
+                yield " ".join(batch)
 
-    def stream(self, parts) -> Iterator[tuple[str, str]]:
+    def stream(self, parts) -> Iterator[str]:
         for special, chunks in parts:
             if special is not None:
-                yield self.numbers[self.vocab[special]], special
+                yield self.numbers[self.vocab[special]]
             else:
                 self.learn(chunks)
                 yield from self.emit(chunks)
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.stream(self.parts(text)) for i in ids.split()]
+        return [int(i) for ids in self.stream(self.parts(text)) for i in ids.split()]
 
     def decode(self, ids: list[int], plain: bool = False) -> str:
         reader = Decoder(plain)
@@ -339,12 +334,15 @@ class WordTokenizer:
 
     def digest(self, parts) -> tuple[int, str, str]:
         """Number of tokens, digest of the ids, digest of the decoded text, with nothing of them kept."""
-        count, ids_hash, text_hash, lead = 0, hashlib.sha256(), hashlib.sha256(), ""
-        for ids, strings in self.stream(parts):
-            count += ids.count(" ") + 1
+        count, ids_hash, text_hash, lead, reader = 0, hashlib.sha256(), hashlib.sha256(), "", Decoder()
+        named, push = self.named, reader.push
+        for ids in self.stream(parts):
+            some = ids.split(" ")
+            count += len(some)
             ids_hash.update((lead + ids).encode())
-            text_hash.update((lead + strings).encode())
+            text_hash.update("".join([push(named[i]) for i in some]).encode())
             lead = " "
+        text_hash.update(reader.finish().encode())
         return count, ids_hash.hexdigest(), text_hash.hexdigest()
 
     def digests(self, texts) -> Iterator[tuple[int, str, str]]:
