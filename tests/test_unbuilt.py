@@ -1,0 +1,10 @@
+import pytest
+
+from graphloom.options import Settings, Stage2
+
+
+def test_settings_refuse_what_is_not_built():
+    assert Settings().stage2.features == ()
+    for bad in (Stage2(decoder="Alg1a"), Stage2(features=("bias",)), Stage2(features=("distance", "srl"))):
+        with pytest.raises(ValueError, match="not built"):
+            Settings(stage2=bad)
