@@ -15,6 +15,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,13 @@ from pyspark.sql import DataFrame
 
 from graphloom.llm.common import without
 
-#: Entries of a worker's memo of short pieces; it is emptied when full, which changes no result.
-MEMO = 150_000
-#: Parts without white space that are longer, in characters, go through the transducer step by step.
-LONG = 256
+#: Entries of a generation of a worker's memo. A full generation becomes the old one and the old one goes, so
+#: words in use stay; what is remembered changes no result.
+MEMO = 100_000
+#: Symbols that a transducer reads at a time; a shorter piece is read to its end in one step.
+STEP = 1024
+#: Symbols of short pieces that advance together.
+TOGETHER = 1 << 15
 #: Characters that are normalised and split at a time.
 BLOCK = 1 << 16
 
@@ -55,16 +59,27 @@ def _fresh(c: str) -> bool:
 
 
 class Merges:
-    """Encoder of symbol sequences for one merge list."""
+    """One merge list as arrays: a hash table of pairs, their ranks, and the width of each token in symbols."""
 
-    def __init__(self, vocab: dict[str, int], merges: list):
-        self.vocab = vocab
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = ""):
+        self.suffix = suffix
         self.rank = {tuple(m) if not isinstance(m, str) else tuple(m.split(" ")): r for r, m in enumerate(merges)}
-        self.last = len(self.rank)
         self.lookahead = self._lookahead()
+        self.inner, self.final = (np.array([vocab[c + end] for c in byte_symbols()], dtype=np.int32) for end in ("", suffix))
+        self.width = np.ones(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.width[i] = self._length(token)
+        self.made = np.array([vocab[a + b] for a, b in self.rank], dtype=np.int32)
+        self._hash(np.array([vocab[a] << 32 | vocab[b] for a, b in self.rank], dtype=np.int64))
+        first = {a + b: r for (a, b), r in reversed(self.rank.items())}
+        last = {a + b: r for (a, b), r in self.rank.items()}
+        #: No merge makes a token that an earlier merge takes: then all places of a pair may be merged at once.
+        self.ordered = all(first.get(t) == last.get(t) and last.get(t, -1) < r for pair, r in self.rank.items() for t in pair)
 
     def _length(self, token: str) -> int:
-        return len(token[:-4]) if token.endswith("</w>") and len(token) > 4 else len(token)
+        return len(token) - len(self.suffix) if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix) else len(token)
 
     def _lookahead(self) -> int:
         """The weight of the heaviest chain of merges through which input still unread can reach back."""
@@ -76,115 +91,134 @@ class Merges:
             widest = max(widest, reach)
         return widest
 
-    def tokens(self, symbols: list[str]) -> list[str]:
-        """The merges applied to a whole sequence: always the pair of least rank, the leftmost first."""
-        get, last = self.rank.get, self.last
-        ranks = [get(pair, last) for pair in zip(symbols, symbols[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == last:
-                break
-            i = ranks.index(least)
-            symbols[i] += symbols.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((symbols[i - 1], symbols[i]), last)
-            if i < len(ranks):
-                ranks[i] = get((symbols[i], symbols[i + 1]), last)
-        return symbols
-
-
-class Columns:
-    """The merges applied to many short sequences at once, one array operation for all of a round."""
-
-    NONE = np.iinfo(np.int32).max
-
-    def __init__(self, vocab: dict[str, int], rank: dict[tuple[str, str], int], suffix: str):
-        symbols = byte_symbols()
-        self.inner = np.array([vocab[c] for c in symbols], dtype=np.int64)
-        self.final = np.array([vocab[c + suffix] for c in symbols], dtype=np.int64)
-        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in rank], dtype=np.int64)
-        self.order = np.argsort(keys).astype(np.int32)
-        self.keys = keys[self.order]
-        self.made = np.array([vocab[a + b] for a, b in rank], dtype=np.int64)
+    def _hash(self, keys: np.ndarray) -> None:
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.slots = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, self.NONE, dtype=np.int32)
+        rest = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(rest):
+            free = rest[self.keys[at] < 0]
+            spot, which = np.unique(at[self.keys[at] < 0], return_index=True)
+            self.keys[spot], self.slots[spot] = keys[free[which]], free[which]
+            left = self.keys[at] != keys[rest]
+            rest, at = rest[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.order[at], self.NONE)
-
-    def tokens(self, pieces: list[bytes]) -> list[list[int]]:
-        sizes = np.array([len(p) for p in pieces])
-        out: list[list[int]] = [[]] * len(pieces)
-        for some in np.array_split(np.argsort(sizes, kind="stable"), max(1, len(pieces) // 512)):
-            self._some([pieces[i] for i in some], sizes[some], some, out)
+        """The rank of each pair of tokens, ``NONE`` for pairs that do not merge."""
+        key = left.astype(np.int64) << 32 | right
+        at = self._slot(key)
+        there = self.keys[at]
+        out = np.where(there == key, self.slots[at], self.NONE)
+        rest = np.flatnonzero((there != key) & (there >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[rest]]
+            hit = there == key[rest]
+            out[rest[hit]] = self.slots[at[rest[hit]]]
+            rest = rest[~hit & (there >= 0)]
         return out
 
-    def _some(self, pieces: list[bytes], n: np.ndarray, rows: np.ndarray, out: list) -> None:
-        width = int(n.max(initial=1))
-        codes = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(len(pieces), width)
-        ids = self.inner[codes]
-        here = np.arange(len(pieces))
-        ids[here, n - 1] = self.final[codes[here, n - 1]]
-        rank = np.full((len(pieces), width), self.NONE, dtype=np.int32)
-        if width > 1:
-            rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
-            rank[np.arange(width) >= (n - 1)[:, None]] = self.NONE
-        columns = np.arange(width)
-        while len(rows):
-            i = rank.argmin(1)
-            here = np.arange(len(rows))
-            best = rank[here, i]
-            going = best < self.NONE
-            if not going.all():
-                for r, row, k in zip(rows[~going].tolist(), ids[~going].tolist(), n[~going].tolist()):
-                    out[r] = row[:k]
-                rows, ids, rank, n, i, best = rows[going], ids[going], rank[going], n[going], i[going], best[going]
-                here = np.arange(len(rows))
-                if not len(rows):
+    def apply(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merges applied to each of several windows of tokens that follow each other in ``ids``.
+
+        In every window the pair of least rank goes first, the leftmost before others. A round merges one such pair,
+        in each window, or all its places there if no merge can come between them.
+        """
+        done_ids, done_sizes, order, here = [], [], [], np.arange(len(sizes))
+        rank = np.full(len(ids), self.NONE, dtype=np.int32)
+        if len(ids) > 1:
+            rank[:-1] = self.ranks(ids[:-1], ids[1:])
+        rank[sizes.cumsum() - 1] = self.NONE
+        while len(here):
+            starts = sizes.cumsum() - sizes
+            least = np.minimum.reduceat(rank, starts)
+            going = least < self.NONE
+            if going.sum() * 4 <= len(here) * 3:
+                stay = np.repeat(going, sizes)
+                done_ids.append(ids[~stay])
+                done_sizes.append(sizes[~going])
+                order.append(here[~going])
+                ids, rank, sizes, least, here = ids[stay], rank[stay], sizes[going], least[going], here[going]
+                if not len(here):
                     break
-            source = np.minimum(columns + (columns > i[:, None]), width - 1)
-            ids = np.take_along_axis(ids, source, 1)
-            rank = np.take_along_axis(rank, np.minimum(columns + (columns >= i[:, None]), width - 1), 1)
-            ids[here, i] = self.made[best]
-            n = n - 1
-            rank[:, -1] = self.NONE
-            after = np.minimum(i + 1, width - 1)
-            rank[here, i] = np.where(i + 1 < n, self.ranks(ids[here, i], ids[here, after]), self.NONE)
-            before = np.maximum(i - 1, 0)
-            back = self.ranks(ids[here, before], ids[here, i])
-            rank[here, before] = np.where(i > 0, back, rank[here, before])
+                starts, going = sizes.cumsum() - sizes, np.ones(len(here), dtype=bool)
+            hits = np.flatnonzero((rank == np.repeat(least, sizes)) & (rank < self.NONE))
+            of = np.searchsorted(starts, hits, "right") - 1
+            if self.ordered:
+                # Of places that overlap (a a a), every other one.
+                runs = np.flatnonzero(np.r_[True, np.diff(hits) > 1])
+                kept = (np.arange(len(hits)) - np.repeat(runs, np.diff(np.r_[runs, len(hits)]))) % 2 == 0
+            else:
+                kept = np.r_[True, of[1:] != of[:-1]]
+            hits, of = hits[kept], of[kept]
+            ids[hits] = self.made[rank[hits]]
+            stay = np.ones(len(ids), dtype=bool)
+            stay[hits + 1] = False
+            ends = (starts + sizes - 1)[of] == hits + 1
+            sizes = sizes - np.bincount(of, minlength=len(sizes))
+            moved = hits - np.arange(len(hits))
+            ids, rank = ids[stay], rank[stay]
+            right = np.minimum(moved + 1, len(ids) - 1)
+            rank[moved] = np.where(ends, self.NONE, self.ranks(ids[moved], ids[right]))
+            left = moved[moved > (sizes.cumsum() - sizes)[of]]
+            rank[left - 1] = self.ranks(ids[left - 1], ids[left])
+        if not done_ids:
+            return ids, sizes
+        ids, sizes, order = np.concatenate(done_ids), np.concatenate(done_sizes), np.concatenate(order)
+        place = np.argsort(order)
+        starts = (sizes.cumsum() - sizes)[place]
+        sizes = sizes[place]
+        return ids[np.repeat(starts - (sizes.cumsum() - sizes), sizes) + np.arange(len(ids))], sizes
 
 
 class Transducer:
-    """Reads the symbols of one piece and gives its tokens as soon as they are final."""
-
-    def __init__(self, merges: Merges, step: int = 256):
-        self.merges, self.step, self.held = merges, step, []
+    """Reads the bytes of pieces step by step and gives token ids as soon as they are final.
 
-    def feed(self, symbols: list[str]) -> Iterator[str]:
-        for at in range(0, len(symbols), self.step):
-            self.held += symbols[at : at + self.step]
-            if len(self.held) > self.merges.lookahead + self.step:
-                yield from self._settled()
-
-    def _settled(self) -> Iterator[str]:
-        final, used = len(self.held) - self.merges.lookahead, 0
-        for token in self.merges.tokens(list(self.held)):
-            used += self.merges._length(token)
-            if used > final:
-                used -= self.merges._length(token)
-                break
-            yield token
-        self.held = self.held[used:]
+    A step's tokens that end the lookahead or more before what has been read are final; the rest is held as
+    symbols and read again with the next step, so what is held is bounded by the merge list and the step.
+    """
 
-    def finish(self) -> Iterator[str]:
-        yield from self.merges.tokens(self.held)
-        self.held = []
+    def __init__(self, merges: Merges, step: int = STEP):
+        self.merges, self.step = merges, step
+
+    def pieces(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """The ids of each of many pieces of no more than one step; their ends are read, so all tokens are final."""
+        flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        symbols = self.merges.inner[flat]
+        ends = sizes.cumsum() - 1
+        symbols[ends] = self.merges.final[flat[ends]]
+        ids, sizes = self.merges.apply(symbols, sizes)
+        ids, at = ids.tolist(), 0
+        for size in sizes.tolist():
+            yield ids[at : at + size]
+            at += size
+
+    def stream(self, piece: bytes) -> Iterator[list[int]]:
+        """The ids of one piece of any length, a list for each step."""
+        held = np.zeros(0, dtype=np.int32)
+        for at in range(0, len(piece), self.step):
+            codes = np.frombuffer(piece[at : at + self.step], dtype=np.uint8)
+            read = self.merges.inner[codes]
+            ended = at + self.step >= len(piece)
+            if ended:
+                read[-1] = self.merges.final[codes[-1]]
+            held = np.concatenate([held, read])
+            if not ended and len(held) <= self.merges.lookahead:
+                continue
+            ids, _ = self.merges.apply(held.copy(), np.array([len(held)]))
+            if not ended:
+                reached = self.merges.width[ids].cumsum()
+                ids = ids[reached <= len(held) - self.merges.lookahead]
+                held = held[reached[len(ids) - 1] if len(ids) else 0 :]
+            yield ids.tolist()
 
 
 class Decoder:
-    """Token strings to text, one at a time.
+    """Token strings to text, a block at a time.
 
     Where the tokenizer file names no decoder the text is the token strings with spaces between, as the
     library has it; ``plain`` turns byte symbols into UTF-8 text, word ends into spaces, and holds back
@@ -197,11 +231,14 @@ class Decoder:
             self.bytes = {c: b for b, c in enumerate(byte_symbols())}
             self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def push(self, token: str) -> str:
+    def push(self, tokens: list[str]) -> str:
         if not self.plain:
-            text = token if self.first else " " + token
-            self.first = False
+            text = " ".join(tokens) if self.first or not tokens else " " + " ".join(tokens)
+            self.first = self.first and not tokens
             return text
+        return "".join(map(self._bytes, tokens))
+
+    def _bytes(self, token: str) -> str:
         end = token.endswith("</w>")
         return self.utf8.decode(bytes(self.bytes.get(c, 0x3F) for c in (token[:-4] if end else token))) + " " * end
 
@@ -216,20 +253,21 @@ class WordTokenizer:
         spec = json.loads(spec)
         model = spec["model"]
         self.vocab = dict(model["vocab"]) | {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.merges = Merges(self.vocab, model["merges"])
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.symbols = byte_symbols()
+        self.transducer = Transducer(Merges(self.vocab, model["merges"], self.suffix))
         steps = [spec["pre_tokenizer"], *(spec["pre_tokenizer"].get("pretokenizers") or [])]
         pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
-        self.pieces = regex.compile(pattern.replace(r"\s", r"[\t-\r\x85\p{Z}]") if r"[^\s" not in pattern else pattern.replace(r"[^\s", r"[^\t-\r\x85\p{Z}"))
+        space = r"[\t-\r\x85\p{Z}]"
+        # A line feed is no part of a piece, so it marks where one part without white space ends.
+        self.pieces = regex.compile((pattern.replace(r"[^\s", "[^" + space[1:-1]) if r"[^\s" in pattern else pattern.replace(r"\s", space)) + r"|\n")
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special_at = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.columns = Columns(self.vocab, self.merges.rank, self.suffix)
         self.strings = {i: t for t, i in self.vocab.items()}
         self.numbers = {i: str(i) for i in self.strings}
-        self.named = {str(i): t for i, t in self.strings.items()}
-        self.ids_memo: dict[str, str] = {}
-        self.words: dict[str, str] = {}
+        self.named = {n: self.strings[i] for i, n in self.numbers.items()}
+        #: Ids, as text, of parts without white space and of pieces: the young and the old generation.
+        self.parts_memo: list[dict[str, tuple]] = [{}, {}]
+        self.words_memo: list[dict[str, tuple]] = [{}, {}]
         self.spaces = regex.compile(r"[\t-\r\x85\p{Z}]+")
         #: Splits on white space are splits between pieces; these four are white space to Python alone.
         self.odd = regex.compile("[\x1c-\x1f]")
@@ -239,20 +277,6 @@ class WordTokenizer:
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
-    def piece(self, piece: str) -> Iterator[str]:
-        """The tokens of one long piece. (A short one ends within the lookahead: see ``learn``.)"""
-        reader, symbols = Transducer(self.merges), self.symbols
-        for at in range(0, len(piece), 4096):
-            part = [symbols[b] for b in piece[at : at + 4096].encode("utf-8", "replace")]
-            if at + 4096 >= len(piece):
-                part[-1] += self.suffix
-            yield from reader.feed(part)
-        yield from reader.finish()
-
-    def tokens_of(self, chunk: str) -> Iterator[str]:
-        for piece in self.pieces.finditer(chunk):
-            yield from self.piece(piece[0])
-
     def blocks(self, text: str) -> Iterator[str]:
         """Parts of a text, cut where neither its composed form nor its pieces change: at white space."""
         at = 0
@@ -278,70 +302,87 @@ class WordTokenizer:
             chunks = self.spaces.split(block) if self.odd.search(block) else block.split()
             yield None, [c for c in chunks if c]
 
+    @staticmethod
+    def unknown(wanted: set[str], memo: list[dict[str, tuple]]) -> list[str]:
+        """Those of ``wanted`` that neither generation knows; the others are in the young one afterwards."""
+        if len(memo[0]) > MEMO:
+            memo[:] = {}, memo[0]
+        young, old = memo
+        missing = wanted.difference(young)
+        if old:
+            known = [w for w in missing if w in old]
+            young.update(zip(known, map(old.__getitem__, known)))
+            missing.difference_update(known)
+        return list(missing)
+
     def learn(self, chunks: list[str]) -> None:
-        """Puts all short parts among ``chunks`` into the memo."""
-        if len(self.ids_memo) > MEMO:
-            self.ids_memo.clear()
-        if len(self.words) > MEMO:
-            self.words.clear()
-        missing = [c for c in set(chunks).difference(self.ids_memo) if len(c) <= LONG]
+        """Puts all parts among ``chunks`` that are read in one step into the young memo."""
+        missing = [c for c in self.unknown(set(chunks), self.parts_memo) if len(c) * 4 <= STEP]
         if not missing:
             return
-        pieces = [self.pieces.findall(c) for c in missing]
-        new = list({p for ps in pieces for p in ps}.difference(self.words))
-        numbers = self.numbers
-        if new:
-            for piece, ids in zip(new, self.columns.tokens([p.encode("utf-8", "replace") for p in new])):
-                self.words[piece] = " ".join([numbers[i] for i in ids])
-        for chunk, ps in zip(missing, pieces):
-            self.ids_memo[chunk] = " ".join([self.words[p] for p in ps])
-
-    def emit(self, chunks: list[str]) -> Iterator[str]:
-        """Ids, joined by spaces, of parts that were learned or are long."""
+        found = self.pieces.findall("\n".join(missing))
+        words = self.words(set(found))
+        young, part, parts = self.parts_memo[0], [], iter(missing)
+        for piece in found:
+            if piece == "\n":
+                young[next(parts)] = tuple(part)
+                part = []
+            else:
+                part += words[piece]
+        young[next(parts)] = tuple(part)
+
+    def words(self, wanted: set[str]) -> dict[str, tuple]:
+        """The young memo of pieces, with all of ``wanted`` in it."""
+        wanted.discard("\n")
+        new = sorted(self.unknown(wanted, self.words_memo), key=len)
+        young, number, coded, at = self.words_memo[0], self.numbers.__getitem__, [p.encode("utf-8", "replace") for p in new], 0
+        while at < len(new):
+            n = at + max(1, TOGETHER // max(1, len(coded[at])))
+            for piece, ids in zip(new[at:n], self.transducer.pieces(coded[at:n])):
+                young[piece] = tuple(map(number, ids))
+            at = n
+        return young
+
+    def emit(self, chunks: list[str]) -> Iterator[list[str]]:
+        """Ids, as text, of parts that were learned or are long."""
+        known = self.parts_memo[0]
         try:
             if chunks:
-                yield " ".join(map(self.ids_memo.__getitem__, chunks))
+                yield list(chain.from_iterable(map(known.__getitem__, chunks)))
             return
         except KeyError:
             pass
         for chunk in chunks:
-            if len(chunk) <= LONG:
-                yield self.ids_memo[chunk]
+            if chunk in known:
+                yield known[chunk]
                 continue
-            batch: list[str] = []
-            for token in self.tokens_of(chunk):
-                batch.append(self.numbers[self.vocab[token]])
-                if len(batch) == 1024:
-                    yield " ".join(batch)
-                    batch = []
-            if batch:
-                yield " ".join(batch)
-
-    def stream(self, parts) -> Iterator[str]:
+            for piece in self.pieces.finditer(chunk):
+                for ids in self.transducer.stream(piece[0].encode("utf-8", "replace")):
+                    yield list(map(self.numbers.__getitem__, ids))
+
+    def stream(self, parts, learned: bool = False) -> Iterator[list[str]]:
         for special, chunks in parts:
             if special is not None:
-                yield self.numbers[self.vocab[special]]
+                yield [self.numbers[self.vocab[special]]]
             else:
-                self.learn(chunks)
+                if not learned:
+                    self.learn(chunks)
                 yield from self.emit(chunks)
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for ids in self.stream(self.parts(text)) for i in ids.split()]
+        return [int(i) for ids in self.stream(self.parts(text)) for i in ids]
 
     def decode(self, ids: list[int], plain: bool = False) -> str:
         reader = Decoder(plain)
-        return "".join([reader.push(self.strings[i]) for i in ids]) + reader.finish()
+        return reader.push([self.strings[i] for i in ids]) + reader.finish()
 
-    def digest(self, parts) -> tuple[int, str, str]:
+    def digest(self, parts, learned: bool = False) -> tuple[int, str, str]:
         """Number of tokens, digest of the ids, digest of the decoded text, with nothing of them kept."""
-        count, ids_hash, text_hash, lead, reader = 0, hashlib.sha256(), hashlib.sha256(), "", Decoder()
-        named, push = self.named, reader.push
-        for ids in self.stream(parts):
-            some = ids.split(" ")
-            count += len(some)
-            ids_hash.update((lead + ids).encode())
-            text_hash.update("".join([push(named[i]) for i in some]).encode())
-            lead = " "
+        count, ids_hash, text_hash, reader = 0, hashlib.sha256(), hashlib.sha256(), Decoder()
+        for ids in filter(None, self.stream(parts, learned)):
+            ids_hash.update(((" " if count else "") + " ".join(ids)).encode())
+            text_hash.update(reader.push(list(map(self.named.__getitem__, ids))).encode())
+            count += len(ids)
         text_hash.update(reader.finish().encode())
         return count, ids_hash.hexdigest(), text_hash.hexdigest()
 
@@ -365,7 +406,7 @@ class WordTokenizer:
     def _digests(self, waiting: list) -> Iterator[tuple[int, str, str]]:
         self.learn([c for parts in waiting for _, chunks in parts for c in chunks])
         for parts in waiting:
-            yield self.digest(parts)
+            yield self.digest(parts, learned=True)
 
 
 @lru_cache(4)

@@ -14,6 +14,6 @@ def test_the_digest_is_of_decoded_ids():
     assert n == len(ids)
     assert digest == hashlib.sha256(t.decode(ids).encode()).hexdigest()
     # A fault in decoding an id shows, though the text has been encoded before.
-    t.strings[ids[0]] = t.named[str(ids[0])] = "fault"
+    t.strings[ids[0]] = t.named[t.numbers[ids[0]]] = "fault"
     faulty = t.digest(t.parts(text))[2]
     assert faulty != digest and faulty == hashlib.sha256(t.decode(ids).encode()).hexdigest()

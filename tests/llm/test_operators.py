@@ -60,25 +60,6 @@ def test_bpe_equals_library(odd, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
-def test_transducer_emits_final_tokens_only():
-    import public_tokenizers
-
-    t = bpe.WordTokenizer(open(public_tokenizers.path("word_bpe_49k.json")).read())
-    rnd = random.Random(2)
-    word = [rnd.choice("theringaonds") for _ in range(6000)]
-    reader = bpe.Transducer(t.merges)
-    streamed = [x for x in reader.feed(list(word))]
-    assert len(reader.held) <= t.merges.lookahead + 2 * reader.step
-    assert streamed + list(reader.finish()) == t.merges.tokens(list(word))
-
-
-def test_bytes_decode_incrementally():
-    symbols = bpe.byte_symbols()
-    d = bpe.Decoder(plain=True)
-    out = [d.push(symbols[b]) for b in "é日".encode()]
-    assert out == ["", "é", "", "", "日"] and d.finish() == ""
-
-
 def test_top_k_brute_force(spark):
     rnd = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rnd.normal(size=8)]) for i in range(300)] + [(301, None), (302, [1.0, float("nan")]), (303, [None, 1.0]), (None, [1.0] * 8), (5, [0.0] * 8)]
