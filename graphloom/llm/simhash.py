@@ -11,7 +11,6 @@ these cases meet in a bucket; fingerprints of a bucket are compared exactly.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 from itertools import combinations, permutations, product, repeat
 
@@ -21,11 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import UPPER, cut, without
+from graphloom.llm.common import cut, without
 
 SEED = 42
-LOWER = str.maketrans(UPPER, UPPER.lower())
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -33,21 +30,40 @@ LINK_BITS = 4
 LANES = np.uint64(0x0101010101010101)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 after A-Z are lower-cased: what bytes are split and lower-cased by."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The majority bits of the shingles' hashes, as a signed 64-bit number; zero if there is no word."""
-    words = WORD.findall((text or "").translate(LOWER))
+    words = words_of(text)
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 65_280):
         some = words[at : min(n, at + 65_280) + shingle - 1]
-        grams = map(" ".join, zip(*(some[k:] for k in range(min(shingle, len(words))))))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, (g.encode("utf-8", "replace") for g in grams), repeat(SEED)), dtype=np.uint64)
-        for bit in range(8):
-            lanes = (hashes >> np.uint64(bit)) & LANES
-            sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255))
-            ones[bit::8] += sums.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
+        whole, sizes = b" ".join(some), np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + 1
+        starts = sizes.cumsum() - sizes
+        last = min(shingle, len(some)) - 1
+        ends = (starts + sizes - 1)[last:]
+        grams = map(whole.__getitem__, map(slice, starts[: len(ends)].tolist(), ends.tolist()))
+        ones += ones_of(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=len(ends)))
+    return majority(ones, n)
+
+
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of ``hashes`` have each of the 64 bits."""
+    ones = np.zeros(64, dtype=np.int64)
+    for bit in range(8):
+        lanes = (hashes >> np.uint64(bit)) & LANES
+        sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255))
+        ones[bit::8] += sums.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> int:
     bits = np.packbits((ones * 2 > n).astype(np.uint8), bitorder="little")
     return int(bits.view(np.int64)[0])
 
@@ -230,8 +246,8 @@ def near_duplicates(df: DataFrame, *, key: Column | None = None, text: str = "te
     reps = cut(prints.groupBy("fp").agg(F.min("key").alias("least")))
     of = components(candidate_links(reps))
     named = reps.join(of, reps.fp == of.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = cut(named.join(least, "label").select("fp", "component_id"))
-    # Joined on another form of the fingerprint, so that both sides are dealt anew and a hot one can be split.
+    # Joined on another form of the label or fingerprint, so that both sides are dealt anew and a hot one can be split.
+    least = named.groupBy("label").agg(F.min("least").alias("component_id")).select(F.bitwise_not("label").alias("k"), "component_id")
+    classes = cut(named.withColumn("k", F.bitwise_not("label")).join(least, "k").select("fp", "component_id"))
     left = prints.select("key", "fp", F.bitwise_not("fp").alias("k"))
     return left.join(classes.select("component_id", F.bitwise_not("fp").alias("k")), "k").select("key", "fp", "component_id")
