@@ -50,9 +50,10 @@ def dedup_lines(df: DataFrame, *, id: str = "doc_id", text: str = "text", window
     marked = later.groupBy("id", "of").agg(F.collect_set(F.struct("at", "len")).alias("at"))
     marked = marked.select(F.xxhash64("id", "of").alias("k"), F.col("id").alias("id2"), F.col("of").alias("of2"), "at")
     found = docs.withColumn("k", F.xxhash64("id", "of")).alias("d").join(marked.alias("m"), F.expr("d.k = m.k and d.of = m.of2 and d.id <=> m.id2"), "left").select("d.row", "d.text", "m.at")
-    found = found.select("row", "text", F.split("text", "\n").alias("lines"), F.expr("flatten(transform(at, x -> sequence(x.at, x.at + x.len - 1)))").alias("gone"))
-    found = found.withColumn("kept", F.when(F.col("gone").isNotNull(), F.expr("array_except(sequence(0, size(lines) - 1), gone)")))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
-    new = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.col("lines")[i]), "\n"))
-    new = found.select("row", new.alias("new"), n.cast("long").alias("n_lines"), (n - F.when(F.col("kept").isNull(), n).otherwise(F.size("kept"))).cast("long").alias("n_removed"))
+    # Only texts that lose lines are taken apart; the others' line feeds are counted as bytes.
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)
+    found = found.withColumn("gone", F.expr("flatten(transform(at, x -> sequence(x.at, x.at + x.len - 1)))")).withColumn("n", n)
+    found = found.withColumn("kept", F.when(F.col("gone").isNotNull(), F.expr("array_except(sequence(0, n - 1), gone)")))
+    cut = F.expr(r"if(kept is null, text, array_join(transform(array(split(text, '\n')), ls -> array_join(transform(kept, i -> get(ls, i)), '\n')), ''))")
+    new = found.select("row", cut.alias("new"), F.col("n").cast("long").alias("n_lines"), (F.col("n") - F.when(F.col("kept").isNull(), F.col("n")).otherwise(F.size("kept"))).cast("long").alias("n_removed"))
     return new.select(*((F.col("new") if c == text else F.col("row")[c]).alias(c) for c in kept), "n_lines", "n_removed")
