@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, chat, decontaminate, langid, licences, linededup, sharding, simhash, topk, toxicity
+from graphloom.llm import bpe, chat, decontaminate, langid, licences, linededup, sharding, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, shard string, n_words string, score string, lang_pred string, rejected string"
 LONG = "word " * 3000 + "x" * 5000
@@ -60,18 +60,6 @@ def test_bpe_equals_library(odd, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
-def test_top_k_brute_force(spark):
-    rnd = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rnd.normal(size=8)]) for i in range(300)] + [(301, None), (302, [1.0, float("nan")]), (303, [None, 1.0]), (None, [1.0] * 8), (5, [0.0] * 8)]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
-    whole = {i: np.floor(np.array(v) * 256) for i, v in rows[:300]}
-    for q in range(0, 300, 50):
-        every = [(-int(whole[q] @ v), i) for i, v in whole.items() if i != q] + [(0, 5)]
-        want = [(i, -s) for s, i in sorted(every)[:5]]
-        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
-    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).count() == 0
-
-
 def test_golay_keys_meet():
     rnd = random.Random(3)
     a = np.array([rnd.getrandbits(64) for _ in range(500)], dtype=np.uint64)
