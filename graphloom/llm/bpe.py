@@ -42,22 +42,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-@lru_cache(1)
-def _second_parts() -> frozenset:
-    """Characters that may compose with one before them."""
-    found = set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
-    for cp in range(0x80, 0x20000):
-        parts = unicodedata.decomposition(chr(cp)).split()
-        if len(parts) == 2 and not parts[0].startswith("<"):
-            found.add(chr(int(parts[1], 16)))
-    return frozenset(found)
-
-
-def _fresh(c: str) -> bool:
-    """A text may be cut before this character without changing its composed form."""
-    return c < "\x80" or (not unicodedata.combining(c) and c not in _second_parts())
-
-
 class Merges:
     """One merge list as arrays: a hash table of pairs, their ranks, and the width of each token in symbols."""
 

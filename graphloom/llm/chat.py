@@ -34,7 +34,7 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit(ESCAPE + "n"), F.lit("\n")))
 
 
-def chain(messages: DataFrame, tree: str, order: list[str]) -> DataFrame:
+def chain(messages: DataFrame, tree: str, order: list) -> DataFrame:
     """Linear conversations as trees: ``node`` numbers a conversation's rows in ``order``, ``parent`` is the one before."""
     w = Window.partitionBy(tree).orderBy(*order)
     node = F.row_number().over(w).cast("long")
@@ -73,8 +73,8 @@ def format_chats(tree: DataFrame, *, best: int | None = 1, trained_role: str = "
     """(tree, leaf, rank, formatted, spans): one row per chosen path; ``spans`` are the loss mask.
 
     ``tree`` has tree, node, parent, role, text and score. Null texts and roles are empty. ``spans`` holds
-    (start, length) in code points of the escaped texts of ``trained_role`` turns inside ``formatted``. Messages with
-    a null tree or node are on no path; repeated (tree, node) pairs are an error of the caller's keys and give each
+    (start, length) in code points of the escaped texts of ``trained_role`` turns inside ``formatted``. A tree may be
+    a struct, whose null members have equals. Messages with a null tree or node are on no path; repeated (tree, node) pairs are an error of the caller's keys and give each
     combination. An empty table gives no rows. A path is one row, as long as its conversation.
     """
     messages = tree.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

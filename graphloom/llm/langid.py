@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,19 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, without
+from graphloom.llm.common import cut, fresh, without
 
 #: Symbols, as a power of two, and symbols in an n-gram of the highest order.
 BITS, ORDER = 6, 4
-#: N-grams of all languages that a model may hold before it falls back to the next lower order. At order
-#: 3 a language has 2^18 keys at most, whatever the corpus.
-LARGEST = 24_000_000
-#: A text is rejected beyond so many times the widest deviation seen in calibration, plus so many units.
-MARGIN_TIMES, MARGIN_MORE = 3.0, 6.0
-#: And only if its cross-entropy is above its language's mean by so many nats a symbol: texts that a model has
-#: learned from look better to it than new ones of the same kind, the more so the less it has learned.
+#: One text in so many is not learned from but shows how far a language's own texts deviate from its mean.
+CALIBRATE = 8
+#: A text is rejected beyond so many times the widest deviation seen in calibration, plus so many units,
+MARGIN_TIMES, MARGIN_MORE = 2.0, 6.0
+#: and only if its cross-entropy is above its language's mean by so many nats a symbol.
 MARGIN_NATS = 0.7
-#: Symbols that are scored at a time.
+#: Characters that are turned into symbols at a time.
 PIECE = 1 << 20
 UNKNOWN = "und"
 
@@ -50,20 +49,39 @@ def _symbols() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def symbols(text: str) -> np.ndarray:
-    """The symbols of a text, with single spaces between words and at both ends; empty without letters."""
-    if not _TABLE:
-        _TABLE.append(_symbols())
-    codes = np.frombuffer(unicodedata.normalize("NFC", text).encode("utf-32-le", "replace"), dtype=np.uint32)
-    found = np.concatenate([[0], _TABLE[0][codes], [0]]).astype(np.int64)
-    keep = np.r_[True, (found[1:] != 0) | (found[:-1] != 0)]
-    found = found[keep]
-    return found if found.any() else found[:0]
+def pieces(text: str) -> Iterator[str]:
+    """Parts of a text, cut where its composed form does not change."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + PIECE)
+        while end < len(text) and not fresh(text[end]):
+            end += 1
+        yield text[at:end]
+        at = end
+
 
+def grams(text: str, order: int) -> Iterator[np.ndarray]:
+    """Keys of the n-grams of a text, one for each symbol and for the space at the end; spaces stand before the text.
 
-def grams(found: np.ndarray, order: int) -> np.ndarray:
-    """Keys of all n-grams, one for each symbol after the first space; spaces stand before the text."""
-    padded = np.concatenate([np.zeros(order - 2, dtype=np.int64), found])
+    Runs of what is no letter are one space. A text without letters has no n-grams. A long text is read piece by
+    piece, each with the symbols before it, so its n-grams are those of the whole.
+    """
+    if not _TABLE:
+        _TABLE.append(_symbols())
+    before = np.zeros(order - 1, dtype=np.int64)
+    for piece in pieces(text):
+        codes = np.frombuffer(unicodedata.normalize("NFC", piece).encode("utf-32-le", "replace"), dtype=np.uint32)
+        found = np.concatenate([before[-1:], _TABLE[0][codes]]).astype(np.int64)
+        found = found[1:][(found[1:] != 0) | (found[:-1] != 0)]
+        if len(found):
+            padded = np.concatenate([before, found])
+            yield _keys(padded, order)
+            before = padded[len(padded) - order + 1 :]
+    if before[-1]:
+        yield _keys(np.r_[before, 0], order)
+
+
+def _keys(padded: np.ndarray, order: int) -> np.ndarray:
     keys = np.zeros(len(padded) - order + 1, dtype=np.int64)
     for k in range(order):
         keys = keys << BITS | padded[k : len(padded) - order + 1 + k]
@@ -93,12 +111,9 @@ def count_grams(df: DataFrame, text: Column, lang: Column, order: int = ORDER) -
         for batch in batches:
             waiting, size = {}, 0
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for at in range(0, len(t), PIECE):
-                    # A part starts with the symbols before it, so its n-grams are those of the whole text.
-                    found = symbols(t[at : at + PIECE])
-                    if len(found):
-                        waiting.setdefault(name, []).append(grams(found, order))
-                        size += len(found)
+                for found in grams(t, order):
+                    waiting.setdefault(name, []).append(found)
+                    size += len(found)
                     if size > PIECE:
                         add(waiting)
                         waiting, size = {}, 0
@@ -177,12 +192,10 @@ class Model:
         sums, sizes = np.zeros((len(texts), len(self.levels))), np.zeros(len(texts))
         waiting, of, held = [], [], 0
         for i, text in enumerate(texts):
-            for at in range(0, len(text or ""), PIECE):
-                found = symbols(text[at : at + PIECE])
-                if len(found):
-                    waiting.append(grams(found, self.order))
-                    of.append(i)
-                    held += len(found)
+            for found in grams(text or "", self.order):
+                waiting.append(found)
+                of.append(i)
+                held += len(found)
                 if held > PIECE // 2:
                     self._add(waiting, of, sums, sizes)
                     waiting, of, held = [], [], 0
@@ -228,34 +241,37 @@ class Model:
 def train(df: DataFrame, *, text: str = "text", lang: str = "lang", order: int = ORDER) -> Model:
     """A model of every language in ``df``: all rows with a text and a language count, whole.
 
-    Rows with a null text or language, and texts without letters, teach nothing; repeated rows count as often as
-    they occur. With no rows the model knows no language and calls everything ``und``.
+    One text in ``CALIBRATE``, by hash, gives no counts but the limit of what is let pass; a language with such texts
+    alone learns from them too. Rows with a null text or language, and texts without letters, teach nothing; repeated
+    rows count as often as they occur. With no rows the model knows no language and calls everything ``und``.
+    The order is the same at every size: a language has 2^(6 x order) n-grams at most (16.8 million), whatever the corpus.
     """
     rows = df.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counted = count_grams(rows, F.col("text"), F.col("lang"), order).persist()
-    while order > 2 and counted.count() > LARGEST:
-        order -= 1
-        counted = counted.withColumn("gram", F.col("gram").bitwiseAND((1 << BITS * order) - 1)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    levels = {}
-    table = counted.toArrow()
-    counted.unpersist()
-    names = np.array(table.column("lang").to_pylist(), dtype=object)
+    aside = F.pmod(F.xxhash64("text"), F.lit(CALIBRATE)) == 0
+    table = count_grams(rows.where(~aside), F.col("text"), F.col("lang"), order).toArrow()
+    known = set(table.column("lang").unique().to_pylist())
+    if rows.where(aside).where(~F.col("lang").isin(*known) if known else F.lit(True)).limit(1).count():
+        table = pa.concat_tables([table, count_grams(rows.where(~F.col("lang").isin(*known) if known else F.lit(True)), F.col("text"), F.col("lang"), order).toArrow()])
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     keys, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-    for name in sorted(set(names.tolist())):
-        own = np.flatnonzero(names == name)
+    levels = {}
+    for k in sorted(range(len(names)), key=names.__getitem__):
+        own = np.flatnonzero(of == k)
         own = own[np.argsort(keys[own])]
-        levels[name] = log_probabilities(keys[own], n[own], order)
+        levels[names[k]] = log_probabilities(keys[own], n[own], order)
     model = Model(order, levels, {})
     if levels:
-        model.limits = calibrate(model, rows)
+        model.limits = calibrate(model, rows.where(aside))
+        missing = sorted(set(levels) - set(model.limits))
+        if missing:
+            # No text of these was set aside: their limit comes from what they were learned from.
+            model.limits |= calibrate(model, rows.where(F.col("lang").isin(*missing)))
     return model
 
 
 def calibrate(model: Model, rows: DataFrame) -> dict[str, tuple[float, float]]:
-    """For each language, the mean cross-entropy of all its texts and the greatest scaled deviation that is let pass.
-
-    Every language of a trained model has a text with letters and so a limit.
-    """
+    """For each language in ``rows``, the mean cross-entropy of its texts and the greatest scaled deviation that is let pass."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -282,7 +298,7 @@ def identify(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     A null or empty text, or one without letters, is ``und`` with score 0 and is rejected. A rejected text with
     letters still carries its nearest language. Columns named as an output are replaced. The model is
-    broadcast; its size is bounded by ``LARGEST``.
+    broadcast; its size is bounded by the number of languages and of n-grams a language can have.
     """
     kept = without(df, ("lang_pred", "score", "rejected"))
     source = df.select(*(df[f"`{c}`"] for c in kept), df[f"`{text}`"].cast("string").alias("__text"))

@@ -66,16 +66,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import chat
 
-    given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("tree"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    # A null conversation is one too: inside a struct it has equals.
+    given = table(spark, sf_dir, "conversations").select(F.struct(F.col("conv_id").cast("long").alias("id")).alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     said = chat.END + chat.START + "assistant ok"
-    added = spark.range(2).select(F.lit(-1).cast("long").alias("tree"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    # A turn with several rows: they follow each other by role and text.
-    linked = chat.chain(given.unionByName(added), "tree", ["turn", "role", "text"]).withColumn("score", F.lit(1.0))
+    added = spark.range(2).select(F.struct(F.lit(-1).cast("long").alias("id")).alias("tree"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    # A turn with several rows: they follow each other by role and text. Rows without a turn come last.
+    linked = chat.chain(given.unionByName(added), "tree", [F.col("turn").asc_nulls_last(), "role", "text"]).withColumn("score", F.lit(1.0))
     chats = chat.format_chats(linked).select("tree", "formatted", "spans", chat.read_back(F.col("formatted")).alias("turns"))
     learned = F.array_join(F.transform("spans", lambda s: chat.unescape(F.substring("formatted", s["start"] + 1, s["length"]))), "")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
-        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.col("tree.id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
         F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

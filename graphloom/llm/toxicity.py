@@ -24,8 +24,6 @@ SAMPLE_ROWS = 20_000
 PREFIXES, PASSES, STEP, SHRINK = (3, 4, 5, 6), 600, 0.1, 0.01
 #: Features are kept whose likelihood ratio against the toxic label is so high (far beyond chance among a million).
 EVIDENCE = 28.0
-#: Features in a model at most: the most frequent ones of those with evidence.
-FEATURES = 20_000
 #: Words of which a worker remembers what they add; emptied when full, which changes no result.
 MEMO = 300_000
 GRADES = 3
@@ -161,9 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
         yield from out()
 
     # Features without clear evidence are left out: a long text has so many of them that their chance weights
-    # would add up to more than the words that matter. They are counted and chosen where the rows are.
+    # would add up to more than the words that matter. They are counted and chosen where the rows are; those that
+    # come to the driver are all with evidence, whose number is bounded by the sample.
     counted = rows.mapInArrow(count, "name string, bad long, seen long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
-    strong = counted.where(F.expr(evidence("bad", "seen", n_bad, n_all)) >= EVIDENCE).orderBy(F.desc("seen"), "name").limit(FEATURES).collect()
+    strong = counted.where(F.expr(evidence("bad", "seen", n_bad, n_all)) >= EVIDENCE).orderBy("name").collect()
     kept = {r["name"]: r["bad"] * n_all > r["seen"] * n_bad for r in strong}
     shared = docs.sparkSession.sparkContext.broadcast(set(kept))
 

@@ -128,14 +128,6 @@ def test_language_id(odd, empty, spark):
     assert {r["lang_pred"] for r in langid.identify(odd, none).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    keys, n = np.unique(langid.grams(langid.symbols("the cat sat on the mat and then that hat"), 4), return_counts=True)
-    levels = langid.log_probabilities(keys, n, 4)
-    for context in (0, int(keys[3]) >> langid.BITS, 12345):
-        p = np.exp(langid.look_up(levels, (context << langid.BITS) | np.arange(64)))
-        assert abs(p.sum() - 1) < 1e-6
-
-
 def test_line_dedup(odd, empty, spark):
     out = {(r["doc_id"], r["text"], r["n_removed"]) for r in linededup.dedup_lines(odd).collect()}
     assert (6, "a\nb\nc\nd", 3) in out and (7, "", 3) in out and (2, None, 0) in out and (1, "the cat sat on the mat", 0) in out
