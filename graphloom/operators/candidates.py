@@ -2,65 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Months as they are written in texts, and their numbers.
-MONTHS = {
-    "January": 1, "February": 2, "March": 3, "April": 4, "May": 5, "June": 6, "July": 7, "August": 8, "September": 9,
-    "October": 10, "November": 11, "December": 12, "Jan.": 1, "Feb.": 2, "Mar.": 3, "Apr.": 4, "Jun.": 6, "Jul.": 7,
-    "Aug.": 8, "Sept.": 9, "Sep.": 9, "Oct.": 10, "Nov.": 11, "Dec.": 12, "Jan": 1, "Feb": 2, "Mar": 3, "Apr": 4,
-    "Jun": 6, "Jul": 7, "Aug": 8, "Sept": 9, "Sep": 9, "Oct": 10, "Nov": 11, "Dec": 12,
-}
+#: The first three letters of the months, in order.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: Entity labels and their concepts.
 ENTITY_CONCEPTS = {"PER": "person", "ORG": "organization", "LOC": "country", "MISC": "thing"}
-#: The date expressions that may start at a token, over tab-joined tokens.
-MONTH = "(" + "|".join(m.replace(".", "[.]") for m in MONTHS) + ")"
+#: The date expressions that may start at a token, over tab-joined tokens. Months are capitalised or in lower case.
+WRITTEN = "January|February|March|April|May|June|July|August|September|October|November|December|(?:Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)[.]?"
+MONTH = f"({WRITTEN}|{WRITTEN.lower()})"
 DATES = {
-    "six_digit": r"^([0-9][0-9])([0-9][0-9])([0-9][0-9])(\t|$)",
-    "day_month_year": rf"^([0-9]?[0-9])\t{MONTH}\t([0-9][0-9][0-9][0-9])(\t|$)",
-    "month_year": rf"^{MONTH}\t([0-9][0-9][0-9][0-9])(\t|$)",
-    "month_day_year": rf"^{MONTH}\t([0-9]?[0-9])\t,\t([0-9][0-9][0-9][0-9])(\t|$)",
-    "eight_digit": r"^([0-9]{2,4})-?([0-9][0-9])-?([0-9][0-9])(\t|$)",
-    "year": r"^([0-9][0-9][0-9][0-9])(\t|$)",
-    "month": rf"^{MONTH}(\t|$)",
+    "six_digit": r"([0-9][0-9])([0-9][0-9])([0-9][0-9])",
+    "day_month_year": rf"([0-9]?[0-9])\t{MONTH}\t([0-9][0-9][0-9][0-9])",
+    "month_year": rf"{MONTH}\t([0-9][0-9][0-9][0-9])",
+    "month_day_year": rf"{MONTH}\t?([0-9][0-9]?)\t?,?\t([0-9][0-9][0-9][0-9])",
+    "eight_digit": r"([0-9]?[0-9][0-9]?[0-9])\t?[.-]?\t?([0-9][0-9])\t?[.-]?\t?([0-9][0-9])",
+    "year": r"([0-9][0-9][0-9][0-9])",
+    "month": f"{MONTH}",
 }
 
 
-def entity_fragment(label: Column, words: Column) -> Column:
-    """``(person :name (name :op "John" :op "Smith"))``; unknown labels give null."""
+def entity_fragment(label: Column, words: Column, wiki: bool = False) -> Column:
+    """``(person :name (name :op "John" :op "Smith"))``; quotes inside words are dropped, unknown labels give null."""
     concept = F.create_map(*[F.lit(x) for kv in ENTITY_CONCEPTS.items() for x in kv])[label]
-    ops = F.array_join(F.transform(words, lambda w: F.concat(F.lit(':op "'), w, F.lit('"'))), " ")
-    return F.concat(F.lit("("), concept, F.lit(" :name (name "), ops, F.lit("))"))
+    ops = F.array_join(F.transform(words, lambda w: F.concat(F.lit(':op "'), F.replace(w, F.lit('"')), F.lit('"'))), " ")
+    return F.concat(F.lit("("), concept, F.lit(" :wiki - :name (name " if wiki else " :name (name "), ops, F.lit("))"))
 
 
-def month_number(name: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])[name]
+def month_number(month: Column) -> Column:
+    """The number of a month that is written out or in digits, as text without a leading zero."""
+    numbers = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS, 1) for x in (m, str(k))])
+    return F.when(month.rlike("^[0-9]+$"), month.try_cast("int").cast("string")).otherwise(F.coalesce(F.try_element_at(numbers, F.lower(F.substring(month, 1, 3))), month))
 
 
-def date_fragment(year: Column, month: Column, day: Column) -> Column:
-    """A date fragment in canonical order; parts that are null, empty or zero are left out."""
-    part = lambda name, x: F.when(x.isNotNull() & (x.cast("int") > 0), F.concat(F.lit(f" :{name} "), x.cast("int").cast("string"))).otherwise("")
-    return F.concat(F.lit("(date-entity"), part("day", day), part("month", month), part("year", year), F.lit(")"))
+def date_fragment(year: Column | None, month: Column | None, day: Column | None) -> Column:
+    """A date fragment of the parts given: day and month as numbers, the year as it is written."""
+    parts = [(" :day ", None if day is None else day.try_cast("int").cast("string")), (" :month ", None if month is None else month_number(month)), (" :year ", year)]
+    return F.concat(F.lit("(date-entity"), *(x for name, value in parts if value is not None for x in (F.lit(name), value)), F.lit(")"))
 
 
 def date_candidates(df: DataFrame, id: str, tail: str) -> DataFrame:
-    """(id, rule, frag) for every date rule that fires on the tab-joined tokens ``tail``; rules overlap on purpose."""
+    """(id, rule, n_words, frag, feature) for every date rule that fires on the tab-joined tokens ``tail``; rules overlap on purpose.
+
+    ``feature`` is datex1 to datex4 by the parts of the date: day, month and year; month and year; month; year.
+    """
     t = F.col(tail)
-    g = lambda rule, k: F.nullif(F.regexp_extract(t, DATES[rule], k), F.lit(""))
-    none = F.lit(None).cast("string")
-    two = g("six_digit", 1)
-    pivot = F.when(two.cast("int") < 40, F.concat(F.lit("20"), two)).otherwise(F.concat(F.lit("19"), two))
+    whole = {r: f"^({x})(?:\t.*)?$" for r, x in DATES.items()}
+    g = lambda rule, k: F.regexp_extract(t, whole[rule], k + 1)
+    six = [g("six_digit", k) for k in (1, 2, 3)]
+    year = F.when(six[0].try_cast("int") < 40, F.concat(F.lit("20"), six[0])).otherwise(F.concat(F.lit("19"), six[0]))
+    no_day, no_month = six[2] == "00", six[1] == "00"
+    full = lambda y, m, d: (date_fragment(y, m, d), F.lit("datex1"))
     rules = {
-        "six_digit": (pivot, g("six_digit", 2), g("six_digit", 3)),
-        "day_month_year": (g("day_month_year", 3), month_number(g("day_month_year", 2)).cast("string"), g("day_month_year", 1)),
-        "month_year": (g("month_year", 2), month_number(g("month_year", 1)).cast("string"), none),
-        "month_day_year": (g("month_day_year", 3), month_number(g("month_day_year", 1)).cast("string"), g("month_day_year", 2)),
-        "eight_digit": (g("eight_digit", 1), g("eight_digit", 2), g("eight_digit", 3)),
-        "year": (g("year", 1), none, none),
-        "month": (none, month_number(g("month", 1)).cast("string"), none),
+        "six_digit": (
+            F.when(no_day & no_month, date_fragment(year, None, None)).when(no_day, date_fragment(year, six[1], None)).otherwise(date_fragment(year, six[1], six[2])),
+            F.when(no_day & no_month, "datex4").when(no_day, "datex2").otherwise("datex1"),
+        ),
+        "day_month_year": full(g("day_month_year", 3), g("day_month_year", 2), g("day_month_year", 1)),
+        "month_year": (date_fragment(g("month_year", 2), g("month_year", 1), None), F.lit("datex2")),
+        "month_day_year": full(g("month_day_year", 3), g("month_day_year", 1), g("month_day_year", 2)),
+        "eight_digit": full(g("eight_digit", 1), g("eight_digit", 2), g("eight_digit", 3)),
+        "year": (date_fragment(g("year", 1), None, None), F.lit("datex4")),
+        "month": (date_fragment(None, g("month", 1), None), F.lit("datex3")),
     }
-    found = F.array(*(F.when(t.rlike(DATES[r]), F.struct(F.lit(r).alias("rule"), date_fragment(*ymd).alias("frag"))) for r, ymd in rules.items()))
+    words = lambda r: F.size(F.split(g(r, 0), "\t"))
+    found = F.array(*(F.when(t.rlike(whole[r]), F.struct(F.lit(r).alias("rule"), words(r).alias("n_words"), frag.alias("frag"), feature.alias("feature"))) for r, (frag, feature) in rules.items()))
     return df.select(F.col(id), F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
@@ -86,9 +93,10 @@ def predicate_senses(tokens: DataFrame, stems: DataFrame, predicates: DataFrame)
 
 
 def verb_senses(tagged: DataFrame, stems: DataFrame) -> DataFrame:
-    """``stem-00`` for tokens whose part of speech starts with V."""
-    found = tagged.where("pos like 'V%'").join(stems, F.col("tok") == F.col("surface"))
-    return found.select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("phrase"), F.concat("stem", F.lit("-00")).alias("frag"))
+    """``stem-00`` of the shortest stem, or of the word itself, for tokens whose part of speech starts with V."""
+    best = stems.groupBy("surface").agg(F.min_by("stem", F.struct(F.length("stem"), "stem")).alias("stem"))
+    found = tagged.where("pos like 'V%'").join(best, F.col("tok") == F.col("surface"), "left")
+    return found.select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("phrase"), F.concat(F.coalesce("stem", "tok"), F.lit("-00")).alias("frag"))
 
 
 def shortest_stem(tokens: DataFrame, stems: DataFrame) -> DataFrame:
@@ -101,39 +109,136 @@ def nominalizations(tokens: DataFrame) -> DataFrame:
     return tokens.select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("phrase"), F.col("tok").alias("frag")).where("false")
 
 
-def stage1_features(c: DataFrame, names) -> DataFrame:
-    """(candidate columns, feature, value) for the named features; ``c`` has sent_id, start, words, frag, sent_words, pos."""
-    one = F.lit(1.0)
-    phrase, size = F.array_join("words", " "), F.size("words")
-    around = lambda i: F.coalesce(F.when(i >= 0, F.get(F.col("sent_words"), i)), F.lit("<none>"))
-    tags = F.array_join(F.slice("pos", F.col("start") + 1, size), "_")
-    semicolon = phrase == ";"
-    many = F.size(F.filter("sent_words", lambda w: w == ";")) > 1
-    first = F.array_position("sent_words", ";") == F.col("start") + 1
-    build = {
-        "bias": [(F.lit(True), F.lit("bias"), one)],
-        "length": [(F.lit(True), F.lit("len"), size.cast("double"))],
-        "numberIndicator": [((size == 1) & phrase.rlike("^[0-9]+$") & (phrase == F.col("frag")), F.lit("number"), one)],
-        "badConcept": [(F.col("frag").rlike("^[A-Za-z]+$") & (F.length("frag") <= 2), F.lit("badConcept"), one)],
-        "sentenceMatch": [(size == F.size("sent_words"), F.lit("sentenceMatch"), one)],
-        "andList": [(semicolon & many & first, F.lit("andList"), one), (semicolon & many & ~first, F.lit("andListNot"), one)],
-        "pos": [(F.lit(True), F.concat(F.lit("POS="), tags), one)],
-        "posEvent": [(F.lit(True), F.concat(F.lit("POS="), tags, F.lit("+EVENT="), F.when(F.col("frag").rlike("-[0-9][0-9]$"), "T").otherwise("F")), one)],
-        "pairWith2WordContext": [(F.lit(True), F.concat(F.lit("CP="), phrase, F.lit("=>"), F.col("frag"), F.lit("+P="), around(F.col("start") - 1)), one), (F.lit(True), F.concat(F.lit("CP="), phrase, F.lit("=>"), F.col("frag"), F.lit("+N="), around(F.col("start") + size)), one)],
-    }
-    if "phrase" in names or "phraseConceptPair" in names or "phraseConceptPairPOS" in names:
-        taught = F.size("indices")
-        build |= {
-            "phrase": [(F.col("phrase_n") > 10, F.concat(F.lit("phrase="), phrase), one)],
-            "phraseConceptPair": [(taught > 10, F.concat(F.lit("CP="), phrase, F.lit("=>"), F.col("frag")), one)],
-            "phraseConceptPairPOS": [(taught > 3, F.concat(F.lit("CP="), phrase, F.lit("=>"), F.col("frag"), F.lit("+POS="), tags), one)],
-        }
-    unknown = sorted(set(names) - set(build) - {"firstMatch"})
+#: Stage-1 features: a function of a candidate ``c`` gives (condition, name, value) triples. More can be registered.
+STAGE1: dict = {}
+
+
+def stage1_feature(name: str):
+    return lambda f: STAGE1.setdefault(name, f)
+
+
+class Candidate:
+    """Columns of a candidate: start, words, frag, sent_words, pos and, if asked for, phrase_n and indices."""
+
+    def __init__(self):
+        self.start, self.words, self.frag, self.sent_words = (F.col(x) for x in ("start", "words", "frag", "sent_words"))
+        self.size = F.size("words")
+        self.stop = self.start + self.size
+        self.phrase = F.array_join("words", "_")
+        self.tags = F.array_join(F.slice("pos", F.col("start") + 1, F.size("words")), "_")
+        self.pair = F.concat(F.lit("CP="), self.phrase, F.lit("=>"), F.replace(self.frag, F.lit(" "), F.lit("_")))
+
+
+@stage1_feature("bias")
+def _bias(c):
+    return [(F.lit(True), F.lit("bias"), F.lit(1.0))]
+
+
+@stage1_feature("length")
+def _length(c):
+    return [(F.lit(True), F.lit("len"), c.size.cast("double"))]
+
+
+@stage1_feature("firstMatch")
+def _first_match(c):
+    """The phrase stands nowhere earlier in the sentence."""
+    earlier = F.exists(F.filter(F.transform("sent_words", lambda w, i: i), lambda i: i < c.start), lambda i: F.slice("sent_words", i + 1, c.size) == c.words)
+    return [(~earlier, F.lit("firstMatch"), F.lit(1.0))]
+
+
+@stage1_feature("numberIndicator")
+def _number(c):
+    return [((c.size == 1) & c.phrase.rlike("^[0-9]*$") & (c.phrase == c.frag), F.lit("numIndicator"), F.lit(1.0))]
+
+
+@stage1_feature("badConcept")
+def _bad_concept(c):
+    return [(c.frag.rlike("^[A-Za-z]*$") & (F.length(c.frag) <= 2), F.lit("badConcept"), F.lit(1.0))]
+
+
+@stage1_feature("sentenceMatch")
+def _sentence(c):
+    return [(c.size == F.size("sent_words"), F.lit("sentenceMatch"), F.lit(1.0))]
+
+
+@stage1_feature("andList")
+def _and_list(c):
+    """The first ``;`` of a sentence that is a list, and the others."""
+    listed = (F.get("sent_words", c.start) == ";") & F.array_join("sent_words", " ").rlike("^[^;]+(?: ; .*)+[^.!?]$")
+    first = (F.array_position("sent_words", ";") == c.start + 1) & (c.size == 1)
+    return [(listed & first, F.lit("andList"), F.lit(1.0)), (listed & ~first, F.lit("andListNot"), F.lit(1.0))]
+
+
+@stage1_feature("pos")
+def _pos(c):
+    return [(F.lit(True), F.concat(F.lit("POS="), c.tags), F.lit(1.0))]
+
+
+@stage1_feature("posEvent")
+def _pos_event(c):
+    return [(F.lit(True), F.concat(F.lit("POS="), c.tags, F.lit("+EVENT="), F.when(c.frag.rlike("^.*-[0-9][0-9]$"), "T").otherwise("F")), F.lit(1.0))]
+
+
+@stage1_feature("phrase")
+def _phrase(c):
+    return [(F.col("phrase_n") > 10, F.concat(F.lit("phrase="), c.phrase), F.lit(1.0))]
+
+
+@stage1_feature("phraseConceptPair")
+def _pair(c):
+    return [(F.size("indices") > 10, c.pair, F.lit(1.0))]
+
+
+@stage1_feature("phraseConceptPairPOS")
+def _pair_pos(c):
+    name = F.concat(F.lit("CP="), c.phrase, F.lit("+POS="), c.tags, F.lit("=>"), F.replace(c.frag, F.lit(" "), F.lit("_")))
+    return [(F.size("indices") > 3, name, F.lit(1.0))]
+
+
+@stage1_feature("pairWith2WordContext")
+def _pair_context(c):
+    around = lambda name, i: F.concat(c.pair, F.lit(f"+{name}="), F.get("sent_words", i))
+    return [(c.start > 0, around("W-1", c.start - 1), F.lit(1.0)), (c.stop < F.size("sent_words"), around("W+1", c.stop), F.lit(1.0))]
+
+
+def feature_list(names) -> Column:
+    """The named features of a candidate's row as an array of (feature, value)."""
+    unknown = sorted(set(names) - set(STAGE1))
     if unknown:
         raise ValueError(f"unknown stage-1 features: {unknown}")
-    if "firstMatch" in names:
-        w = Window.partitionBy("sent_id", F.array_join("words", " "))
-        c = c.withColumn("__first", F.min("start").over(w))
-        build["firstMatch"] = [(F.col("start") == F.col("__first"), F.lit("firstMatch"), one)]
-    made = F.array(*(F.when(cond, F.struct(name.alias("feature"), value.alias("value"))) for n in names for cond, name, value in build[n]))
-    return c.select("sent_id", "start", F.array_join("words", " ").alias("phrase"), "frag", F.inline(F.filter(made, lambda x: x.isNotNull())))
+    c = Candidate()
+    made = F.array(*(F.when(cond, F.struct(name.alias("feature"), value.alias("value"))) for n in names for cond, name, value in STAGE1[n](c)))
+    return F.filter(made, lambda x: x.isNotNull())
+
+
+def stage1_features(c: DataFrame, names) -> DataFrame:
+    """(sent_id, start, phrase, frag, feature, value) for the named features.
+
+    ``c`` has sent_id, start, words, frag, sent_words and pos (of the sentence), and phrase_n or indices if a feature
+    asks for them. Each candidate carries its sentence; ``sentence_features`` does not.
+    """
+    return c.select("sent_id", "start", F.array_join("words", " ").alias("phrase"), "frag", F.inline(feature_list(names)))
+
+
+def sentence_features(sentences: DataFrame, names) -> DataFrame:
+    """As ``stage1_features``, from rows of whole sentences: sent_id, sent_words, pos, candidates (array of start, words, frag).
+
+    Features are built inside the sentence's row and only (feature, value) leaves it, so no candidate carries a copy of its sentence.
+    """
+    per = F.transform("candidates", lambda c: _with(c, names))
+    return sentences.select("sent_id", F.inline(F.flatten(per)))
+
+
+def _with(c: Column, names) -> Column:
+    class Own(Candidate):
+        def __init__(self):
+            self.start, self.words, self.frag, self.sent_words = c["start"], c["words"], c["frag"], F.col("sent_words")
+            self.size = F.size(self.words)
+            self.stop = self.start + self.size
+            self.phrase = F.array_join(self.words, "_")
+            self.tags = F.array_join(F.slice("pos", self.start + 1, self.size), "_")
+            self.pair = F.concat(F.lit("CP="), self.phrase, F.lit("=>"), F.replace(self.frag, F.lit(" "), F.lit("_")))
+
+    own = Own()
+    made = F.array(*(F.when(cond, F.struct(own.start.alias("start"), F.array_join(own.words, " ").alias("phrase"), own.frag.alias("frag"), name.alias("feature"), value.alias("value"))) for n in names for cond, name, value in STAGE1[n](own)))
+    return F.filter(made, lambda x: x.isNotNull())

@@ -6,13 +6,26 @@ node_ids, coref). Sentences are independent, so every window and join has ``sent
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Depth that recursive plans may reach.
-DEPTH = 99
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that all executors share, so that later rounds do not compute it again.
+
+    The folder is ``spark.checkpoint.dir``. Only where everything runs in one process may it be unset.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir is not set, and a local folder would not reach the executors")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def is_constant(concept: Column) -> Column:
@@ -42,9 +55,12 @@ def with_inverses(edges: DataFrame) -> DataFrame:
 
 
 def number_ops(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``:op`` children numbered by where their spans start; ``:op1`` to ``:opn`` take the first places of a node."""
-    w = Window.partitionBy("sent_id", "src").orderBy("start", "dst")
-    ops = edges.where("label = ':op'").join(starts, ["sent_id", "dst"])
+    """``:op`` children numbered by where their spans start; ``:op1`` to ``:opn`` take the first places of a node.
+
+    A child without a start comes after those with one.
+    """
+    w = Window.partitionBy("sent_id", "src").orderBy(F.col("start").asc_nulls_last(), "dst")
+    ops = edges.where("label = ':op'").join(starts, ["sent_id", "dst"], "left")
     ops = ops.select("sent_id", "src", F.concat(F.lit(":op"), F.row_number().over(w).cast("string")).alias("label"), "dst", (F.row_number().over(w) - 1_000_000).alias("ord"))
     return edges.where("label <> ':op'").select("sent_id", "src", "label", "dst", "ord").unionByName(ops)
 
@@ -55,17 +71,37 @@ def sort_relations(edges: DataFrame) -> DataFrame:
     return edges.withColumn("ord", F.row_number().over(w) - 1)
 
 
+def climb(nodes: DataFrame, join) -> DataFrame:
+    """(sent_id, node, own): what ``join`` makes of the ``own`` values on the way from each node to its root.
+
+    ``nodes`` has sent_id, node, up (null at a root) and own. Each round joins what is known of a way with what is
+    known of the rest of it, so a depth of n takes log n rounds of an equi-join by (sent_id, node). Nodes whose way
+    up ends at a missing node, or in a circle, have no row.
+    """
+    done, open_ = nodes.where("up is null").select("sent_id", "node", "own"), cut(nodes.where("up is not null").select("sent_id", "node", "up", "own"))
+    done = cut(done)
+    left = open_.count()
+    while left:
+        ends = done.select("sent_id", F.col("node").alias("up"), F.col("own").alias("above"))
+        finished = open_.join(ends, ["sent_id", "up"]).select("sent_id", "node", join(F.col("above"), F.col("own")).alias("own"))
+        onward = open_.select("sent_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("own").alias("above"))
+        further = open_.join(onward, ["sent_id", "up"]).join(finished.select("sent_id", "node"), ["sent_id", "node"], "left_anti")
+        done = cut(done.unionByName(finished))
+        open_ = cut(further.select("sent_id", "node", F.col("next").alias("up"), join(F.col("above"), F.col("own")).alias("own")))
+        # What is left is fewer each round, unless it hangs on a circle.
+        now = open_.count()
+        if now == left and not open_.join(done.select("sent_id", F.col("node").alias("up")), ["sent_id", "up"], "left_semi").limit(1).count():
+            break
+        left = now
+    return done
+
+
 def gorn_ids(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(sent_id, node, gorn): the root is 0, the i-th tree child of x is x.i; a recursive plan over tree edges."""
-    spark, tag = roots.sparkSession, uuid.uuid4().hex[:8]
+    """(sent_id, node, gorn): the root is 0, the i-th tree child of x is x.i, for trees of any depth and number."""
     w = Window.partitionBy("sent_id", "src").orderBy("ord", "dst")
-    roots.select("sent_id", "node").createOrReplaceTempView(f"roots_{tag}")
-    edges.select("sent_id", "src", "dst", (F.row_number().over(w) - 1).alias("i")).createOrReplaceTempView(f"edges_{tag}")
-    return spark.sql(f"""
-        WITH RECURSIVE ids MAX RECURSION LEVEL {DEPTH} AS (
-          SELECT sent_id, node, '0' AS gorn FROM roots_{tag}
-          UNION ALL SELECT e.sent_id, e.dst, concat(ids.gorn, '.', e.i) FROM ids JOIN edges_{tag} e ON e.sent_id = ids.sent_id AND e.src = ids.node)
-        SELECT * FROM ids""")
+    children = edges.select("sent_id", F.col("dst").alias("node"), F.col("src").alias("up"), (F.row_number().over(w) - 1).cast("string").alias("own"))
+    tops = roots.select("sent_id", "node", F.lit(None).cast(children.schema["up"].dataType).alias("up"), F.lit("0").alias("own"))
+    return climb(tops.unionByName(children), lambda above, own: F.concat(above, F.lit("."), own)).withColumnRenamed("own", "gorn")
 
 
 def preorder(ids: DataFrame) -> DataFrame:
@@ -151,27 +187,55 @@ def edge_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.select("sent_id", F.concat_ws("\t", F.lit("# ::edge"), "src_concept", F.regexp_replace("label", "^:", ""), "dst_concept", "src", "dst", F.lit("")).alias("line"))
 
 
-def triples(nodes: DataFrame, edges: DataFrame, detail: int = 1) -> DataFrame:
-    """(sent_id, triples): sorted triple lines; detail 0 has concepts, 1 ids, 2 both, 3 labels first, 4 ids only in order."""
-    a = nodes.select("sent_id", F.col("node_id").alias("src"), F.col("concept").alias("sc"))
-    b = nodes.select("sent_id", F.col("node_id").alias("dst"), F.col("concept").alias("dc"))
-    e = edges.join(a, ["sent_id", "src"]).join(b, ["sent_id", "dst"])
-    shapes = [
-        F.concat_ws(" ", "sc", "label", "dc"),
-        F.concat_ws(" ", "src", "label", "dst"),
-        F.concat_ws(" ", F.concat("src", F.lit("/"), "sc"), "label", F.concat("dst", F.lit("/"), "dc")),
-        F.concat(F.col("label"), F.lit("("), "sc", F.lit(", "), "dc", F.lit(")")),
-        F.concat_ws("\t", "src", "label", "dst"),
-    ]
-    return e.groupBy("sent_id").agg(F.array_join(F.sort_array(F.collect_list(shapes[min(detail, 4)])), "\n").alias("triples"))
+def triples(nodes: DataFrame, edges: DataFrame, detail: int = 1, extra: Column | None = None, sort: bool = True) -> DataFrame:
+    """(sent_id, triples): a line for each edge; labels lose their colon.
+
+    Detail 0 is ``(concept, relation, concept)``, 1 the same with variables, 2 ``relation(concept, concept)``, 3 the same with
+    variables, and 4 or more ``(concept, concept, relation)`` with variables. ``nodes`` has node_id, concept and, from
+    detail 1 on, var. ``extra`` is put after each line. Lines are sorted, or else in the order of ``ord``.
+    """
+    name = F.concat(F.when(F.col("var").isNull(), "").otherwise(F.concat("var", F.lit(" / "))), "concept") if detail in (1, 3) or detail > 3 else F.col("concept")
+    ends = nodes.select("sent_id", "node_id", name.alias("name"))
+    e = edges.join(ends.toDF("sent_id", "src", "a"), ["sent_id", "src"]).join(ends.toDF("sent_id", "dst", "b"), ["sent_id", "dst"])
+    relation = F.regexp_replace("label", "^:", "")
+    shapes = [("(", "a", ", ", relation, ", ", "b", ")"), ("(", "a", ", ", relation, ", ", "b", ")"), (relation, "(", "a", ", ", "b", ")"), (relation, "(", "a", ", ", "b", ")"), ("(", "a", ", ", "b", ", ", relation, ")")]
+    parts = [F.col(x) if isinstance(x, str) and x in "ab" else x if isinstance(x, Column) else F.lit(x) for x in shapes[min(detail, 4)]]
+    line = F.concat(*parts, F.coalesce(extra, F.lit("")) if extra is not None else F.lit(""))
+    key = F.struct(line.alias("line")) if sort else F.struct("ord", line.alias("line"))
+    return e.groupBy("sent_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["line"]), "\n").alias("triples"))
+
+
+def canonical_fragments(nodes: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sent_id, node_id, frag): the whole tree below each of ``roots``, children sorted by label and concept.
+
+    This is the form in which fragments are compared. Leaves are written first, then nodes all of whose children
+    are written, so a depth of n takes n rounds; a fragment has few levels.
+    """
+    texts = nodes.select("sent_id", "node_id", "concept")
+    tree = edges.select("sent_id", "src", "label", "dst")
+    parents = cut(tree.groupBy("sent_id", F.col("src").alias("node_id")).agg(F.count("*").alias("n")))
+    done = cut(texts.join(parents, ["sent_id", "node_id"], "left_anti").select("sent_id", "node_id", "concept", F.col("concept").alias("frag")))
+    waiting = cut(parents)
+    while waiting.limit(1).count():
+        kids = tree.join(done.select("sent_id", F.col("node_id").alias("dst"), F.col("concept").alias("c"), "frag"), ["sent_id", "dst"])
+        below = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.concat_ws(" ", "label", "c").alias("k"), F.concat_ws(" ", "label", "frag").alias("x")))), lambda z: z["x"]), " ")
+        ready = kids.groupBy("sent_id", F.col("src").alias("node_id")).agg(F.count("*").alias("have"), below.alias("below")).join(waiting, ["sent_id", "node_id"]).where("have = n")
+        new = cut(ready.join(texts, ["sent_id", "node_id"]).select("sent_id", "node_id", "concept", F.concat(F.lit("("), "concept", F.lit(" "), "below", F.lit(")")).alias("frag")))
+        if not new.limit(1).count():
+            break
+        done, waiting = cut(done.unionByName(new)), cut(waiting.join(new.select("sent_id", "node_id"), ["sent_id", "node_id"], "left_anti"))
+    return done.join(roots.select("sent_id", "node_id"), ["sent_id", "node_id"], "left_semi").select("sent_id", "node_id", "frag")
 
 
-def star_fragments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Canonical strings of fragments one level deep: children sorted by label and concept."""
-    b = nodes.select("sent_id", F.col("node_id").alias("dst"), F.col("concept").alias("dc"))
-    kids = edges.join(b, ["sent_id", "dst"]).groupBy("sent_id", "src").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "label", "dc"))), " ").alias("kids"))
-    out = nodes.join(kids.withColumnRenamed("src", "node_id"), ["sent_id", "node_id"], "left")
-    return out.select("sent_id", "node_id", F.when(F.col("kids").isNull(), F.col("concept")).otherwise(F.concat(F.lit("("), "concept", F.lit(" "), "kids", F.lit(")"))).alias("frag"))
+def disconnected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sent_id, node_id, stanza) of each named node: its variable and concept, and its edges one below the other.
+
+    Children stand in the order of ``ord``; a child is its variable, or its concept if it has none.
+    """
+    ends = nodes.select("sent_id", F.col("node_id").alias("dst"), F.coalesce("var", "concept").alias("to"))
+    lines = edges.join(ends, ["sent_id", "dst"]).groupBy("sent_id", F.col("src").alias("node_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "label", "to"))), lambda e: F.concat(F.lit("\n  "), e["label"], F.lit(" "), e["to"])), "").alias("below"))
+    named = nodes.where("var is not null").join(lines, ["sent_id", "node_id"], "left")
+    return named.select("sent_id", "node_id", F.concat(F.lit("("), "var", F.lit(" / "), "concept", F.coalesce("below", F.lit("")), F.lit(")")).alias("stanza"))
 
 
 def not_simple(edges: DataFrame) -> DataFrame:
@@ -186,30 +250,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Least labels run along the edges until none changes; labels also jump to their label's label, so long
     chains take few rounds. Each round is written to the shared folder.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    both = edges.select("sent_id", F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("sent_id", "dst", "src")).distinct().checkpoint()
+    both = edges.select("sent_id", F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("sent_id", "dst", "src")).distinct()
+    both = cut(both)
     now = nodes.select("sent_id", "node_id", F.col("node_id").alias("component")).distinct()
     while True:
         near = both.join(now.select("sent_id", F.col("node_id").alias("b"), "component"), ["sent_id", "b"]).groupBy("sent_id", "a").agg(F.min("component").alias("m"))
         step = now.join(near.withColumnRenamed("a", "node_id"), ["sent_id", "node_id"], "left").select("sent_id", "node_id", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("c"))
         onward = now.select("sent_id", F.col("node_id").alias("c"), F.col("component").alias("further"))
-        step = step.join(onward, ["sent_id", "c"], "left").select("sent_id", "node_id", "was", F.least("c", F.coalesce("further", "c")).alias("component")).checkpoint()
+        step = cut(step.join(onward, ["sent_id", "c"], "left").select("sent_id", "node_id", "was", F.least("c", F.coalesce("further", "c")).alias("component")))
         if step.where("was <> component").limit(1).count() == 0:
             return step.select("sent_id", "node_id", "component")
         now = step.select("sent_id", "node_id", "component")
 
 
 def has_cycle(edges: DataFrame) -> DataFrame:
-    """(sent_id, cyclic): leaves are peeled off until none is left; what remains lies on or above a cycle."""
-    rest, every = edges.select("sent_id", "src", "dst"), edges.select("sent_id").distinct()
+    """(sent_id, cyclic): leaves are peeled off until none is left; what remains lies on or above a cycle. Each round is written."""
+    rest, every = cut(edges.select("sent_id", "src", "dst").distinct()), edges.select("sent_id").distinct()
     count = rest.count()
     while count:
         heads = rest.select("sent_id", F.col("src").alias("dst")).distinct()
-        rest = rest.join(heads, ["sent_id", "dst"], "left_semi").select("sent_id", "src", "dst")
+        rest = cut(rest.join(heads, ["sent_id", "dst"], "left_semi").select("sent_id", "src", "dst"))
         left = rest.count()
         if left == count:
             break
@@ -219,13 +279,8 @@ def has_cycle(edges: DataFrame) -> DataFrame:
 
 def ancestors(parents: DataFrame) -> DataFrame:
     """(sent_id, node, path): the nodes from each node up to its root; a node whose way up is broken has no row."""
-    spark, tag = parents.sparkSession, uuid.uuid4().hex[:8]
-    parents.select("sent_id", "node", "parent").createOrReplaceTempView(f"parents_{tag}")
-    return spark.sql(f"""
-        WITH RECURSIVE up MAX RECURSION LEVEL {DEPTH} AS (
-          SELECT sent_id, node, array(node) AS path FROM parents_{tag} WHERE parent IS NULL
-          UNION ALL SELECT p.sent_id, p.node, array_prepend(up.path, p.node) FROM up JOIN parents_{tag} p ON p.sent_id = up.sent_id AND p.parent = up.node)
-        SELECT * FROM up""")
+    rows = parents.select("sent_id", "node", F.col("parent").alias("up"), F.array("node").alias("own"))
+    return climb(rows, lambda above, own: F.concat(own, above)).withColumnRenamed("own", "path")
 
 
 def common_suffix(a: Column, b: Column) -> Column:

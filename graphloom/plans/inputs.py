@@ -30,21 +30,30 @@ def pairs(spark, sf):
     return joined.select(F.col("p_name").alias("phrase"), F.concat(F.lit("(thing :mod "), F.lower("p_type"), F.lit(")")).alias("frag"), F.col("l_orderkey").alias("sent"))
 
 
+def order_lines(spark, sf):
+    """The suppliers and parts of each order, once each."""
+    li = read(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("sent_id"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+
+
+def named(prefix: str, *columns) :
+    return F.concat(F.lit(prefix), F.concat_ws("x", *(F.col(c).cast("string") for c in columns)))
+
+
 def tree_nodes(spark, sf):
-    """region > nation > customer as one graph for each region."""
-    r, n, c = read(spark, sf, "region"), read(spark, sf, "nation"), read(spark, sf, "customer")
-    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
-    regions = r.select(F.col("r_regionkey").cast("long").alias("sent_id"), name("r", "r_regionkey").alias("node_id"), F.lower("r_name").alias("concept"))
-    nations = n.select(F.col("n_regionkey").cast("long").alias("sent_id"), name("n", "n_nationkey").alias("node_id"), F.lower("n_name").alias("concept"))
-    customers = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_regionkey").cast("long").alias("sent_id"), name("c", "c_custkey").alias("node_id"), F.lower("c_mktsegment").alias("concept"))
-    return regions.unionByName(nations).unionByName(customers)
+    """order > supplier > part, as one graph for each order."""
+    lines = order_lines(spark, sf)
+    kinds = F.array(*map(F.lit, ("building", "machinery", "automobile", "furniture", "household")))
+    orders = lines.select("sent_id").distinct().select("sent_id", named("r", "sent_id").alias("node_id"), F.lit("order").alias("concept"))
+    suppliers = lines.select("sent_id", "s").distinct().select("sent_id", named("n", "s").alias("node_id"), named("maker", "s").alias("concept"))
+    parts = lines.select("sent_id", named("c", "s", "p").alias("node_id"), F.get(kinds, (F.col("p") % 5).cast("int")).alias("concept"))
+    return orders.unionByName(suppliers).unionByName(parts)
 
 
 def tree_edges(spark, sf):
-    n, c = read(spark, sf, "nation"), read(spark, sf, "customer")
-    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
-    a = n.select(F.col("n_regionkey").cast("long").alias("sent_id"), name("r", "n_regionkey").alias("src"), F.lit(":part").alias("label"), name("n", "n_nationkey").alias("dst"), F.col("n_nationkey").cast("long").alias("ord"))
-    b = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_regionkey").cast("long").alias("sent_id"), name("n", "c_nationkey").alias("src"), F.when(F.col("c_acctbal") < 0, ":mod-of").otherwise(":op").alias("label"), name("c", "c_custkey").alias("dst"), F.col("c_custkey").alias("ord"))
+    lines = order_lines(spark, sf)
+    a = lines.select("sent_id", "s").distinct().select("sent_id", named("r", "sent_id").alias("src"), F.lit(":part").alias("label"), named("n", "s").alias("dst"), F.col("s").alias("ord"))
+    b = lines.select("sent_id", named("n", "s").alias("src"), F.when(F.col("p") % 7 == 0, ":mod-of").otherwise(":op").alias("label"), named("c", "s", "p").alias("dst"), F.col("p").alias("ord"))
     return a.unionByName(b)
 
 
@@ -83,11 +92,11 @@ SQL = {
     "sent": r"sent AS (SELECT doc_id AS sent_id, [w for w in regexp_split_to_array(text, '[ \n]') if w <> ''] AS words FROM documents)",
     "tok": "tok AS (SELECT sent_id, CAST(unnest(range(len(words))) AS INTEGER) AS idx, unnest(words) AS tok FROM sent)",
     "pairs": "pairs AS (SELECT p_name AS phrase, '(thing :mod ' || lower(p_type) || ')' AS frag, l_orderkey AS sent FROM lineitem JOIN part ON l_partkey = p_partkey)",
-    "tn": """tn AS (SELECT CAST(r_regionkey AS BIGINT) AS sent_id, 'r' || r_regionkey AS node_id, lower(r_name) AS concept FROM region
-      UNION ALL SELECT n_regionkey, 'n' || n_nationkey, lower(n_name) FROM nation
-      UNION ALL SELECT n_regionkey, 'c' || c_custkey, lower(c_mktsegment) FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
-    "te": """te AS (SELECT CAST(n_regionkey AS BIGINT) AS sent_id, 'r' || n_regionkey AS src, ':part' AS label, 'n' || n_nationkey AS dst, CAST(n_nationkey AS BIGINT) AS ord FROM nation
-      UNION ALL SELECT n_regionkey, 'n' || c_nationkey, CASE WHEN c_acctbal < 0 THEN ':mod-of' ELSE ':op' END, 'c' || c_custkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
+    "tn": """tl AS (SELECT DISTINCT l_orderkey AS sent_id, l_suppkey AS s, l_partkey AS p FROM lineitem),
+      tn AS (SELECT DISTINCT sent_id, 'r' || sent_id AS node_id, 'order' AS concept FROM tl UNION ALL SELECT DISTINCT sent_id, 'n' || s, 'maker' || s FROM tl
+      UNION ALL SELECT sent_id, 'c' || s || 'x' || p, ['building', 'machinery', 'automobile', 'furniture', 'household'][p % 5 + 1] FROM tl)""",
+    "te": """te AS (SELECT DISTINCT l_orderkey AS sent_id, 'r' || l_orderkey AS src, ':part' AS label, 'n' || l_suppkey AS dst, l_suppkey AS ord FROM lineitem
+      UNION ALL SELECT DISTINCT l_orderkey, 'n' || l_suppkey, CASE WHEN l_partkey % 7 = 0 THEN ':mod-of' ELSE ':op' END, 'c' || l_suppkey || 'x' || l_partkey, l_partkey FROM lineitem)""",
     "sc": "sc AS (SELECT l_orderkey AS sent_id, 'o' AS src, ':' || l_returnflag AS label, 's' || l_suppkey AS dst, round(max(l_discount) - 0.05, 4) AS score, 2 AS max_card FROM lineitem GROUP BY l_orderkey, l_suppkey, l_returnflag)",
     "ev": "ev AS (SELECT user_id AS sent_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx, event_type AS tok, value FROM events)",
     "cand": """cand AS (SELECT sent_id, idx AS start, idx + idx % 3 + 1 AS stop, tok AS frag, round(value, 4) AS score FROM ev

@@ -54,9 +54,9 @@ def blocks(spark, sf):
 ORACLE["blocks"] = "WITH " + ORACLE["blocks"]
 
 
-@query("SELECT conv_id, turn, 'c' || conv_id AS id, role AS who, coalesce(nullif(regexp_extract(text, '^[^ ]+', 0), ''), '') AS first FROM conversations WHERE text NOT LIKE ' %'")
+@query("SELECT conv_id, turn, 'c' || conv_id AS id, role AS who, coalesce(nullif(regexp_extract(text, '^[^ ]+', 0), ''), '') AS first FROM conversations")
 def metadata(spark, sf):
-    c = I.read(spark, sf, "conversations").where("text not like ' %'")
+    c = I.read(spark, sf, "conversations")
     line = F.concat(F.lit("# ::id c"), F.col("conv_id").cast("string"), F.lit(" ::annotator "), "role", F.lit(" ::first "), F.regexp_extract("text", "^[^ ]+", 0))
     m = reader.metadata(line)
     return c.select("conv_id", "turn", m["::id"].alias("id"), m["::annotator"].alias("who"), m["::first"].alias("first"))
@@ -270,23 +270,24 @@ def ner_candidates(spark, sf):
     return c.select("c_custkey", F.regexp_extract(frag, r"^\(([a-z]+)", 1).alias("c"), frag.alias("frag"))
 
 
-@query("""d AS (SELECT o_orderkey, o_orderdate AS t, o_orderkey % 4 AS k FROM orders),
-y AS (SELECT *, ' :day ' || day(t) || ' :month ' || month(t) || ' :year ' AS dmy, year(t) AS yr FROM d)
-SELECT o_orderkey, 'day_month_year' AS rule, '(date-entity' || dmy || yr || ')' AS frag FROM y WHERE k = 0
-UNION ALL SELECT o_orderkey, 'month_day_year', '(date-entity' || dmy || yr || ')' FROM y WHERE k = 1
-UNION ALL SELECT o_orderkey, 'month', '(date-entity :month ' || month(t) || ')' FROM y WHERE k = 1
-UNION ALL SELECT o_orderkey, 'eight_digit', '(date-entity' || dmy || yr || ')' FROM y WHERE k = 2
-UNION ALL SELECT o_orderkey, 'six_digit', '(date-entity' || dmy || yr || ')' FROM y WHERE k = 3
-UNION ALL SELECT o_orderkey, 'eight_digit', '(date-entity :day ' || day(t) || ' :month ' || month(t) || CASE WHEN yr % 100 > 0 THEN ' :year ' || (yr % 100) ELSE '' END || ')' FROM y WHERE k = 3""")
+@query("""WITH d AS (SELECT o_orderkey, o_orderdate AS t, o_orderkey % 6 AS k FROM orders),
+y AS (SELECT *, '(date-entity :day ' || day(t) || ' :month ' || month(t) || ' :year ' AS dmy, strftime(t, '%Y') AS yr FROM d)
+SELECT o_orderkey, 'day_month_year' AS rule, 3 AS n_words, dmy || yr || ')' AS frag, 'datex1' AS feature FROM y WHERE k = 0
+UNION ALL SELECT o_orderkey, 'month_day_year', CASE k WHEN 1 THEN 4 ELSE 3 END, dmy || yr || ')', 'datex1' FROM y WHERE k IN (1, 4)
+UNION ALL SELECT o_orderkey, 'month', 1, '(date-entity :month ' || month(t) || ')', 'datex3' FROM y WHERE k IN (1, 4)
+UNION ALL SELECT o_orderkey, 'eight_digit', 1, dmy || yr || ')', 'datex1' FROM y WHERE k IN (2, 5)
+UNION ALL SELECT o_orderkey, 'six_digit', 1, dmy || CASE WHEN yr[3:4] < '40' THEN '20' ELSE '19' END || yr[3:4] || ')', 'datex1' FROM y WHERE k = 3
+UNION ALL SELECT o_orderkey, 'eight_digit', 1, dmy || yr[3:4] || ')', 'datex1' FROM y WHERE k = 3""")
 def date_candidates(spark, sf):
+    """Orders' dates in six ways of writing; six digits are also read as a year of two digits, month and day."""
     o = I.read(spark, sf, "orders")
-    t, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 4
-    tail = F.when(k == 0, F.replace(F.date_format(t, "d MMMM yyyy"), F.lit(" "), F.lit("\t"))).when(k == 1, F.replace(F.date_format(t, "MMMM d , yyyy"), F.lit(" "), F.lit("\t"))).when(k == 2, F.date_format(t, "yyyy-MM-dd")).otherwise(F.date_format(t, "yyMMdd"))
+    t, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 6
+    spaced = lambda form: F.replace(F.date_format(t, form), F.lit(" "), F.lit("\t"))
+    tail = F.when(k == 0, spaced("d MMMM yyyy")).when(k == 1, spaced("MMMM d , yyyy")).when(k == 2, F.date_format(t, "yyyy-MM-dd"))
+    tail = tail.when(k == 3, F.date_format(t, "yyMMdd")).when(k == 4, F.lower(spaced("MMMM d yyyy"))).otherwise(F.date_format(t, "yyyy.MM.dd"))
     return candidates.date_candidates(o.select("o_orderkey", tail.alias("tail")), "o_orderkey", "tail")
 
 
-ORACLE["date_candidates"] = "WITH " + ORACLE["date_candidates"]
-
 STEMS = "(VALUES ('view','view'),('viewed','view'),('click','click'),('purchase','purchase'),('purchase','buy'))"
 
 
@@ -300,7 +301,7 @@ def predicate_candidates(spark, sf):
     return candidates.predicate_senses(I.events(spark, sf), stems(spark), listed)
 
 
-@query(f"SELECT sent_id, idx AS start, tok AS phrase, stem || '-00' AS frag FROM ev JOIN {STEMS} s(surface, stem) ON tok = surface WHERE idx % 2 = 0", "ev")
+@query(f"SELECT sent_id, idx AS start, tok AS phrase, coalesce(stem, tok) || '-00' AS frag FROM ev LEFT JOIN (SELECT surface, arg_min(stem, (length(stem), stem)) AS stem FROM {STEMS} s(surface, stem) GROUP BY surface) ON tok = surface WHERE idx % 2 = 0", "ev")
 def verb_candidates(spark, sf):
     return candidates.verb_senses(I.events(spark, sf).withColumn("pos", F.when(F.col("idx") % 2 == 0, "VBZ").otherwise("NN")), stems(spark))
 
@@ -319,28 +320,26 @@ STAGE1 = ("bias", "length", "numberIndicator", "badConcept", "sentenceMatch", "a
 
 
 def stage1_input(spark, sf):
+    """Conversation turns as sentences; every word is a candidate for itself."""
     c = I.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("sent_id"), F.split("text", "[ \n]+").alias("sent_words"))
     c = c.withColumn("pos", F.transform("sent_words", lambda w: F.when(w.rlike("^[A-Z]"), "NNP").otherwise("NN")))
-    places = c.select("sent_id", "sent_words", "pos", F.posexplode("sent_words").alias("start", "w"))
-    return places.select("sent_id", "sent_words", "pos", "start", F.array("w").alias("words"), F.col("w").alias("frag"))
+    return c.withColumn("candidates", F.transform("sent_words", lambda w, i: F.struct(i.alias("start"), F.array(w).alias("words"), w.alias("frag"))))
 
 
-@query("""c AS (SELECT conv_id * 100 + turn AS sent_id, regexp_split_to_array(text, '[ \\n]+') AS ws FROM conversations),
-t AS (SELECT sent_id, ws, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM c),
-p AS (SELECT *, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'NNP' ELSE 'NN' END AS pos, min(i) OVER (PARTITION BY sent_id, w) AS f, coalesce(CASE WHEN i > 0 THEN ws[i] END, '<none>') AS pw, coalesce(ws[i + 2], '<none>') AS nw FROM t),
+@query("""WITH c AS (SELECT conv_id * 100 + turn AS sent_id, row_number() OVER () AS r, regexp_split_to_array(text, '[ \\n]+') AS ws FROM conversations),
+t AS (SELECT r, ws, regexp_full_match(array_to_string(ws, ' '), '[^;]+(?: ; .*)+[^.!?]') AS listed, list_position(ws, ';') AS sm, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM c),
+p AS (SELECT *, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'NNP' ELSE 'NN' END AS pos, min(i) OVER (PARTITION BY r, w) AS f, 'CP=' || w || '=>' || replace(w, ' ', '_') AS cp FROM t),
 a AS (SELECT 'bias' AS feature FROM p UNION ALL SELECT 'len' FROM p
-UNION ALL SELECT 'number' FROM p WHERE regexp_full_match(w, '[0-9]+') UNION ALL SELECT 'badConcept' FROM p WHERE regexp_full_match(w, '[A-Za-z]+') AND length(w) <= 2
+UNION ALL SELECT 'numIndicator' FROM p WHERE regexp_full_match(w, '[0-9]*') UNION ALL SELECT 'badConcept' FROM p WHERE regexp_full_match(w, '[A-Za-z]*') AND length(w) <= 2
 UNION ALL SELECT 'sentenceMatch' FROM p WHERE len(ws) = 1 UNION ALL SELECT 'POS=' || pos FROM p UNION ALL SELECT 'POS=' || pos || '+EVENT=' || CASE WHEN regexp_matches(w, '-[0-9][0-9]$') THEN 'T' ELSE 'F' END FROM p
-UNION ALL SELECT 'CP=' || w || '=>' || w || '+P=' || pw FROM p UNION ALL SELECT 'CP=' || w || '=>' || w || '+N=' || nw FROM p UNION ALL SELECT 'firstMatch' FROM p WHERE i = f)
+UNION ALL SELECT CASE WHEN i + 1 = sm THEN 'andList' ELSE 'andListNot' END FROM p WHERE w = ';' AND listed
+UNION ALL SELECT cp || '+W-1=' || ws[i] FROM p WHERE i > 0 UNION ALL SELECT cp || '+W+1=' || ws[i + 2] FROM p WHERE i + 1 < len(ws) UNION ALL SELECT 'firstMatch' FROM p WHERE i = f)
 SELECT feature, count(*) AS n, CAST(count(*) AS DOUBLE) AS value FROM a GROUP BY feature""")
 def stage1_features(spark, sf):
-    f = candidates.stage1_features(stage1_input(spark, sf), STAGE1)
+    f = candidates.sentence_features(stage1_input(spark, sf), STAGE1)
     return f.groupBy("feature").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-ORACLE["stage1_features"] = "WITH " + ORACLE["stage1_features"]
-
-
 # Stage-1 decoding --------------------------------------------------------------------------------
 
 CELLS = "cells AS (SELECT sent_id, start, stop, frag, score FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, stop ORDER BY score DESC, start DESC, frag) AS k FROM cand WHERE score >= 0) WHERE k = 1)"
@@ -440,14 +439,35 @@ def edges_sink(spark, sf):
     return graphs.edge_rows(I.tree_edges(spark, sf), I.tree_nodes(spark, sf))
 
 
-@query(JOINED + " SELECT sent_id, string_agg(src || '/' || sc || ' ' || label || ' ' || dst || '/' || dc, chr(10) ORDER BY src || '/' || sc || ' ' || label || ' ' || dst || '/' || dc) AS triples FROM j GROUP BY sent_id", "tn", "te")
-def tree_triples(spark, sf):
-    return graphs.triples(I.tree_nodes(spark, sf), I.tree_edges(spark, sf), 2)
+def with_variables(spark, sf):
+    """Nodes with a variable, their id, but for those of one kind."""
+    return I.tree_nodes(spark, sf).withColumn("var", F.when(F.col("concept") != "building", F.col("node_id")))
+
+
+NAMED = JOINED + ", q AS (SELECT sent_id, ord, substr(label, 2) AS rel, sc, dc, CASE WHEN sc = 'building' THEN sc ELSE src || ' / ' || sc END AS a, CASE WHEN dc = 'building' THEN dc ELSE dst || ' / ' || dc END AS b FROM j), t AS (SELECT *, {} AS line FROM q) SELECT sent_id, string_agg(line, chr(10) ORDER BY line) AS triples FROM t GROUP BY sent_id"
+
+
+def triples_query(detail: int, line: str):
+    def run(spark, sf):
+        return graphs.triples(with_variables(spark, sf), I.tree_edges(spark, sf), detail)
+
+    run.__name__ = f"tree_triples_{detail}"
+    return query(NAMED.format(line), "tn", "te")(run)
+
+
+for detail, line in enumerate(("'(' || sc || ', ' || rel || ', ' || dc || ')'", "'(' || a || ', ' || rel || ', ' || b || ')'", "rel || '(' || sc || ', ' || dc || ')'", "rel || '(' || a || ', ' || b || ')'", "'(' || a || ', ' || b || ', ' || rel || ')'")):
+    triples_query(detail, line)
 
 
-@query(JOINED + ", k AS (SELECT sent_id, src AS node_id, string_agg(label || ' ' || dc, ' ' ORDER BY label || ' ' || dc) AS kids FROM j GROUP BY sent_id, src) SELECT tn.sent_id, tn.node_id, CASE WHEN kids IS NULL THEN concept ELSE '(' || concept || ' ' || kids || ')' END AS frag FROM tn LEFT JOIN k USING (sent_id, node_id)", "tn", "te")
+@query(JOINED + ", k AS (SELECT sent_id, src, string_agg(chr(10) || '  ' || label || ' ' || CASE WHEN dc = 'building' THEN dc ELSE dst END, '' ORDER BY ord, label, CASE WHEN dc = 'building' THEN dc ELSE dst END) AS below FROM j GROUP BY sent_id, src) SELECT tn.sent_id, node_id, '(' || node_id || ' / ' || concept || coalesce(below, '') || ')' AS stanza FROM tn LEFT JOIN k ON tn.sent_id = k.sent_id AND node_id = src WHERE concept <> 'building'", "tn", "te")
+def disconnected_graphs(spark, sf):
+    return graphs.disconnected(with_variables(spark, sf), I.tree_edges(spark, sf))
+
+
+@query(JOINED + ", k AS (SELECT sent_id, src AS node_id, string_agg(label || ' ' || dc, ' ' ORDER BY label || ' ' || dc) AS kids FROM j WHERE src LIKE 'n%' GROUP BY sent_id, src), f AS (SELECT j.sent_id, src, string_agg(label || ' (' || dc || ' ' || kids || ')', ' ' ORDER BY label || ' ' || dc) AS kids FROM j JOIN k ON j.sent_id = k.sent_id AND dst = node_id GROUP BY j.sent_id, src) SELECT tn.sent_id, tn.node_id, '(' || concept || ' ' || kids || ')' AS frag FROM tn JOIN f ON tn.sent_id = f.sent_id AND node_id = src", "tn", "te")
 def canonical_fragments(spark, sf):
-    return graphs.star_fragments(I.tree_nodes(spark, sf), I.tree_edges(spark, sf))
+    n = I.tree_nodes(spark, sf)
+    return graphs.canonical_fragments(n, n.where("node_id like 'r%'"), I.tree_edges(spark, sf))
 
 
 @query("SELECT sent_id, CASE WHEN label LIKE '%-of' THEN dst ELSE src END AS src, regexp_replace(label, '-of$', '') AS label, CASE WHEN label LIKE '%-of' THEN src ELSE dst END AS dst FROM te", "te")
@@ -603,16 +623,9 @@ def root_path(spark, sf):
     return root_paths(spark, sf).select("sent_id", "node", F.array_join("path", " ").alias("path"))
 
 
-@query(UP + ", z AS (SELECT sent_id, node, list_reverse(path) AS p FROM up WHERE substr(node, 1, 1) = 'c' AND CAST(substr(node, 2) AS BIGINT) <= 60) SELECT a.sent_id, a.node AS x, b.node AS y, CAST(CASE WHEN a.p[2] = b.p[2] THEN 2 ELSE 1 END AS INTEGER) AS shared FROM z a JOIN z b ON a.sent_id = b.sent_id AND a.node < b.node", "tn", "te")
-def lca_path(spark, sf):
-    p = root_paths(spark, sf).where("substr(node, 1, 1) = 'c' and cast(substr(node, 2) as bigint) <= 60")
-    a, b = p.select("sent_id", F.col("node").alias("x"), F.col("path").alias("px")), p.select("sent_id", F.col("node").alias("y"), F.col("path").alias("py"))
-    return a.join(b, "sent_id").where("x < y").select("sent_id", "x", "y", graphs.common_suffix(F.col("px"), F.col("py")).alias("shared"))
-
-
 @query(UP + ", z AS (SELECT sent_id, node, list_reverse(path) AS p FROM up), f AS (SELECT sent_id, min(node) AS x FROM z GROUP BY sent_id) SELECT f.sent_id, f.x, b.node AS y, CAST(len([i for i in range(1, least(len(a.p), len(b.p)) + 1) if a.p[1:i] = b.p[1:i]]) AS INTEGER) AS shared FROM f JOIN z a ON a.sent_id = f.sent_id AND a.node = f.x JOIN z b ON b.sent_id = f.sent_id AND b.node <> f.x", "tn", "te")
 def lca_path_all(spark, sf):
-    """As ``lca_path``, of every node against the least node of its tree."""
+    """The common path of every node and the least node of its tree."""
     p = root_paths(spark, sf).select("sent_id", "node", "path")
     least = p.groupBy("sent_id").agg(F.min(F.struct("node", "path")).alias("a"))
     pairs = p.join(least, "sent_id").where("node != a.node")
@@ -722,19 +735,9 @@ def align_f1(spark, sf):
     return e.select("sent_id", evaluation.alignment_counts(F.col("t"), F.col("g")).alias("c")).select("sent_id", "c.matched", "c.test", "c.gold")
 
 
-@query("a AS (SELECT l_orderkey // 8 AS pair_id, l_linenumber AS node, lower(l_returnflag) AS v FROM lineitem WHERE l_orderkey % 8 = 0), b AS (SELECT l_orderkey // 8 AS pair_id, l_linenumber AS node, lower(l_returnflag) AS v FROM lineitem WHERE l_orderkey % 8 = 1) SELECT a.pair_id, a.node AS a, b.node AS b, count(*) AS weight FROM a JOIN b ON a.pair_id = b.pair_id AND a.v = b.v GROUP BY ALL")
-def smatch_pool(spark, sf):
-    li = I.read(spark, sf, "lineitem")
-    g = li.select(F.floor(F.col("l_orderkey") / 8).alias("pair_id"), F.lit("instance").alias("kind"), F.col("l_linenumber").alias("node"), F.lit("instance").alias("name"), F.col("l_returnflag").alias("value"), (F.col("l_orderkey") % 8).alias("m"))
-    return evaluation.overlap_pool(g.where("m = 0"), g.where("m = 1"))
-
-
-ORACLE["smatch_pool"] = "WITH " + ORACLE["smatch_pool"]
-
-
 @query("a AS (SELECT l_orderkey // 2 AS pair_id, l_linenumber AS node, lower(l_returnflag) AS v FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT l_orderkey // 2 AS pair_id, l_linenumber AS node, lower(l_returnflag) AS v FROM lineitem WHERE l_orderkey % 2 = 1) SELECT a.pair_id, a.node AS a, b.node AS b, count(*) AS weight FROM a JOIN b ON a.pair_id = b.pair_id AND a.v = b.v GROUP BY ALL")
 def smatch_pool_all(spark, sf):
-    """As ``smatch_pool``, of all orders."""
+    """Node pairs of neighbouring orders that could match."""
     li = I.read(spark, sf, "lineitem")
     g = li.select(F.floor(F.col("l_orderkey") / 2).alias("pair_id"), F.lit("instance").alias("kind"), F.col("l_linenumber").alias("node"), F.lit("instance").alias("name"), F.col("l_returnflag").alias("value"), (F.col("l_orderkey") % 2).alias("m"))
     return evaluation.overlap_pool(g.where("m = 0"), g.where("m = 1"))

@@ -57,15 +57,15 @@ def typed_dependency(text: Column) -> Column:
 def entities(df: DataFrame, id: str, idx: str, tag: str) -> DataFrame:
     """(id, start, stop, label): maximal runs of BIO or BILOU tags.
 
-    A run starts at B- or U-, or at I- or L- that does not go on from the same label; O ends it.
+    A run starts at any tag but O and goes on over I- and L- tags of its label.
     """
-    w = Window.partitionBy(id).orderBy(idx)
-    kind, label = F.substring(tag, 1, 1), F.regexp_replace(tag, r"^[BILU]-", "")
-    before, before_kind = F.lag(label).over(w), F.lag(kind).over(w)
-    starts = kind.isin("B", "U") | before.isNull() | (before != label) | before_kind.isin("L", "U", "O")
-    runs = df.select(id, idx, F.col(tag).alias("tag"), label.alias("label"), F.when(kind == "O", 0).when(starts, 1).otherwise(0).alias("s"))
-    runs = runs.withColumn("run", F.sum("s").over(w)).where("tag <> 'O'")
-    return runs.groupBy(id, "run", "label").agg(F.min(idx).alias("start"), (F.max(idx) + 1).alias("stop")).select(id, "start", "stop", "label")
+    w = Window.partitionBy("__id").orderBy("__idx")
+    given = df.select(F.col(id).alias("__id"), F.col(idx).alias("__idx"), F.col(tag).alias("__tag"))
+    on = F.col("__tag").rlike("^[IL]-") & (F.substring("__tag", 3, 2**30) == F.substring(F.lag("__tag").over(w), 3, 2**30)) & (F.lag("__tag").over(w) != "O")
+    runs = given.withColumn("__new", F.when((F.col("__tag") == "O") | F.coalesce(on, F.lit(False)), 0).otherwise(1))
+    runs = runs.withColumn("__run", F.sum("__new").over(w)).where("__tag <> 'O'")
+    found = runs.groupBy("__id", "__run").agg(F.min("__idx").alias("start"), (F.max("__idx") + 1).alias("stop"), F.first(F.substring("__tag", 3, 2**30)).alias("label"))
+    return found.select(F.col("__id").alias(id), "start", "stop", "label")
 
 
 def bracket_tags(text: Column) -> Column:
