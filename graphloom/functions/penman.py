@@ -7,6 +7,7 @@ x.i, and re-entrant edges take no number.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 TOKEN = re.compile(r'"[^"]+"|[()]|[^ \t\n()":]+|:[^ \t\n()":]+')
@@ -115,33 +116,59 @@ def show(graph, detail: int = 1, pretty: bool = False, at: str | None = None, de
     return f"({head}{glue}{glue.join(parts)})"
 
 
-def spanning_tree(root: str, nodes: list[str], edges: list[tuple[str, str, str]]):
-    """(tree edges, re-entrant edges) of a best-first walk by depth; turned edges cost 1000 more, ties go by insertion."""
-    import heapq
-
-    def turned(label):
-        return label[:-3] if label.endswith("-of") else label + "-of"
+def spanning_tree(root: str, edges: list[tuple[str, str, str]]):
+    """(tree edges, re-entrant edges) by a walk from the root, nearest first.
 
-    out: dict[str, list] = {n: [] for n in nodes}
-    for a, label, b in edges:
-        out[a].append((0, label, b, (a, label, b)))
-        out[b].append((1000, turned(label), a, (a, label, b)))
-    seen, used, tree, queue, count = {root}, set(), [], [], 0
-
-    def push(n, depth):
-        nonlocal count
-        for extra, label, target, edge in out[n]:
-            heapq.heappush(queue, (depth + 1 + extra, count, n, label, target, edge))
-            count += 1
+    A relation costs its source's depth, followed backwards (as ``-of``) 1000 more, for that edge alone; equal costs go
+    by when they were met, and a node's relations are met by label, forward ones first. A forward relation that leads
+    to a node already reached is re-entrant; a backward one to such a node is the other side of an edge and is left out.
+    """
+    import heapq
 
-    push(root, 0)
+    forward: dict[str, list] = {}
+    backward: dict[str, list] = {}
+    for source, label, target in edges:
+        if label.endswith("-of") and label != "-of":
+            source, label, target = target, label[:-3], source
+        forward.setdefault(source, []).append((label, target))
+        backward.setdefault(target, []).append((label + "-of", source))
+    reached, tree, again, queue, met = set(), [], [], [(0, 0, 0, "", "", root)], 0
     while queue:
-        cost, _, n, label, target, edge = heapq.heappop(queue)
-        if target in seen or edge in used:
+        _, _, depth, parent, label, here = heapq.heappop(queue)
+        if here in reached:
+            if not label.endswith("-of"):
+                again.append((parent, label, here))
             continue
-        seen.add(target)
-        used.add(edge)
-        tree.append((n, label, target))
-        push(target, cost)
-    rest = [e for e in edges if e not in used and e[0] in seen and e[2] in seen]
-    return tree, rest
+        reached.add(here)
+        if depth:
+            tree.append((parent, label, here))
+        for extra, found in ((0, [e for e in forward.get(here, []) if e[1] != parent]), (1000, backward.get(here, []))):
+            for label, other in sorted(found, key=lambda e: e[0]):
+                met += 1
+                heapq.heappush(queue, (depth + extra, met, depth + 1, here, label, other))
+    return tree, again
+
+
+def free_name(initial: str, taken) -> str:
+    """The initial, or the initial with the least number from 2 on that is free."""
+    if initial not in taken:
+        return initial
+    return next(f"{initial}{k}" for k in itertools.count(2) if f"{initial}{k}" not in taken)
+
+
+def name_apart(names: list[str | None]) -> list[str | None]:
+    """Variables in the order of a walk; one that was there before is given the next free name of its initial."""
+    taken: set[str] = set()
+    out: list[str | None] = []
+    for name in names:
+        if name is not None:
+            name = free_name(name[0], taken) if name in taken else name
+            taken.add(name)
+        out.append(name)
+    return out
+
+
+def numbered_ops(children: list[tuple[str, str]], starts: dict[str, int]) -> list[tuple[str, str]]:
+    """``:op`` children first, numbered by where their spans start; those without a start after the others."""
+    ops = sorted((c for c in children if c[0] == ":op"), key=lambda c: (starts.get(c[1], 1 << 30), c[1]))
+    return [(f":op{k}", c) for k, (_, c) in enumerate(ops, 1)] + [c for c in children if c[0] != ":op"]

@@ -12,17 +12,24 @@ def chart(candidates: DataFrame) -> DataFrame:
     return candidates.where("score >= 0").withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
+#: Cells of a sentence that are walked at a time.
+WALK = 256
+
+
 def cover(cells: DataFrame) -> DataFrame:
     """The greedy cover from the right: a cell is kept if it stops at or before the start of the last one kept.
 
     Scores are not added along a path. One aggregation gathers a sentence's cells (one for each token at most), and a
-    fold over them by descending stop keeps the cover.
+    fold over them by descending stop keeps the cover. The fold writes one flag for each cell, in strings of ``WALK``
+    flags, so that a long sentence's flags are not copied for each cell.
     """
     gathered = cells.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("stop", "start", "frag", "score")), asc=False).alias("cells"))
-    # The fold writes one flag for each cell; flags are copied as bytes, which an array of cells would not be.
-    flags = F.expr("""
-        aggregate(cells, named_struct('edge', 2147483647, 'flags', ''),
-                  (z, c) -> if(c.stop <= z.edge, named_struct('edge', c.start, 'flags', concat(z.flags, '1')), named_struct('edge', z.edge, 'flags', concat(z.flags, '0'))), z -> z.flags)""")
+    flags = F.expr(f"""
+        aggregate(sequence(0, cast((size(cells) - 1) div {WALK} as int)), named_struct('edge', 2147483647, 'parts', cast(array() as array<string>)),
+                  (y, b) -> aggregate(slice(cells, b * {WALK} + 1, {WALK}), named_struct('edge', y.edge, 'flags', ''),
+                                      (z, c) -> if(c.stop <= z.edge, named_struct('edge', c.start, 'flags', concat(z.flags, '1')), named_struct('edge', z.edge, 'flags', concat(z.flags, '0'))),
+                                      z -> named_struct('edge', z.edge, 'parts', array_append(y.parts, z.flags))),
+                  y -> array_join(y.parts, ''))""")
     kept = gathered.withColumn("flags", flags).select("sent_id", F.inline(F.expr("filter(cells, (c, i) -> substring(flags, i + 1, 1) = '1')")))
     return kept.select("sent_id", "start", "stop", "frag", "score")
 
@@ -57,16 +64,25 @@ def normal_entity(frag: Column) -> Column:
 
 
 def pair_scores(nodes: DataFrame, labels: DataFrame, features: DataFrame, weights: DataFrame) -> DataFrame:
-    """(sent_id, src, dst, label, score): weights of unconjoined and label-conjoined features of each pair, added up.
+    """(sent_id, src, dst, label, score): for each pair of different nodes and each label the weights of its features, added up.
 
-    ``features`` has sent_id, src, dst, feature, u, c; ``weights`` feature, label (null: unconjoined), value. Features without a
-    weight never meet one, so nothing is computed for them.
+    ``features`` has sent_id, src, dst, feature, u, c and, if they come from ``edgefeatures``, labels; ``weights`` feature, label
+    (null: unconjoined), value. An unconjoined weight counts u times for every label, and once for the labels of the
+    feature's group; a weight with a label counts c times for it. Features without a weight never meet one, so
+    nothing is computed for them. Every label of the set is scored, however many there are.
     """
-    plain = features.join(weights.where("label is null").select("feature", "value"), "feature").groupBy("sent_id", "src", "dst").agg(F.sum(F.col("u") * F.col("value")).alias("s"))
-    by_label = features.join(weights.where("label is not null"), "feature").groupBy("sent_id", "src", "dst", "label").agg(F.sum(F.col("c") * F.col("value")).alias("t"))
+    features = features if "labels" in features.columns else features.withColumn("labels", F.lit(None).cast("string"))
+    keys = ["sent_id", "src", "dst"]
+    plain = features.join(weights.where("label is null").select("feature", "value"), "feature")
+    group = plain.where("labels is not null").groupBy(*keys, "labels").agg(F.sum("value").alias("g"))
+    plain = plain.groupBy(*keys).agg(F.sum(F.col("u") * F.col("value")).alias("s"))
+    by_label = features.join(weights.where("label is not null"), "feature").groupBy(*keys, "label").agg(F.sum(F.col("c") * F.col("value")).alias("t"))
     a, b = nodes.select("sent_id", F.col("node_id").alias("src")), nodes.select("sent_id", F.col("node_id").alias("dst"))
-    pairs = a.join(b, "sent_id").where("src <> dst").crossJoin(labels.select("label"))
-    return pairs.join(plain, ["sent_id", "src", "dst"], "left").join(by_label, ["sent_id", "src", "dst", "label"], "left").select("sent_id", "src", "dst", "label", (F.coalesce("s", F.lit(0.0)) + F.coalesce("t", F.lit(0.0))).alias("score"))
+    grouped = labels.select("label", F.when(F.col("label").startswith(":ARG"), "ARG").otherwise("other").alias("labels"))
+    pairs = a.join(b, "sent_id").where("src <> dst").crossJoin(grouped)
+    total = pairs.join(plain, keys, "left").join(group, [*keys, "labels"], "left").join(by_label, [*keys, "label"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return total.select(*keys, "label", (zero("s") + zero("g") + zero("t")).alias("score"))
 
 
 def top_labels(scores: DataFrame) -> DataFrame:

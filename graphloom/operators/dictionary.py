@@ -36,17 +36,27 @@ def phrase_counts(table: DataFrame, occurrences: DataFrame, inflated: bool = Tru
 
 
 def derived_features(counts: DataFrame, fragments: DataFrame, phrases: DataFrame) -> DataFrame:
-    """The dictionary's log features: concept given phrase, phrase given concept, N and corpus counts."""
+    """A dictionary's features of each phrase and fragment: corpus (1), corpus_len (words of the phrase), count (n), and
+    the logs of the shares of the fragment among the phrase's and of the phrase among the fragment's occurrences."""
     f, p = fragments.withColumnRenamed("n", "frag_n"), phrases.withColumnRenamed("n", "phrase_n")
     joined = counts.join(f, "frag").join(p, "phrase")
     return joined.select(
-        "phrase", "frag", "n",
+        "phrase", "frag", "n", F.lit(1.0).alias("corpus"), F.col("n").cast("double").alias("count"),
         F.ln(F.col("n") / F.col("phrase_n")).alias("c_given_p"),
         F.ln(F.col("n") / F.col("frag_n")).alias("p_given_c"),
         F.size(F.split("phrase", " ")).alias("corpus_len"),
     )
 
 
+def fragment_log_probability(fragments: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(frag, log_pr): the logs of the shares of a fragment's concepts among all concepts, added up.
+
+    ``fragments`` has frag and concepts (array, repeats included); ``concepts`` is what ``concept_counts`` gives.
+    """
+    long = fragments.select("frag", F.explode("concepts").alias("concept"))
+    return long.join(concepts.select("concept", "log_pr"), "concept").groupBy("frag").agg(F.sum("log_pr").alias("log_pr"))
+
+
 def leave_one_out(entries: DataFrame, sentence: Column, distance: int = 20) -> DataFrame:
     """Entries that some sentence more than ``distance`` away has taught."""
     return entries.where(F.exists("indices", lambda j: F.abs(j - sentence) > distance))
@@ -55,22 +65,33 @@ def leave_one_out(entries: DataFrame, sentence: Column, distance: int = 20) -> D
 def match_dictionary(sentences: DataFrame, table: DataFrame) -> DataFrame:
     """(sent_id, start, phrase, frag): table entries whose words stand in a sentence.
 
-    ``sentences`` has sent_id and words; ``table`` has words and frag. The join is on the first word, the other words
-    are compared after it; only the few words that an entry needs go through the join.
+    ``sentences`` has sent_id and words; ``table`` has words and frag. The join is on an entry's words as one string, so
+    that a frequent first word is no hot key; a sentence's places give a string for each length that entries have.
     """
-    longest = table.agg(F.max(F.size("words"))).first()[0] or 1  # one number
-    places = sentences.select("sent_id", F.posexplode(F.transform("words", lambda w, i: F.slice(F.col("words"), i + 1, longest))).alias("start", "ahead"))
-    places = places.withColumn("first", F.col("ahead")[0])
-    entries = table.select(F.col("words")[0].alias("first"), F.col("words").alias("entry"), "frag")
-    found = places.join(entries, "first").where(F.slice("ahead", 1, F.size("entry")) == F.col("entry"))
-    return found.select("sent_id", "start", F.array_join("entry", " ").alias("phrase"), "frag")
+    sizes = sorted(r[0] for r in table.select(F.size("words")).distinct().collect())  # the lengths of phrases: a few numbers
+    if not sizes:
+        return sentences.where("false").select("sent_id", F.lit(0).alias("start"), F.lit("").alias("phrase"), F.lit("").alias("frag"))
+
+    def runs_of(n: int) -> Column:
+        phrase = lambda i: F.array_join(F.slice(F.col("words"), i + 1, n), " ")
+        return F.transform("words", lambda w, i: F.when(i + n <= F.size("words"), F.struct(i.cast("int").alias("start"), phrase(i).alias("phrase"))))
+
+    runs = [runs_of(n) for n in sizes]
+    places = sentences.select("sent_id", F.inline(F.filter(F.concat(*runs), lambda r: r.isNotNull())))
+    entries = table.select(F.array_join("words", " ").alias("phrase"), F.size("words").alias("n"), "frag")
+    return places.join(entries, "phrase").select("sent_id", "start", "phrase", "frag")
 
 
 def merge_candidates(candidates: DataFrame) -> DataFrame:
-    """One row for each (sent_id, start, phrase, frag): features added up, training indices put together."""
+    """One row for each (sent_id, start, phrase, frag): features added up, training indices (if there) put together.
+
+    A candidate without features stays, with an empty map.
+    """
     keys = ["sent_id", "start", "phrase", "frag"]
-    long = candidates.select(*keys, F.explode("features").alias("k", "v")).groupBy(*keys, "k").agg(F.sum("v").alias("v"))
-    return long.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("features"))
+    add = lambda z, x: F.map_zip_with(z, x, lambda _, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+    features = F.aggregate(F.collect_list("features"), F.create_map().cast("map<string,double>"), add)
+    more = [F.sort_array(F.flatten(F.collect_list("indices"))).alias("indices")] if "indices" in candidates.columns else []
+    return candidates.groupBy(*keys).agg(features.alias("features"), *more)
 
 
 def word_frequencies(tokens: DataFrame) -> DataFrame:

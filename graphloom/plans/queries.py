@@ -203,7 +203,7 @@ def phrase_counts(spark, sf):
 
 
 @query(K + """, c AS (SELECT phrase, frag, count(*) AS n FROM pairs GROUP BY ALL), f AS (SELECT frag, count(*) AS fn FROM pairs GROUP BY frag)
-SELECT phrase, frag, n, round(ln(n / (k * m)), 6) AS c_given_p, round(ln(n / fn), 6) AS p_given_c, CAST(2 AS INTEGER) AS corpus_len FROM c JOIN f USING (frag) JOIN k USING (phrase)""", "pairs")
+SELECT phrase, frag, n, round(ln(n / (k * m)), 6) AS c_given_p, round(ln(n / fn), 6) AS p_given_c, CAST(2 AS INTEGER) AS corpus_len, 1.0::DOUBLE AS corpus, CAST(n AS DOUBLE) AS count FROM c JOIN f USING (frag) JOIN k USING (phrase)""", "pairs")
 def dictionary_features(spark, sf):
     p = I.pairs(spark, sf)
     counts = dictionary.phrase_concept_counts(p, 10**9)
@@ -386,19 +386,24 @@ def normal_entity(spark, sf):
     return c.select("c_custkey", decoding.normal_entity(candidates.entity_fragment(F.lit("PER"), F.array("c_name"))).alias("frag"))
 
 
-
-
-@query()
+# The cover's cells are one or two words long here. Of a run of stops with cells of two words, every other one from the
+# right is kept; a cell of one word goes if the cell that stops after it has two words and is kept.
+@query("""c AS (SELECT sent_id, idx AS start, idx + 1 AS stop, tok AS frag, CAST(0.15 AS DOUBLE) AS score FROM tok WHERE regexp_full_match(tok, '[A-Za-z0-9]*')
+  UNION ALL SELECT sent_id, idx, idx + 2, frag, CAST(0.5 AS DOUBLE) FROM (SELECT sent_id, idx, tok || ' ' || lead(tok) OVER (PARTITION BY sent_id ORDER BY idx) AS phrase FROM tok)
+  JOIN (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') AS phrase, '(phrase :mod ' || string_split(text, ' ')[2] || ')' AS frag FROM benchmark WHERE len(string_split(text, ' ')) > 1) USING (phrase)),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, stop ORDER BY score DESC, start DESC, frag) AS k FROM c) WHERE k = 1),
+two AS (SELECT *, stop - row_number() OVER (PARTITION BY sent_id ORDER BY stop) AS run FROM k WHERE stop - start = 2),
+kept AS (SELECT sent_id, start, stop, frag, score FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, run ORDER BY stop DESC) AS back FROM two) WHERE back % 2 = 1)
+SELECT * FROM kept UNION ALL SELECT k.sent_id, k.start, k.stop, k.frag, k.score FROM k ANTI JOIN kept b ON b.sent_id = k.sent_id AND b.stop = k.stop + 1 WHERE k.stop - k.start = 1""", "sent", "tok")
 def parse_cover(spark, sf):
-    """Flagship: documents to tokens, pass-through candidates scored by how rare the word is, and the cover of each document."""
-    toks = I.tokens(spark, sf)
-    c = candidates.pass_through(toks)
-    freq = dictionary.word_frequencies(toks)
-    scored = c.join(freq, c.phrase == freq.tok).select("sent_id", "start", (F.col("start") + 1).alias("stop"), "frag", F.round(1 / F.col("n"), 6).alias("score"))
-    return decoding.cover(decoding.chart(scored))
-
-
-ORACLE["parse_cover"] = I.sql("f AS (SELECT tok, count(*) AS n FROM tok GROUP BY tok) SELECT sent_id, idx AS start, idx + 1 AS stop, tok AS frag, round(1 / n, 6) AS score FROM tok JOIN f USING (tok) WHERE regexp_full_match(tok, '[A-Za-z0-9]*')", "sent", "tok")
+    """Flagship: documents to words, words and the phrases of a dictionary as candidates, scored by weights, and the cover of each document."""
+    s = I.sentences(spark, sf)
+    b = I.read(spark, sf, "benchmark").select(F.split("text", " ").alias("w")).where("size(w) > 1")
+    frag = F.concat(F.lit("(phrase :mod "), F.col("w")[1], F.lit(")"))
+    entries = b.select(F.slice("w", 1, 2).alias("words"), frag.alias("frag")).distinct()
+    phrases = dictionary.match_dictionary(s, entries).select("sent_id", "start", (F.col("start") + 2).alias("stop"), "frag", F.lit(0.5).alias("score"))
+    words = candidates.pass_through(I.tokens(spark, sf)).select("sent_id", "start", (F.col("start") + 1).alias("stop"), "frag", F.lit(0.15).alias("score"))
+    return decoding.cover(decoding.chart(words.unionByName(phrases)))
 
 
 # Graphs --------------------------------------------------------------------------------------------

@@ -33,7 +33,7 @@ def test_pool_of_all_orders(spark):
 def test_common_paths_of_all_nodes(spark):
     got = sorted(tuple(r) for r in queries.lca_path_all(spark, SF).collect())
     assert got == twin("lca_path_all")
-    assert len(got) == queries.root_paths(spark, SF).count() - 5
+    assert len(got) == queries.root_paths(spark, SF).count() - inputs.order_lines(spark, SF).select("sent_id").distinct().count()
 
 
 def test_more_labels_than_ten_thousand(spark):
@@ -51,6 +51,6 @@ def test_relaxation_says_whether_limits_hold(spark):
     want = []
     for sent, edges in scored.items():
         edges.sort()
-        out, holds = edgedecode.relaxed(sorted({x for e in edges for x in e[:2]}), [], edges, rowsonly.LIMITS)
+        out, holds = edgedecode.relaxed(sorted({x for e in edges for x in e[:2]}), [], edges, rowsonly.LIMITS, strategy="sqrtT")
         want += [(sent, *e, holds) for e in out]
     assert sorted(tuple(r) for r in rowsonly.relaxation(spark, SF).collect()) == sorted(want)
