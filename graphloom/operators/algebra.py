@@ -42,6 +42,12 @@ def one_line(a: DataFrame, id: str) -> DataFrame:
     return a.groupBy(id).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "feature", F.col("value").cast("string")))), " ").alias("line"))
 
 
+def from_one_line(line: Column) -> Column:
+    """``k=v k=v`` as a map; the value stands after the last ``=``."""
+    pairs = F.transform(F.filter(F.split(line, " "), lambda x: x != ""), lambda x: F.struct(F.regexp_replace(x, "=[^=]*$", "").alias("k"), F.regexp_extract(x, "=([^=]*)$", 1).cast("double").alias("v")))
+    return F.map_from_entries(pairs)
+
+
 def adagrad(weights: DataFrame, squares: DataFrame, gradient: DataFrame, step: float, l2: float = 0.0, n: int = 1) -> tuple[DataFrame, DataFrame]:
     """(weights, squares) after one step: G += g^2, w -= step * g / sqrt(G), with L2 on what the gradient touches."""
     w = weights.select(F.col("feature").alias("wf"), F.col("label").alias("wl"), F.col("value").alias("w"))
@@ -57,10 +63,11 @@ def adagrad(weights: DataFrame, squares: DataFrame, gradient: DataFrame, step: f
     return j.select(*KEY, new.alias("value")), j.select(*KEY, F.col("s").alias("value"))
 
 
-def sgd(weights: DataFrame, gradient: DataFrame, step: float, l2: float = 0.0) -> DataFrame:
-    """w -= step * g, then w -= step * l2 * w."""
+def sgd(weights: DataFrame, gradient: DataFrame, step: float, l2: float = 0.0, unregularized=()) -> DataFrame:
+    """w -= step * g, then w -= step * l2 * w, but for the features that are not regularized."""
     moved = add(weights, gradient, -step)
-    return moved.select(*KEY, (F.col("value") * (1 - step * l2)).alias("value"))
+    kept = F.when(F.col("feature").isin(*unregularized), 1.0).otherwise(1 - step * l2) if unregularized else F.lit(1 - step * l2)
+    return moved.select(*KEY, (F.col("value") * kept).alias("value"))
 
 
 def average(passes: list[DataFrame], divide_by_passes: bool) -> DataFrame:

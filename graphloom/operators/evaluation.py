@@ -49,3 +49,19 @@ def overlap_totals(counts: DataFrame) -> DataFrame:
 def agreement_table(scores: DataFrame, users: list[str]) -> DataFrame:
     """Mean scores of each pair of annotators as a square table."""
     return scores.groupBy("user_a").pivot("user_b", users).agg(F.round(F.avg("f"), 2))
+
+
+def relation_pool(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pair_id, a1, b1, a2, b2, weight): pairs of node pairs that would match relations of the same lower-cased name.
+
+    ``a`` and ``b`` have pair_id, name, node (the source) and to.
+    """
+    x = a.select("pair_id", F.lower("name").alias("name"), F.col("node").alias("a1"), F.col("to").alias("a2"))
+    y = b.select("pair_id", F.lower("name").alias("name"), F.col("node").alias("b1"), F.col("to").alias("b2"))
+    return x.join(y, ["pair_id", "name"]).groupBy("pair_id", "a1", "b1", "a2", "b2").agg(F.count("*").alias("weight"))
+
+
+def alignment_scores(df: DataFrame, test: Column, gold: Column) -> DataFrame:
+    """One row: matched, test, gold, precision, recall, f1 over all sentences' alignments."""
+    c = df.select(alignment_counts(test, gold).alias("c")).agg(*(F.coalesce(F.sum(f"c.{x}"), F.lit(0)).alias(x) for x in ("matched", "test", "gold")))
+    return c.select("matched", "test", "gold", *prf(F.col("matched"), F.col("test"), F.col("gold")))

@@ -6,16 +6,19 @@ import pytest
 
 from graphloom.functions import edgedecode, penman
 from graphloom.operators import decoding, edgefeatures
-from graphloom.plans import stage2
+from graphloom.plans import stage2, tools
 from tests.test_relational import DATA, plain
 
 
-@pytest.mark.parametrize("name", sorted(stage2.ORACLE))
+QUERIES, ORACLE = stage2.QUERIES | tools.QUERIES, stage2.ORACLE | tools.ORACLE
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_twin(name, spark):
     con = duckdb.connect()
     for p in glob.glob(f"{DATA}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
-    df, want = stage2.QUERIES[name](spark, DATA), con.sql(stage2.ORACLE[name])
+    df, want = QUERIES[name](spark, DATA), con.sql(ORACLE[name])
     columns = sorted(df.columns)
     assert columns == sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
