@@ -95,24 +95,30 @@ def is_constant(concept: str) -> bool:
 
 
 def show(graph, detail: int = 1, pretty: bool = False, at: str | None = None, depth: int = 0) -> str:
-    """The graph as text: detail 0 without variables (children sorted by label and concept), 1 with them, 2 with ids too."""
+    """The graph as text: detail 0 without variables (children sorted by label and concept), 1 with them, 2 with ids too.
+
+    Tree children come before re-entrant ones. A constant shows its variable only if it is the root or is referred to,
+    or in detail 2. ``pretty`` starts a line for each relation, six spaces deeper than its node's.
+    """
     root, nodes, edges = graph
     at = root if at is None else at
     var, concept = nodes[at]
-    referenced = {t for _, _, t, kind in edges if kind == "reentrant"}
+    referenced = {root} | {t for _, _, t, kind in edges if kind == "reentrant"}
     own = [(label, target) for source, label, target, kind in edges if source == at and kind == "tree"]
     back = [(label, target) for source, label, target, kind in edges if source == at and kind == "reentrant"]
     if detail == 0:
-        own.sort(key=lambda e: (e[0] + " " + nodes[e[1]][1]))
-    named = var is not None and (not is_constant(concept) or at in referenced)
+        own.sort(key=lambda e: e[0] + " " + nodes[e[1]][1])
+        back.sort(key=lambda e: e[0] + " " + nodes[e[1]][1])
+    named = var is not None and (not is_constant(concept) or at in referenced or detail == 2 or bool(own or back))
     head = f"{var} / {concept}" if detail and named else concept
     if detail == 2:
         head = f"[{at}] {head}"
+    refer = lambda t: nodes[t][1] if not detail else (f"[{t}] " if detail == 2 else "") + (nodes[t][0] or nodes[t][1])
     parts = [f"{label} {show(graph, detail, pretty, target, depth + 1)}" for label, target in own]
-    parts += [f"{label} {nodes[target][0] or nodes[target][1] if detail else nodes[target][1]}" for label, target in back]
+    parts += [f"{label} {refer(target)}" for label, target in back]
     if not parts:
         return f"({head})" if detail and named else head
-    glue = "\n" + "  " * (depth + 1) if pretty else " "
+    glue = " \n" + "      " * (depth + 1) if pretty else " "
     return f"({head}{glue}{glue.join(parts)})"
 
 

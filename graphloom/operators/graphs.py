@@ -171,8 +171,9 @@ def name_variables(nodes: DataFrame) -> DataFrame:
 
 
 def node_rows(nodes: DataFrame) -> DataFrame:
-    """Sink lines of nodes: id, concept and span, tab-separated."""
-    return nodes.select("sent_id", F.concat_ws("\t", F.lit("# ::node"), "node_id", "concept", F.concat("start", F.lit("-"), "stop")).alias("line"))
+    """Sink lines of nodes: id, concept and span, tab-separated; a node without a span ends with the tab."""
+    span = F.coalesce(F.concat("start", F.lit("-"), "stop"), F.lit(""))
+    return nodes.select("sent_id", F.concat_ws("\t", F.lit("# ::node"), "node_id", "concept", span).alias("line"))
 
 
 def root_rows(roots: DataFrame) -> DataFrame:

@@ -426,9 +426,12 @@ def preorder(spark, sf):
     return graphs.preorder(gorn(spark, sf))
 
 
-@query("SELECT sent_id, '# ::node' || chr(9) || node_id || chr(9) || concept || chr(9) || '0-1' AS line FROM tn", "tn")
+@query("SELECT sent_id, '# ::node' || chr(9) || node_id || chr(9) || concept || chr(9) || CASE WHEN concept = 'building' THEN '' ELSE length(node_id) || '-' || (length(node_id) + 1) END AS line FROM tn", "tn")
 def nodes_sink(spark, sf):
-    return graphs.node_rows(I.tree_nodes(spark, sf).withColumn("start", F.lit("0")).withColumn("stop", F.lit("1")))
+    """Nodes of one kind have no span."""
+    n = I.tree_nodes(spark, sf)
+    at = lambda k: F.when(F.col("concept") != "building", (F.length("node_id") + k).cast("string"))
+    return graphs.node_rows(n.withColumn("start", at(0)).withColumn("stop", at(1)))
 
 
 @query("SELECT sent_id, '# ::root' || chr(9) || node_id || chr(9) || concept AS line FROM tn WHERE node_id LIKE 'r%'", "tn")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import algebra, corpus, evaluation, learning
+from graphloom.operators import algebra, alignment, corpus, evaluation, learning
 from graphloom.plans import inputs as I
 from graphloom.plans import stage2
 
@@ -100,3 +100,15 @@ def perceptron_passes(spark, sf):
     of = lambda c: li.groupBy(F.col("l_returnflag").alias("feature")).agg(F.sum(c).alias("value")).withColumn("label", F.lit(None).cast("string")).select("feature", "label", "value")
     w = learning.learn(lambda w, cost: of("l_tax"), of("l_discount"), learning.Options(passes=3, step=1.0))
     return w.withColumn("value", F.round("value", 4) + 0.0)
+
+
+BARE = "regexp_extract({}, '^\"?(.+?)-?[0-9]*\"?$', 1)"
+
+
+@query(stage2.SENTENCES + f" SELECT nd.sent_id, nd.id AS node_id, min(tk.i) AS idx FROM nd JOIN tk ON tk.sent_id = nd.sent_id AND {BARE.format('tk.concept')} = {BARE.format('nd.concept')} GROUP BY ALL")
+def exact_words(spark, sf):
+    """For each node the first word with its bare concept; sense and number of the words are cut as well."""
+    s = stage2.order_sentences(spark, sf)
+    n = s.select("sent_id", F.inline("nodes")).select("sent_id", F.col("id").alias("node_id"), "concept")
+    w = s.select("sent_id", F.posexplode(F.transform("nodes", lambda n: n["concept"])).alias("idx", "c")).select("sent_id", F.col("idx").cast("long").alias("idx"), alignment.bare_concept(F.col("c")).alias("word"))
+    return alignment.exact_matches(n, w)

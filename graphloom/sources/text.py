@@ -28,7 +28,10 @@ def metadata(line: Column) -> Column:
 
 
 def record(block: Column) -> Column:
-    """A training record of a block: graph lines, the tokens, all alignments and the one in force (the last)."""
+    """A training record of a block: graph lines, the tokens, all alignments and the one in force (the last).
+
+    ``bad`` says that the block has not exactly one ``::tok`` or no ``::alignments``.
+    """
     lines = F.split(block, "\n")
     meta = F.filter(lines, lambda x: x.startswith("#"))
     pick = lambda key: F.transform(F.filter(meta, lambda x: x.contains(f"::{key} ")), lambda x: F.trim(F.regexp_extract(x, rf"::{key} (.*?)(?: ::|$)", 1)))
@@ -38,6 +41,7 @@ def record(block: Column) -> Column:
         F.get(pick("tok"), F.lit(0)).alias("tok"),
         aligned.alias("alignments"),
         F.when(F.size(aligned) > 0, F.element_at(aligned, -1)).alias("alignment"),
+        ((F.size(pick("tok")) != 1) | (F.size(aligned) == 0)).alias("bad"),
     )
 
 
