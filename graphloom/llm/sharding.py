@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, without
 
+#: Rows of a source block, and of a range of slots, that a task sorts: their numbers grow with the table.
+TOGETHER = 100_000
 #: Half-width of the window of the drawn law, in standard deviations: beyond lies less than 1e-31.
 SPREAD = 12
 
@@ -68,22 +70,25 @@ def communication_matrix(sizes: DataFrame, shards: int, blocks: int, seed: int)
     return node.selectExpr("cells[0].blk as blk", "transform(columns, (c, s) -> aggregate(slice(columns, 1, s + 1), 0L, (y, v) -> y + v)) as upto")
 
 
-def shuffle_into_shards(df: DataFrame, shards: int, *, seed: int = 7, blocks: int = 512, parts: int = 64) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int, *, seed: int = 7, blocks: int | None = None, parts: int | None = None) -> DataFrame:
     """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard), a uniform shuffle.
 
     Law of the shards: exact sizes, at most one row apart. Every row counts on its own: nulls in any
     column, equal texts and repeated rows are dealt like all others, and an empty table gives an empty
     result. Input columns named ``shard`` or ``slot`` are replaced.
 
-    ``blocks`` source blocks and ``parts`` ranges of slots in each shard bound the rows that one task sorts
-    to their share of the table; raise them with the data. Rows get their numbers before the first
-    exchange and are written to the shared folder with them, so a lost executor changes no draw.
+    ``blocks`` source blocks (512 at least) and ``parts`` ranges of slots in each shard (64 at least) bound the rows that one
+    task sorts; unless they are given there are so many that each holds about ``TOGETHER`` rows. Rows get their
+    numbers before the first exchange and are written to the shared folder with them, so a lost executor changes no draw.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     own = without(df, ("shard", "slot"))
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.monotonically_increasing_id().alias("rid"))
     rows = cut(rows)
+    n = rows.count()  # one number
+    blocks = blocks or max(512, -(-n // TOGETHER))
+    parts = parts or max(64, -(-n // (shards * TOGETHER)))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(blocks)))
     matrix = communication_matrix(rows.groupBy("blk").agg(F.count("*").alias("n")), shards, blocks, seed + 1)
     at = F.row_number().over(Window.partitionBy("blk").orderBy(F.xxhash64(F.lit(seed + 2), "rid"), "rid")) - 1
