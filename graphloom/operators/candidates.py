@@ -142,7 +142,10 @@ def _length(c):
 @stage1_feature("firstMatch")
 def _first_match(c):
     """The phrase stands nowhere earlier in the sentence."""
-    earlier = F.exists(F.filter(F.transform("sent_words", lambda w, i: i), lambda i: i < c.start), lambda i: F.slice("sent_words", i + 1, c.size) == c.words)
+    head = F.get(c.words, F.lit(0))
+    starts = F.filter(F.transform("sent_words", lambda w, i: F.when((i < c.start) & (w == head), i)), lambda i: i.isNotNull())
+    earlier = F.exists(starts, lambda i: F.slice("sent_words", i + 1, c.size) == c.words)
+    earlier = F.when(c.size == 1, F.array_position("sent_words", head) != c.start + 1).otherwise(earlier)
     return [(~earlier, F.lit("firstMatch"), F.lit(1.0))]
 
 
