@@ -93,6 +93,13 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.mixing import mix_sources, word_count
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("text_md5"))
+    return mix_sources(docs, identity=["doc_id", "text_md5"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -110,6 +117,30 @@ def oracle_sql() -> dict[str, str]:
 WORDS = r"[w for w in regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if w <> '']"
 
 ORACLE: dict[str, str] = {
+    "op11_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(md5(text), '-')) AS key FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s0),
+s2 AS (SELECT *, CAST([3, 1, 2][place % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS lim FROM s1),
+s3 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY lim / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM s2),
+s4 AS (SELECT *, lim <= level * weight AS filled, arg_min(level, struct_pack(a := lim / weight, b := place)) FILTER (lim > level * weight) OVER () AS rest FROM s3),
+s AS (SELECT source, source_size, place, CASE WHEN filled THEN lim ELSE rest * weight END AS target, greatest(1, least(256, source_size // 256)) AS block FROM s4),
+k AS (SELECT d.*, place, CAST('0x' || substr(key, 1, 8) AS BIGINT) % greatest(64, (count(*) OVER () + 49999) // 50000) AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+c AS (SELECT place, shard, words, (words + block - 1) // block AS blocks, target, source_size FROM (SELECT place, shard, CAST(sum(size) AS BIGINT) AS words FROM k GROUP BY ALL) JOIN s USING (place)),
+v AS (SELECT place, sum(blocks) AS have, CASE WHEN source_size > 0 THEN target * sum(blocks) / source_size ELSE 0.0 END AS votes FROM c GROUP BY place, target, source_size),
+vq AS (SELECT place, have, votes, votes / (2 * unnest(range(0, CAST(2 * have + 64 AS BIGINT))) + 1) AS quotient, floor(sum(votes) OVER () + 0.5) AS seats FROM v),
+w AS (SELECT place, least(count(*), any_value(2 * have)) AS seats FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, place) AS r FROM vq) WHERE r <= seats AND quotient > 0 GROUP BY place),
+cq AS (SELECT c.place, shard, blocks, CAST(blocks AS DOUBLE) / (2 * unnest(range(0, 2 * blocks + 64)) + 1) AS quotient, seats FROM c JOIN w USING (place)),
+q AS (SELECT place, shard, least(count(*), any_value(2 * blocks)) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY quotient DESC, shard) AS r FROM cq) WHERE r <= seats AND quotient > 0 GROUP BY place, shard),
+b0 AS (SELECT place, shard, words, blocks, coalesce(quota, 0) AS quota, unnest(range(0, blocks)) AS j FROM c LEFT JOIN q USING (place, shard)),
+b AS (SELECT *, quota // blocks + CASE WHEN row_number() OVER (PARTITION BY place, shard ORDER BY md5('11:' || place || ':' || shard || ':' || j), j) <= quota % blocks THEN 1 ELSE 0 END AS times FROM b0),
+l AS (SELECT *, row_number() OVER () AS row, sum(size) OVER (PARTITION BY place, shard ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS start FROM k),
+t AS (SELECT row, sum((least(start + size, (j + 1) * words // blocks) - greatest(start, j * words // blocks)) * times) AS taken
+      FROM l JOIN b ON l.place = b.place AND l.shard = b.shard AND start < (j + 1) * words // blocks AND start + size > j * words // blocks GROUP BY row)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM l JOIN s USING (place) LEFT JOIN t USING (row)
+""",
     "op3_topk": """
 WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) for x in embedding] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
