@@ -74,3 +74,9 @@ def _second_parts() -> frozenset:
 def fresh(c: str) -> bool:
     """A text may be cut before this character without changing its composed form."""
     return c < "\x80" or (not unicodedata.combining(c) and c not in _second_parts())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -100,6 +100,12 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, identity=["doc_id", "text_md5"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -117,6 +123,23 @@ def oracle_sql() -> dict[str, str]:
 WORDS = r"[w for w in regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if w <> '']"
 
 ORACLE: dict[str, str] = {
+    "op12_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, [x for x in regexp_split_to_array(piece, '[\x20\x09]+') if x <> ''] AS ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) t(m))),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.*, l.f AS l, r.f AS r, n, CAST(1000::HUGEINT * a * n // (l.f::HUGEINT * r.f) AS BIGINT) AS score,
+      FROM (SELECT *, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp FROM k) k
+      JOIN f l ON l.lang = k.lang AND l.phrase = lp JOIN f r ON r.lang = k.lang AND r.phrase = rp JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS q FROM s) WHERE q = 1),
+inner_ AS (SELECT DISTINCT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, a FROM (SELECT lang, a, ws, j, unnest(range(1, m - j + 2)) AS i FROM c, range(2, 5) t(j) WHERE j < m)),
+kept AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM inner_ x WHERE x.lang = b.lang AND x.phrase = b.phrase AND 100 * x.a >= 100 * b.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM o WHERE rank <= 2000
+""",
     "op11_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
            md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(md5(text), '-')) AS key FROM documents),
