@@ -106,6 +106,14 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.whitening import whiten
+
+    found = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = found.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), F.posexplode(F.arrays_zip("whitened", "explained")).alias("component", "c"), "identity_error")
+    return each.select("vec_id", (F.col("component") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 def queries() -> dict:
     import corpus_pipeline
 
