@@ -25,68 +25,75 @@ def tokenize(text: str) -> list[str]:
     return found
 
 
-def read(text: str):
-    """The graph of a PENMAN expression. A leaf whose concept is a variable of the graph becomes a re-entrancy."""
+def read(text: str, gorn: bool = True):
+    """The graph of a PENMAN expression. A leaf whose concept is a variable of the graph becomes a re-entrancy.
+
+    Ids are Gorn addresses, or with ``gorn`` false the numbers of the nodes in the text's order, which are short at any
+    depth. One pass over the tokens with a stack of the open brackets: depth is bounded by memory alone, and an error
+    tells the character at which it is.
+    """
     tokens, at = tokenize(text), 0
     if not tokens:
         raise PenmanError("empty expression")
-    tree: list = []
 
-    def take():
+    def wrong(what: str, k: int):
+        place = next(itertools.islice(TOKEN.finditer(text), k, None), None)
+        raise PenmanError(f"{what} at character {place.start() if place else len(text)}")
+
+    def take() -> str:
         nonlocal at
-        if at >= len(tokens):
-            raise PenmanError("expression ends early")
         at += 1
+        if at > len(tokens):
+            wrong("expression ends early", at)
         return tokens[at - 1]
 
-    def node():
-        first = take()
+    # Variable, concept, parent, relation and whether it is a bare word, for each node in the order of the text.
+    met: list[tuple] = []
+    open_: list[int] = []
+    while True:
+        label = None
+        if open_:
+            token = take()
+            if token == ")":
+                open_.pop()
+                if open_:
+                    continue
+                break
+            if not token.startswith(":"):
+                wrong(f"relation expected, not {token},", at - 1)
+            label = token
+        first, parent = take(), open_[-1] if open_ else None
         if first == ")" or first.startswith(":"):
-            raise PenmanError(f"node expected, not {first}")
+            wrong(f"node expected, not {first},", at - 1)
         if first != "(":
-            return [None, first, []]
+            met.append((None, first, parent, label, True))
+            if not open_:
+                break
+            continue
         name, var = take(), None
         if at < len(tokens) and tokens[at] == "/":
-            take()
+            at += 1
             var, name = name, take()
         if name in "()":
-            raise PenmanError("concept expected")
-        here = [var, name, []]
-        while (t := take()) != ")":
-            if not t.startswith(":"):
-                raise PenmanError(f"relation expected, not {t}")
-            here[2].append((t, node()))
-        return here
-
-    tree = node()
+            wrong("concept expected", at - 1)
+        open_.append(len(met))
+        met.append((var, name, parent, label, False))
     if at != len(tokens):
-        raise PenmanError("text after the expression")
-    nodes, edges, by_var, leaves = {}, [], {}, []
-
-    def variables(n):
-        if n[0] is not None and n[0] not in by_var:
-            by_var[n[0]] = n
-        for _, child in n[2]:
-            variables(child)
-
-    def place(n, gorn):
-        n.append(gorn)
-        nodes[gorn] = (n[0], n[1])
-        i = 0
-        for label, child in n[2]:
-            if child[0] is None and not child[2] and child[1] in by_var:
-                leaves.append((len(edges), by_var[child[1]]))
-                edges.append((gorn, label, None, "reentrant"))
-                continue
-            edges.append((gorn, label, f"{gorn}.{i}", "tree"))
-            place(child, f"{gorn}.{i}")
-            i += 1
-
-    variables(tree)
-    place(tree, "0")
-    for k, target in leaves:
-        source, label, _, kind = edges[k]
-        edges[k] = (source, label, target[3], kind)
+        wrong("text after the expression", at)
+    by_var: dict[str, int] = {}
+    for k, (var, *_) in enumerate(met):
+        if var is not None:
+            by_var.setdefault(var, k)
+    again = [parent is not None and bare and concept in by_var for _, concept, parent, _, bare in met]
+    ids: list[str] = ["0"] * len(met)
+    children = [0] * len(met)
+    for k in range(1, len(met)):
+        if not again[k]:
+            up = met[k][2]
+            ids[k] = f"{ids[up]}.{children[up]}" if gorn else str(k)
+            children[up] += 1
+    nodes = {ids[k]: (var, concept) for k, (var, concept, *_) in enumerate(met) if not again[k]}
+    edges = [(ids[parent], label, ids[by_var[concept]] if again[k] else ids[k], "reentrant" if again[k] else "tree") for k, (_, concept, parent, label, _) in enumerate(met) if k]
     return "0", nodes, edges
 
 
@@ -94,32 +101,44 @@ def is_constant(concept: str) -> bool:
     return concept[:1] in '"0123456789' and bool(concept) or concept == "-"
 
 
-def show(graph, detail: int = 1, pretty: bool = False, at: str | None = None, depth: int = 0) -> str:
+def show(graph, detail: int = 1, pretty: bool = False) -> str:
     """The graph as text: detail 0 without variables (children sorted by label and concept), 1 with them, 2 with ids too.
 
     Tree children come before re-entrant ones. A constant shows its variable only if it is the root or is referred to,
-    or in detail 2. ``pretty`` starts a line for each relation, six spaces deeper than its node's.
+    or in detail 2. ``pretty`` starts a line for each relation, six spaces deeper than its node's. What is still to
+    be written waits on a stack, so depth is bounded by memory alone.
     """
     root, nodes, edges = graph
-    at = root if at is None else at
-    var, concept = nodes[at]
-    referenced = {root} | {t for _, _, t, kind in edges if kind == "reentrant"}
-    own = [(label, target) for source, label, target, kind in edges if source == at and kind == "tree"]
-    back = [(label, target) for source, label, target, kind in edges if source == at and kind == "reentrant"]
-    if detail == 0:
-        own.sort(key=lambda e: e[0] + " " + nodes[e[1]][1])
-        back.sort(key=lambda e: e[0] + " " + nodes[e[1]][1])
-    named = var is not None and (not is_constant(concept) or at in referenced or detail == 2 or bool(own or back))
-    head = f"{var} / {concept}" if detail and named else concept
-    if detail == 2:
-        head = f"[{at}] {head}"
+    own: dict[str, list] = {}
+    back: dict[str, list] = {}
+    for source, label, target, kind in edges:
+        (own if kind == "tree" else back).setdefault(source, []).append((label, target))
+    referenced = {root} | {t for lists in back.values() for _, t in lists}
     refer = lambda t: nodes[t][1] if not detail else (f"[{t}] " if detail == 2 else "") + (nodes[t][0] or nodes[t][1])
-    parts = [f"{label} {show(graph, detail, pretty, target, depth + 1)}" for label, target in own]
-    parts += [f"{label} {refer(target)}" for label, target in back]
-    if not parts:
-        return f"({head})" if detail and named else head
-    glue = " \n" + "      " * (depth + 1) if pretty else " "
-    return f"({head}{glue}{glue.join(parts)})"
+    out: list[str] = []
+    waiting: list = [(root, 0)]
+    while waiting:
+        item = waiting.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        at, depth = item
+        var, concept = nodes[at]
+        down, again = own.get(at, []), back.get(at, [])
+        if detail == 0:
+            down, again = (sorted(x, key=lambda e: e[0] + " " + nodes[e[1]][1]) for x in (down, again))
+        named = var is not None and (not is_constant(concept) or at in referenced or detail == 2 or bool(down or again))
+        head = (f"[{at}] " if detail == 2 else "") + (f"{var} / {concept}" if detail and named else concept)
+        if not down and not again:
+            out.append(f"({head})" if detail and named else head)
+            continue
+        glue = " \n" + "      " * (depth + 1) if pretty else " "
+        out.append("(" + head)
+        waiting.append(")")
+        waiting += [f"{glue}{label} {refer(target)}" for label, target in reversed(again)]
+        for label, target in reversed(down):
+            waiting += [(target, depth + 1), f"{glue}{label} "]
+    return "".join(out)
 
 
 def spanning_tree(root: str, edges: list[tuple[str, str, str]]):

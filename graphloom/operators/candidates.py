@@ -71,44 +71,6 @@ def date_candidates(df: DataFrame, id: str, tail: str) -> DataFrame:
     return df.select(F.col(id), F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
-def pass_through(tokens: DataFrame) -> DataFrame:
-    """Tokens of letters and digits stand for themselves."""
-    return tokens.where(F.col("tok").rlike("^[A-Za-z0-9]*$")).select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("phrase"), F.col("tok").alias("frag"))
-
-
-def name_pass_through(sentences: DataFrame, longest: int = 6) -> DataFrame:
-    """Runs of one to six name-like tokens as an unknown thing's name; a run never reaches the last token."""
-    runs = F.transform("words", lambda w, i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda j: F.struct(i.alias("start"), j.alias("n"), F.slice(F.col("words"), i + 1, j).alias("ws"), (i + j < F.size("words")).alias("inside"))))
-    found = sentences.select("sent_id", F.inline(F.flatten(runs)))
-    found = found.where(F.col("inside") & F.forall("ws", lambda w: w.rlike("^[A-Za-z0-9.-]*$")))
-    ops = F.array_join(F.transform("ws", lambda w: F.concat(F.lit(":op "), w)), " ")
-    return found.select("sent_id", "start", F.array_join("ws", " ").alias("phrase"), F.concat(F.lit("(thing :name (name "), ops, F.lit("))")).alias("frag"))
-
-
-def predicate_senses(tokens: DataFrame, stems: DataFrame, predicates: DataFrame) -> DataFrame:
-    """``stem-01`` for each stem of a token that the predicate list has."""
-    found = tokens.join(stems, tokens.tok == stems.surface).drop("surface")
-    listed = predicates.select(F.col("predicate").alias("frag"))
-    return found.withColumn("frag", F.concat("stem", F.lit("-01"))).join(listed, "frag", "left_semi").select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("phrase"), "frag")
-
-
-def verb_senses(tagged: DataFrame, stems: DataFrame) -> DataFrame:
-    """``stem-00`` of the shortest stem, or of the word itself, for tokens whose part of speech starts with V."""
-    best = stems.groupBy("surface").agg(F.min_by("stem", F.struct(F.length("stem"), "stem")).alias("stem"))
-    found = tagged.where("pos like 'V%'").join(best, F.col("tok") == F.col("surface"), "left")
-    return found.select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("phrase"), F.concat(F.coalesce("stem", "tok"), F.lit("-00")).alias("frag"))
-
-
-def shortest_stem(tokens: DataFrame, stems: DataFrame) -> DataFrame:
-    best = stems.groupBy("surface").agg(F.min_by("stem", F.struct(F.length("stem"), "stem")).alias("frag"))
-    return tokens.join(best, tokens.tok == best.surface).select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("phrase"), "frag")
-
-
-def nominalizations(tokens: DataFrame) -> DataFrame:
-    """Accepted as a source, never gives a candidate."""
-    return tokens.select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("phrase"), F.col("tok").alias("frag")).where("false")
-
-
 #: Stage-1 features: a function of a candidate ``c`` gives (condition, name, value) triples. More can be registered.
 STAGE1: dict = {}
 
@@ -118,16 +80,26 @@ def stage1_feature(name: str):
 
 
 class Candidate:
-    """Columns of a candidate: start, words, frag, sent_words, pos and, if asked for, phrase_n and indices."""
+    """Columns of a candidate ``c`` (a struct of start, words, frag and, if a feature asks for them, phrase_n and indices)
+    inside its sentence's row, which has sent_words and pos."""
 
-    def __init__(self):
-        self.start, self.words, self.frag, self.sent_words = (F.col(x) for x in ("start", "words", "frag", "sent_words"))
-        self.size = F.size("words")
+    def __init__(self, c: Column):
+        self.given = c
+        self.start, self.words, self.frag, self.sent_words = c["start"], c["words"], c["frag"], F.col("sent_words")
+        self.size = F.size(self.words)
         self.stop = self.start + self.size
-        self.phrase = F.array_join("words", "_")
-        self.tags = F.array_join(F.slice("pos", F.col("start") + 1, F.size("words")), "_")
+        self.phrase = F.array_join(self.words, "_")
+        self.tags = F.array_join(F.slice("pos", self.start + 1, self.size), "_")
         self.pair = F.concat(F.lit("CP="), self.phrase, F.lit("=>"), F.replace(self.frag, F.lit(" "), F.lit("_")))
 
+    @property
+    def phrase_n(self) -> Column:
+        return self.given["phrase_n"]
+
+    @property
+    def indices(self) -> Column:
+        return self.given["indices"]
+
 
 @stage1_feature("bias")
 def _bias(c):
@@ -184,18 +156,18 @@ def _pos_event(c):
 
 @stage1_feature("phrase")
 def _phrase(c):
-    return [(F.col("phrase_n") > 10, F.concat(F.lit("phrase="), c.phrase), F.lit(1.0))]
+    return [(c.phrase_n > 10, F.concat(F.lit("phrase="), c.phrase), F.lit(1.0))]
 
 
 @stage1_feature("phraseConceptPair")
 def _pair(c):
-    return [(F.size("indices") > 10, c.pair, F.lit(1.0))]
+    return [(F.size(c.indices) > 10, c.pair, F.lit(1.0))]
 
 
 @stage1_feature("phraseConceptPairPOS")
 def _pair_pos(c):
     name = F.concat(F.lit("CP="), c.phrase, F.lit("+POS="), c.tags, F.lit("=>"), F.replace(c.frag, F.lit(" "), F.lit("_")))
-    return [(F.size("indices") > 3, name, F.lit(1.0))]
+    return [(F.size(c.indices) > 3, name, F.lit(1.0))]
 
 
 @stage1_feature("pairWith2WordContext")
@@ -204,44 +176,22 @@ def _pair_context(c):
     return [(c.start > 0, around("W-1", c.start - 1), F.lit(1.0)), (c.stop < F.size("sent_words"), around("W+1", c.stop), F.lit(1.0))]
 
 
-def feature_list(names) -> Column:
-    """The named features of a candidate's row as an array of (feature, value)."""
+def feature_list(c: Column, names) -> Column:
+    """The named features of a candidate as an array of (feature, value)."""
     unknown = sorted(set(names) - set(STAGE1))
     if unknown:
         raise ValueError(f"unknown stage-1 features: {unknown}")
-    c = Candidate()
-    made = F.array(*(F.when(cond, F.struct(name.alias("feature"), value.alias("value"))) for n in names for cond, name, value in STAGE1[n](c)))
-    return F.filter(made, lambda x: x.isNotNull())
-
-
-def stage1_features(c: DataFrame, names) -> DataFrame:
-    """(sent_id, start, phrase, frag, feature, value) for the named features.
-
-    ``c`` has sent_id, start, words, frag, sent_words and pos (of the sentence), and phrase_n or indices if a feature
-    asks for them. Each candidate carries its sentence; ``sentence_features`` does not.
-    """
-    return c.select("sent_id", "start", F.array_join("words", " ").alias("phrase"), "frag", F.inline(feature_list(names)))
+    own = Candidate(c)
+    none = F.array().cast("array<struct<feature:string,value:double>>")
+    made = F.array(*(F.when(cond, F.struct(name.alias("feature"), value.alias("value"))) for n in names for cond, name, value in STAGE1[n](own)))
+    return F.filter(made, lambda x: x.isNotNull()) if names else none
 
 
 def sentence_features(sentences: DataFrame, names) -> DataFrame:
-    """As ``stage1_features``, from rows of whole sentences: sent_id, sent_words, pos, candidates (array of start, words, frag).
+    """(sent_id, start, phrase, frag, feature, value) for the named features, from rows of whole sentences.
 
-    Features are built inside the sentence's row and only (feature, value) leaves it, so no candidate carries a copy of its sentence.
+    A row has sent_id, sent_words, pos and candidates (see ``Candidate``). Features are built inside the row and only
+    they leave it, so no candidate carries a copy of its sentence.
     """
-    per = F.transform("candidates", lambda c: _with(c, names))
-    return sentences.select("sent_id", F.inline(F.flatten(per)))
-
-
-def _with(c: Column, names) -> Column:
-    class Own(Candidate):
-        def __init__(self):
-            self.start, self.words, self.frag, self.sent_words = c["start"], c["words"], c["frag"], F.col("sent_words")
-            self.size = F.size(self.words)
-            self.stop = self.start + self.size
-            self.phrase = F.array_join(self.words, "_")
-            self.tags = F.array_join(F.slice("pos", self.start + 1, self.size), "_")
-            self.pair = F.concat(F.lit("CP="), self.phrase, F.lit("=>"), F.replace(self.frag, F.lit(" "), F.lit("_")))
-
-    own = Own()
-    made = F.array(*(F.when(cond, F.struct(own.start.alias("start"), F.array_join(own.words, " ").alias("phrase"), own.frag.alias("frag"), name.alias("feature"), value.alias("value"))) for n in names for cond, name, value in STAGE1[n](own)))
-    return F.filter(made, lambda x: x.isNotNull())
+    named = lambda c: F.transform(feature_list(c, names), lambda f: F.struct(c["start"].alias("start"), F.array_join(c["words"], " ").alias("phrase"), c["frag"].alias("frag"), f["feature"].alias("feature"), f["value"].alias("value")))
+    return sentences.select("sent_id", F.inline(F.flatten(F.transform("candidates", named))))

@@ -63,26 +63,37 @@ def normal_entity(frag: Column) -> Column:
     return F.regexp_replace(frag, r"^\([^ ]* :name \(name ", "(entity ")
 
 
-def pair_scores(nodes: DataFrame, labels: DataFrame, features: DataFrame, weights: DataFrame) -> DataFrame:
+def pair_scores(nodes: DataFrame, labels: DataFrame, features: DataFrame, weights: DataFrame, costs: DataFrame | None = None) -> DataFrame:
     """(sent_id, src, dst, label, score): for each pair of different nodes and each label the weights of its features, added up.
 
     ``features`` has sent_id, src, dst, feature, u, c and, if they come from ``edgefeatures``, labels; ``weights`` feature, label
     (null: unconjoined), value. An unconjoined weight counts u times for every label, and once for the labels of the
     feature's group; a weight with a label counts c times for it. Features without a weight never meet one, so
-    nothing is computed for them. Every label of the set is scored, however many there are.
+    nothing is computed for them. ``costs`` (sent_id, feature, label, value) are weights of one sentence. Every label of
+    the set is scored, however many there are.
     """
     features = features if "labels" in features.columns else features.withColumn("labels", F.lit(None).cast("string"))
     keys = ["sent_id", "src", "dst"]
-    plain = features.join(weights.where("label is null").select("feature", "value"), "feature")
-    group = plain.where("labels is not null").groupBy(*keys, "labels").agg(F.sum("value").alias("g"))
-    plain = plain.groupBy(*keys).agg(F.sum(F.col("u") * F.col("value")).alias("s"))
-    by_label = features.join(weights.where("label is not null"), "feature").groupBy(*keys, "label").agg(F.sum(F.col("c") * F.col("value")).alias("t"))
+    met = features.join(weights.select("feature", "label", "value"), "feature")
+    if costs is not None:
+        met = met.unionByName(features.join(costs.select("sent_id", "feature", "label", "value"), ["sent_id", "feature"]))
+    # One pass over what is met: sums for the pair, for a group of labels, and for a label.
+    kind = F.when(F.col("label").isNotNull(), F.struct(F.lit(None).cast("string").alias("labels"), F.col("label").alias("own"))).otherwise(F.struct("labels", F.lit(None).cast("string").alias("own")))
+    sums = met.groupBy(*keys, kind.alias("of")).agg(F.sum(F.col("u") * F.col("value")).alias("u"), F.sum(F.col("c") * F.col("value")).alias("c"), F.sum("value").alias("g"))
+    part = lambda cond, value, key: F.map_from_entries(F.filter(F.collect_list(F.when(cond, F.struct(key.alias("k"), value.alias("v")))), lambda x: x.isNotNull()))
+    own, group = F.col("of.own"), F.col("of.labels")
+    per = sums.groupBy(*keys).agg(F.sum(F.when(own.isNull(), F.col("u"))).alias("s"), part(own.isNull() & group.isNotNull(), F.col("g"), group).alias("g"), part(own.isNotNull(), F.col("c"), own).alias("t"))
     a, b = nodes.select("sent_id", F.col("node_id").alias("src")), nodes.select("sent_id", F.col("node_id").alias("dst"))
-    grouped = labels.select("label", F.when(F.col("label").startswith(":ARG"), "ARG").otherwise("other").alias("labels"))
-    pairs = a.join(b, "sent_id").where("src <> dst").crossJoin(grouped)
-    total = pairs.join(plain, keys, "left").join(group, [*keys, "labels"], "left").join(by_label, [*keys, "label"], "left")
+    pairs = a.join(b, "sent_id").where("src <> dst").join(per, keys, "left")
+    # A label set is short: it is sent to every pair, which finds its sums in its own row.
+    grouped = F.broadcast(labels.select("label", label_group(F.col("label")).alias("group")))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return total.select(*keys, "label", (zero("s") + zero("g") + zero("t")).alias("score"))
+    return pairs.crossJoin(grouped).select(*keys, "label", (zero("s") + zero(F.try_element_at("g", F.col("group"))) + zero(F.try_element_at("t", F.col("label")))).alias("score"))
+
+
+def label_group(label: Column) -> Column:
+    """The group of labels that some unconjoined weights count for."""
+    return F.when(label.startswith(":ARG"), "ARG").otherwise("other")
 
 
 def top_labels(scores: DataFrame) -> DataFrame:

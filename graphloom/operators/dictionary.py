@@ -10,10 +10,16 @@ def strip_op_numbers(fragment: Column) -> Column:
     return F.regexp_replace(fragment, ":op[0-9]*", ":op")
 
 
-def phrase_concept_counts(pairs: DataFrame, cap: int = 1000) -> DataFrame:
-    """(phrase, frag, n, indices): occurrences and the distinct sentences they are in; over ``cap`` of those none are kept."""
-    counted = pairs.groupBy("phrase", "frag").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("sent")).alias("indices"))
-    return counted.withColumn("indices", F.when(F.size("indices") <= cap, F.col("indices")).otherwise(F.slice("indices", 1, 0)))
+def phrase_concept_counts(pairs: DataFrame, cap: int = 10_000) -> DataFrame:
+    """(phrase, frag, n, indices): occurrences and the distinct sentences they are in; over ``cap`` of those none are kept.
+
+    The sentences of a pair are counted before any are gathered, so no list passes ``cap``.
+    """
+    once = pairs.groupBy("phrase", "frag", "sent").agg(F.count("*").alias("k"))
+    totals = once.groupBy("phrase", "frag").agg(F.sum("k").alias("n"), F.count("*").alias("m"))
+    few = once.join(totals.where(F.col("m") <= cap).select("phrase", "frag"), ["phrase", "frag"], "left_semi").groupBy("phrase", "frag").agg(F.sort_array(F.collect_list("sent")).alias("indices"))
+    none = F.array().cast(few.schema["indices"].dataType)
+    return totals.join(few, ["phrase", "frag"], "left").select("phrase", "frag", "n", F.coalesce("indices", none).alias("indices"))
 
 
 def fragment_counts(pairs: DataFrame) -> DataFrame:
@@ -63,14 +69,15 @@ def leave_one_out(entries: DataFrame, sentence: Column, distance: int = 20) -> D
 
 
 def match_dictionary(sentences: DataFrame, table: DataFrame) -> DataFrame:
-    """(sent_id, start, phrase, frag): table entries whose words stand in a sentence.
+    """(sent_id, start, phrase, and ``table``'s columns but words): table entries whose words stand in a sentence.
 
-    ``sentences`` has sent_id and words; ``table`` has words and frag. The join is on an entry's words as one string, so
-    that a frequent first word is no hot key; a sentence's places give a string for each length that entries have.
+    ``sentences`` has sent_id and words, ``table`` words. The join is on an entry's words as one string, so that a
+    frequent first word is no hot key; a sentence's places give a string for each length that entries have.
     """
+    rest = [c for c in table.columns if c != "words"]
     sizes = sorted(r[0] for r in table.select(F.size("words")).distinct().collect())  # the lengths of phrases: a few numbers
     if not sizes:
-        return sentences.where("false").select("sent_id", F.lit(0).alias("start"), F.lit("").alias("phrase"), F.lit("").alias("frag"))
+        return sentences.where("false").select("sent_id", F.lit(0).alias("start"), F.lit("").alias("phrase"), *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in rest))
 
     def runs_of(n: int) -> Column:
         phrase = lambda i: F.array_join(F.slice(F.col("words"), i + 1, n), " ")
@@ -78,16 +85,15 @@ def match_dictionary(sentences: DataFrame, table: DataFrame) -> DataFrame:
 
     runs = [runs_of(n) for n in sizes]
     places = sentences.select("sent_id", F.inline(F.filter(F.concat(*runs), lambda r: r.isNotNull())))
-    entries = table.select(F.array_join("words", " ").alias("phrase"), F.size("words").alias("n"), "frag")
-    return places.join(entries, "phrase").select("sent_id", "start", "phrase", "frag")
+    entries = table.select(F.array_join("words", " ").alias("phrase"), *rest)
+    return places.join(entries, "phrase").select("sent_id", "start", "phrase", *rest)
 
 
-def merge_candidates(candidates: DataFrame) -> DataFrame:
-    """One row for each (sent_id, start, phrase, frag): features added up, training indices (if there) put together.
+def merge_candidates(candidates: DataFrame, keys=("sent_id", "start", "phrase", "frag")) -> DataFrame:
+    """One row for each of ``keys``: features added up, training indices (if there) put together.
 
     A candidate without features stays, with an empty map.
     """
-    keys = ["sent_id", "start", "phrase", "frag"]
     add = lambda z, x: F.map_zip_with(z, x, lambda _, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
     features = F.aggregate(F.collect_list("features"), F.create_map().cast("map<string,double>"), add)
     more = [F.sort_array(F.flatten(F.collect_list("indices"))).alias("indices")] if "indices" in candidates.columns else []

@@ -1,4 +1,4 @@
-"""The whole parse: sentences to candidates, a cover of fragments, scored edges, a connected graph, and its text.
+"""The whole parse: sentences to candidates, a cover of fragments, scored edges, a graph, and its text.
 
 A sentence row has sent_id, words (tokens), snt (words of the untokenised text), pos, heads, rels, entities (array of
 start, stop, label over ``words``) and srl. Candidates, features and scores are DataFrame plans; a sentence's fragments and its
@@ -11,15 +11,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import edgedecode, penman
-from graphloom.operators import candidates, decoding, edgefeatures
+from graphloom.operators import candidates, decoding, dictionary, edgefeatures
 from graphloom.operators.graphs import cut
 from graphloom.options import Settings
+from graphloom.sources import text as reader
 
-CANDIDATE = "array<struct<start:int,words:array<string>,frag:string,features:map<string,double>,indices:array<int>>>"
 #: The graph that stands for nothing, and its alignment.
 EMPTY, EMPTY_SPAN = "(a / amr-empty)", "0-1|0"
 
@@ -40,11 +40,33 @@ class Knowledge:
     weights2: DataFrame | None = None
     labels: DataFrame | None = None
 
+    @staticmethod
+    def load(spark: SparkSession, settings: Settings, stems: DataFrame | None = None) -> Knowledge:
+        """The tables in the files that ``settings`` names; those it does not name are left out."""
+        lines = lambda path: spark.read.text(path).where("value <> ''")
+        s1, s2 = settings.stage1, settings.stage2
+        labels = lines(s2.labelset).select(reader.label_limit(F.col("value")).alias("r")).select("r.*") if s2.labelset else None
+        # A label set is short.
+        known = [r["label"] for r in labels.select("label").collect()] if labels is not None else None
+        weights = lambda path: lines(path).select(reader.weight(F.col("value"), known).alias("r")).select("r.*")
+        return Knowledge(
+            dictionary=lines(s1.concept_table).select(reader.concept_row(F.col("value")).alias("r")).select("r.words", "r.frag", "r.features", F.col("r.training_indices").alias("indices")) if s1.concept_table else None,
+            stems=stems,
+            predicates=lines(s1.predicates).select(F.trim("value").alias("predicate")) if s1.predicates else None,
+            phrase_counts=lines(s1.phrase_counts).select(reader.phrase_count(F.col("value")).alias("r")).select("r.*") if s1.phrase_counts else None,
+            weights1=weights(s1.weights).select("feature", "value") if s1.weights else None,
+            weights2=weights(s2.weights) if s2.weights else None,
+            labels=labels,
+        )
+
 
 # Candidates --------------------------------------------------------------------------------------
 
-#: Concept sources beside the dictionary, NER and dates: a function of place rows (sent_id, start, words, pos, only, stems).
+#: Concept sources beside the dictionary, NER and dates: a function of place rows (sent_id, start, word, tag, only, stems, and
+#: n and ahead, the sentence's length and the words from the place on), the knowledge, and whether names have wiki links.
 SOURCES: dict[str, Callable] = {}
+#: Sources whose candidates come first: a place at which none of theirs starts is ``only`` for the others.
+FIRST = ("NER", "DateExpr")
 
 
 def source(name: str):
@@ -74,8 +96,8 @@ def listed_predicates(places, knowledge, wiki):
 @source("NEPassThrough")
 def name_runs(places, knowledge, wiki):
     """One to six name-like words as an unknown thing's name; a run never reaches the last word."""
-    runs = places.select("sent_id", "start", "only", "n", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda j: F.slice("ahead", 1, j))).alias("ws"), F.size("ahead").alias("have"))
-    runs = runs.where((F.col("start") + F.size("ws") < F.col("n")) & F.forall("ws", lambda w: w.rlike("^[A-Za-z0-9.-]*$"))).distinct()
+    runs = places.select("sent_id", "start", "only", "n", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda j: F.struct(j.alias("j"), F.slice("ahead", 1, j).alias("ws")))).alias("r"))
+    runs = runs.where((F.col("start") + F.col("r.j") < F.col("n")) & F.forall("r.ws", lambda w: w.rlike("^[A-Za-z0-9.-]*$"))).select("sent_id", "start", "only", "r.ws")
     ops = F.array_join(F.transform("ws", lambda w: F.concat(F.lit(":op "), w)), " ")
     frag = F.concat(F.lit("(thing :wiki - :name (name " if wiki else "(thing :name (name "), ops, F.lit("))"))
     plain = dict(NEPassThrough=1, NEPassThrough_len=F.size("ws"))
@@ -88,6 +110,7 @@ def flag(only: str = "only") -> Column:
 
 @source("PassThrough")
 def word_itself(places, knowledge, wiki):
+    """Words of letters and digits stand for themselves."""
     return rows(places.where(F.col("word").rlike("^[A-Za-z0-9]*$")), F.array("word"), F.col("word"), features_of(PassThrough=1, PassThroughOnly=flag()))
 
 
@@ -108,89 +131,96 @@ def added_verbs(places, knowledge, wiki):
 
 @source("nominalizations")
 def nominalizations(places, knowledge, wiki):
+    """Accepted as a source, never gives a candidate."""
     return None
 
 
-def from_dictionary(sentences: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Entries whose words stand in a sentence; only places whose first word begins an entry are looked at further."""
-    longest = dictionary.agg(F.max(F.size("words"))).first()[0] or 1  # one number
-    entries = dictionary.select(F.col("words")[0].alias("first"), F.col("words").alias("entry"), "frag", "features", "indices")
-    places = sentences.select("sent_id", F.posexplode(F.transform("words", lambda w, i: F.struct(w.alias("first"), F.slice("words", i + 1, longest).alias("ahead")))).alias("start", "p"))
-    found = places.select("sent_id", "start", "p.first", "p.ahead").join(entries, "first").where(F.slice("ahead", 1, F.size("entry")) == F.col("entry"))
+def places_of(sentences: DataFrame) -> DataFrame:
+    """(sent_id, start, n, ahead, word, tag): a row for each word with the seven after it."""
+    spread = F.posexplode(F.transform("words", lambda w, i: F.slice("words", i + 1, 8))).alias("start", "ahead")
+    return sentences.select("sent_id", "pos", F.size("words").alias("n"), spread).select("sent_id", "start", "n", "ahead", F.get("ahead", F.lit(0)).alias("word"), F.get("pos", F.col("start")).alias("tag"))
+
+
+def with_stems(places: DataFrame, stems: DataFrame | None) -> DataFrame:
+    """``places`` with the sorted stems of the word; where ``stems`` has a column ``pos``, those for the tag's part of speech."""
+    none = F.array().cast("array<string>")
+    if stems is None:
+        return places.withColumn("stems", none)
+    by = ["word"]
+    if "pos" in stems.columns:
+        places, by = places.withColumn("pos", part_of_speech(F.col("tag"))), ["word", "pos"]
+    found = stems.withColumnRenamed("surface", "word").groupBy(*by).agg(F.array_sort(F.collect_set("stem")).alias("stems"))
+    return places.join(found, by, "left").withColumn("stems", F.coalesce("stems", none)).drop("pos")
+
+
+def part_of_speech(tag: Column) -> Column:
+    """verb, noun, adj or adv by the first letters of a tag; other tags have none (null)."""
+    return F.when(tag.startswith("V"), "verb").when(tag.startswith("N"), "noun").when(tag.startswith("J"), "adj").when(tag.startswith("RB"), "adv")
+
+
+def from_source(name: str, places: DataFrame, knowledge: Knowledge = Knowledge(), wiki: bool = False) -> DataFrame:
+    """(sent_id, start, phrase, frag) of one source alone; every place is ``only``."""
+    marked = with_stems(places.withColumn("only", F.lit(True)), knowledge.stems)
+    found = SOURCES[name](marked, knowledge, wiki)
+    found = rows(marked.where("false"), F.array("word"), F.col("word"), features_of(none=0)) if found is None else found
+    return found.select("sent_id", "start", F.array_join("words", " ").alias("phrase"), "frag")
+
+
+def from_dictionary(sentences: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries whose words stand in a sentence."""
+    found = dictionary.match_dictionary(sentences, entries.select("words", F.col("words").alias("entry"), "frag", "features", "indices"))
     return rows(found, F.col("entry"), F.col("frag"), F.col("features"), F.col("indices"))
 
 
 def from_entities(sentences: DataFrame, wiki: bool) -> DataFrame:
     """Named entities, spelt as in the untokenised text; labels without a concept give nothing."""
-    spots = sentences.select("sent_id", "words", "snt", F.explode("entities").alias("e"))
-    at = token_spans(F.col("snt"), F.col("words"))
-    spelt = F.slice("snt", F.get(at, F.col("e.start"))["left"] + 1, F.get(at, F.col("e.stop") - 1)["right"] - F.get(at, F.col("e.start"))["left"])
+    spots = sentences.select("sent_id", "words", "snt", token_spans(F.col("snt"), F.col("words")).alias("at"), F.explode("entities").alias("e"))
+    first, last = F.get("at", F.col("e.start")), F.get("at", F.col("e.stop") - 1)
+    spelt = F.slice("snt", first["left"] + 1, last["right"] - first["left"])
     spots = spots.where(F.col("e.label").isin(*candidates.ENTITY_CONCEPTS)).select("sent_id", F.col("e.start").alias("start"), F.slice("words", F.col("e.start") + 1, F.col("e.stop") - F.col("e.start")).alias("ws"), F.col("e.label").alias("label"), spelt.alias("spelt"))
     frag = candidates.entity_fragment(F.col("label"), F.coalesce("spelt", "ws"), wiki)
     return rows(spots, F.col("ws"), frag, features_of(ner=1, ner_len=F.size("ws")))
 
 
-def from_dates(sentences: DataFrame) -> DataFrame:
-    tails = sentences.select(F.struct("sent_id", F.col("start")).alias("at"), "ahead") if "ahead" in sentences.columns else sentences
-    tails = tails.withColumn("tail", F.array_join("ahead", "\t"))
+def from_dates(places: DataFrame) -> DataFrame:
+    tails = places.select(F.struct("sent_id", F.col("start")).alias("at"), "ahead").withColumn("tail", F.array_join("ahead", "\t"))
     found = candidates.date_candidates(tails.select(F.struct("at", "ahead").alias("of"), "tail"), "of", "tail")
     found = found.select("of.at.sent_id", "of.at.start", F.slice("of.ahead", 1, F.col("n_words")).alias("ws"), "frag", "feature", "n_words")
     return rows(found, F.col("ws"), F.col("frag"), F.map_from_arrays(F.array("feature", F.lit("datex_len")), F.array(F.lit(1.0), F.col("n_words").cast("double"))))
 
 
-def invoke(sentences: DataFrame, knowledge: Knowledge, names=("NER", "DateExpr"), wiki: bool = False, training: Column | None = None) -> DataFrame:
+def invoke(sentences: DataFrame, knowledge: Knowledge, names=FIRST, wiki: bool = False, training: Column | None = None) -> DataFrame:
     """(sent_id, start, words, frag, features, indices): what may be invoked at each word, one row for each phrase and fragment.
 
     The dictionary, entities and dates come first; words at which none of them starts are ``only`` for the other
     sources, which say so in a feature. Features of equal candidates add up, their indices are put together.
     ``training`` is the sentence's own index: entries seen only within 20 sentences of it are left out.
     """
-    unknown = sorted(set(names) - set(SOURCES) - {"NER", "DateExpr"})
+    unknown = sorted(set(names) - set(SOURCES) - set(FIRST))
     if unknown:
         raise ValueError(f"unknown concept sources: {unknown}")
-    n = F.size("words")
-    places = sentences.select("sent_id", "words", "pos", n.alias("n"), F.posexplode(F.transform("words", lambda w, i: F.slice("words", i + 1, 8))).alias("start", "ahead")).select("sent_id", "start", "n", "ahead", F.get("ahead", F.lit(0)).alias("word"), F.get("pos", F.col("start")).alias("tag"))
+    places = places_of(sentences)
     parts = []
     if knowledge.dictionary is not None:
         found = from_dictionary(sentences, knowledge.dictionary)
-        if training is not None:
-            found = found.where(F.exists("indices", lambda j: F.abs(j - training) > 20))
-        parts.append(found)
+        parts.append(found if training is None else dictionary.leave_one_out(found, training))
     if "NER" in names:
         parts.append(from_entities(sentences, wiki))
     if "DateExpr" in names:
         parts.append(from_dates(places))
-    base = None
+    empty = rows(places.where("false"), F.array("word"), F.col("word"), features_of(none=0))
+    base = empty
     for part in parts:
-        base = part if base is None else base.unionByName(part)
+        base = base.unionByName(part)
     rest = [x for x in names if x in SOURCES]
     if rest:
-        taken = base.select("sent_id", "start").distinct().withColumn("taken", F.lit(True)) if base is not None else None
-        marked = places.join(taken, ["sent_id", "start"], "left") if taken is not None else places.withColumn("taken", F.lit(None).cast("boolean"))
-        marked = marked.withColumn("only", F.col("taken").isNull())
-        if knowledge.stems is not None:
-            stems = knowledge.stems.groupBy(F.col("surface").alias("word")).agg(F.array_sort(F.collect_set("stem")).alias("stems"))
-            marked = marked.join(stems, "word", "left")
-        else:
-            marked = marked.withColumn("stems", F.lit(None).cast("array<string>"))
-        marked = marked.withColumn("stems", F.coalesce("stems", F.array().cast("array<string>")))
+        taken = base.select("sent_id", "start").distinct().withColumn("taken", F.lit(True))
+        marked = places.join(taken, ["sent_id", "start"], "left").withColumn("only", F.col("taken").isNull())
+        marked = with_stems(marked, knowledge.stems)
         for name in rest:
             more = SOURCES[name](marked, knowledge, wiki)
-            if more is not None:
-                base = more if base is None else base.unionByName(more)
-    if base is None:
-        return sentences.where("false").select("sent_id", F.expr(f"inline(cast(array() as {CANDIDATE}))"))
-    return merged(base)
-
-
-def merged(found: DataFrame) -> DataFrame:
-    """One row for each (sent_id, start, words, frag): features added up, indices put together; a candidate without features stays."""
-    keys = ["sent_id", "start", "words", "frag"]
-    added = F.aggregate(
-        F.collect_list("features"), F.create_map().cast("map<string,double>"),
-        lambda z, x: F.map_zip_with(z, x, lambda _, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))),
-    )
-    return found.groupBy(*keys).agg(added.alias("features"), F.sort_array(F.flatten(F.collect_list("indices"))).alias("indices"))
+            base = base if more is None else base.unionByName(more)
+    return dictionary.merge_candidates(base, ["sent_id", "start", "words", "frag"])
 
 
 def token_spans(to: Column, tokens: Column) -> Column:
@@ -199,56 +229,91 @@ def token_spans(to: Column, tokens: Column) -> Column:
     Brackets count as they are written in treebanks. If the two do not spell the same text there is no range (null).
     """
     plain = lambda ws: F.transform(ws, lambda w: F.replace(F.replace(F.replace(w, F.lit(" ")), F.lit("("), F.lit("-LRB-")), F.lit(")"), F.lit("-RRB-")))
-    ends = lambda ws: F.transform(plain(ws), lambda _, i: F.length(F.array_join(F.slice(plain(ws), 1, i + 1), "")))
-    stops = ends(to)
-    ranges = F.transform(F.arrays_zip(ends(tokens).alias("e"), plain(tokens).alias("w")), lambda t: F.struct(F.size(F.filter(stops, lambda x: x <= t["e"] - F.length(t["w"]))).alias("left"), (F.size(F.filter(stops, lambda x: x < t["e"])) + 1).alias("right")))
-    return F.when(F.array_join(plain(to), "") == F.array_join(plain(tokens), ""), ranges)
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"))
+    on = lambda z, w: F.struct((z["n"] + F.length(w)).alias("n"), F.array_append(z["ends"], z["n"] + F.length(w)).alias("ends"))
+    ends = lambda ws: F.aggregate(ws, start, on, lambda z: z["ends"])
+    let = edgefeatures.let
+    named = lambda **parts: F.named_struct(*(x for k, v in parts.items() for x in (F.lit(k), v)))
+    before = lambda s, i: F.when(i > 0, F.get(s["ends"], i - 1)).otherwise(0)
+    ranges = lambda s: F.transform(s["ends"], lambda e, i: named(left=F.size(F.filter(s["stops"], lambda x: x <= before(s, i))), right=F.size(F.filter(s["stops"], lambda x: x < e)) + 1))
+    both = let(named(to=plain(to), words=plain(tokens)), lambda b: named(stops=ends(b["to"]), ends=ends(b["words"]), same=F.array_join(b["to"], "") == F.array_join(b["words"], "")))
+    return let(both, lambda s: F.when(s["same"], ranges(s)))
 
 
 # Stage 1 -----------------------------------------------------------------------------------------
 
 
-def scored(found: DataFrame, sentences: DataFrame, knowledge: Knowledge, names) -> DataFrame:
-    """Candidates with ``stop``, their features of both kinds, and ``score``, the weights of all of them added up."""
-    c = found.join(sentences.select("sent_id", F.col("words").alias("sent_words"), "pos"), "sent_id")
+def with_features(found: DataFrame, sentences: DataFrame, knowledge: Knowledge, names) -> tuple[DataFrame, DataFrame]:
+    """(candidates: sent_id, k, start, stop, words, frag) and (their features: sent_id, k, feature, value), of both kinds.
+
+    A sentence's candidates are numbered and stand in one row beside its words while features are made, so that no
+    candidate carries its sentence. Both tables come from one written table.
+    """
+    entries = F.transform(F.map_entries("features"), lambda e: F.struct(e["key"].alias("feature"), e["value"].alias("value")))
     if knowledge.phrase_counts is not None:
-        c = c.join(knowledge.phrase_counts.select("words", F.col("n").alias("phrase_n")), "words", "left").withColumn("phrase_n", F.coalesce("phrase_n", F.lit(0)))
+        counts = knowledge.phrase_counts.groupBy("words").agg(F.max("n").alias("phrase_n"))
+        found = found.join(counts, "words", "left").withColumn("phrase_n", F.coalesce("phrase_n", F.lit(0)))
     else:
-        c = c.withColumn("phrase_n", F.lit(0))
-    of = F.concat(F.transform(F.map_entries("features"), lambda e: F.struct(e["key"].alias("feature"), e["value"].alias("value"))), candidates.feature_list(names))
-    c = c.select("sent_id", "start", (F.col("start") + F.size("words")).alias("stop"), "words", "frag", of.alias("all"))
-    if knowledge.weights1 is None:
-        return c.withColumn("score", F.lit(0.0))
-    keys = ["sent_id", "start", "stop", "words", "frag"]
-    long = c.select(*keys, F.explode_outer("all").alias("f")).select(*keys, "f.feature", "f.value")
-    w = knowledge.weights1.select("feature", F.col("value").alias("w"))
-    total = long.join(w, "feature", "left").groupBy(*keys).agg(F.coalesce(F.sum(F.col("value") * F.col("w")), F.lit(0.0)).alias("score"))
-    return total.join(c, keys)
+        found = found.withColumn("phrase_n", F.lit(0))
+    one = F.struct("start", "words", "frag", F.array_sort(entries).alias("own"), "indices", "phrase_n")
+    gathered = found.groupBy("sent_id").agg(F.sort_array(F.collect_list(one)).alias("candidates"))
+    s = sentences.select("sent_id", F.col("words").alias("sent_words"), "pos").join(gathered, "sent_id")
+
+    def told(c: Column, k: Column) -> Column:
+        return F.struct(k.cast("int").alias("k"), c["start"].alias("start"), (c["start"] + F.size(c["words"])).alias("stop"), c["words"].alias("words"), c["frag"].alias("frag"), F.concat(c["own"], candidates.feature_list(c, names)).alias("features"))
+
+    every = cut(s.select("sent_id", F.transform("candidates", told).alias("candidates")))
+    flat = every.select("sent_id", F.inline("candidates"))
+    return flat.drop("features"), flat.select("sent_id", "k", F.inline("features"))
+
+
+def scored(found: DataFrame, features: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """Candidates with ``score``, the weights of all their features added up."""
+    if weights is None:
+        return found.withColumn("score", F.lit(0.0))
+    w = weights.groupBy("feature").agg(F.sum("value").alias("w"))
+    total = features.join(w, "feature").groupBy("sent_id", "k").agg(F.sum(F.col("value") * F.col("w")).alias("score"))
+    return found.join(total, ["sent_id", "k"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def best_cover(candidates_: DataFrame) -> DataFrame:
-    """The chosen candidates, with their features and score."""
+    """The chosen candidates with their score."""
     kept = decoding.cover(decoding.chart(candidates_.select("sent_id", "start", "stop", "frag", "score")))
     return kept.join(candidates_.drop("score"), ["sent_id", "start", "stop", "frag"])
 
 
+def spans_of(sentences: DataFrame, knowledge: Knowledge, settings: Settings) -> DataFrame:
+    """(sent_id, start, stop, words, frag, score): stage 1 alone, a cover of each sentence."""
+    s1 = settings.stage1
+    found = invoke(sentences, knowledge, s1.sources, s1.wiki, F.col("sent_id") if s1.leave_one_out else None)
+    found, features = with_features(found, sentences, knowledge, s1.features)
+    return best_cover(scored(found, features, knowledge.weights1)).select("sent_id", "start", "stop", "words", "frag", "score")
+
+
 # Stage 2 -----------------------------------------------------------------------------------------
 
 NODES = "sent_id long, nodes array<struct<id:string,concept:string,span:int,start:int,stop:int,frag_head:string,var:string>>, fixed array<struct<src:string,label:string,dst:string>>, spans array<struct<start:int,stop:int,nodes:array<string>>>, error string"
 
 
 def fragments(spans) -> tuple[list, list, list]:
-    """(nodes, edges inside fragments, spans) of a sentence's cover: ids count up, variables are free names."""
+    """(nodes, edges inside fragments, spans) of a sentence's cover: ids count up, variables are free names.
+
+    Constants have no variable, but a span of constants alone gives its first node one, after the first character
+    that is not a quotation mark: edges are between nodes with variables, so it could not be attached without.
+    """
     nodes, fixed, out, taken = [], [], [], set()
+
+    def name(initial: str) -> str:
+        var = penman.free_name(initial, taken)
+        taken.add(var)
+        return var
+
     for k, (start, stop, frag) in enumerate(sorted(spans, key=lambda s: -s[0])):
-        root, own, edges = penman.read(frag)
-        ids = {}
+        root, own, edges = penman.read(frag, gorn=False)
+        ids = {at: str(len(nodes) + i) for i, at in enumerate(own)}
+        bare = all(concept[0] in '"-' for _, concept in own.values())
         for at, (_, concept) in own.items():
-            var = None
-            if concept[0] not in '"-':
-                var = penman.free_name(concept[0].lower(), taken)
-                taken.add(var)
-            ids[at] = str(len(nodes))
+            var = name(concept[0].lower()) if concept[0] not in '"-' else name((concept.strip('"') or "x")[0]) if bare and at == root else None
             nodes.append((ids[at], concept, k, start, stop, own[root][1], var))
         for a, label, b, _ in edges:
             a, b = ids[a], ids[b]
@@ -258,7 +323,7 @@ def fragments(spans) -> tuple[list, list, list]:
 
 
 def concept_graphs(cover: DataFrame) -> DataFrame:
-    """A sentence's nodes, fragment edges and spans; a fragment that cannot be read is in ``error``."""
+    """A sentence's nodes, fragment edges and spans; why its fragments could not be read is in ``error``."""
     gathered = cover.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "frag"))).alias("cells"))
 
     def run(batches):
@@ -267,78 +332,133 @@ def concept_graphs(cover: DataFrame) -> DataFrame:
             for sent, cells in zip(pdf.sent_id, pdf.cells):
                 try:
                     found.append((sent, *fragments([(c["start"], c["stop"], c["frag"]) for c in cells]), None))
-                except penman.PenmanError as e:
-                    found.append((sent, [], [], [], str(e)))
+                except Exception as e:
+                    found.append((sent, [], [], [], f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(found, columns=["sent_id", "nodes", "fixed", "spans", "error"])
 
     return gathered.mapInPandas(run, NODES)
 
 
-def edge_scores(graphs: DataFrame, sentences: DataFrame, knowledge: Knowledge, names) -> DataFrame:
-    """(sent_id, scores): each ordered pair of named nodes with each label and its score."""
-    layers = sentences.select("sent_id", "words", "pos", "rels", "heads", "srl")
-    full = layers.join(graphs.select("sent_id", F.filter("nodes", lambda n: n["var"].isNotNull()).alias("nodes")), "sent_id")
-    f = edgefeatures.edge_features(full, names)
-    scores = decoding.pair_scores(full.select("sent_id", F.explode("nodes.id").alias("node_id")), knowledge.labels, f, knowledge.weights2)
+LAYERS = ("words", "pos", "rels", "heads", "srl")
+
+
+def edge_rows(graphs: DataFrame, sentences: DataFrame, names) -> DataFrame:
+    """Features of each ordered pair of named nodes (see ``edgefeatures.edge_features``)."""
+    named = graphs.select("sent_id", F.filter("nodes", lambda n: n["var"].isNotNull()).alias("nodes"))
+    return edgefeatures.edge_features(sentences.select("sent_id", *LAYERS).join(named, "sent_id"), names)
+
+
+def root_rows(graphs: DataFrame, sentences: DataFrame, names) -> DataFrame:
+    """Features of each named node as a root."""
+    named = graphs.select("sent_id", F.filter("nodes", lambda n: n["var"].isNotNull()).alias("nodes"))
+    return edgefeatures.root_features(sentences.select("sent_id", *LAYERS).join(named, "sent_id"), names)
+
+
+def edge_scores(graphs: DataFrame, features: DataFrame, labels: DataFrame, weights: DataFrame, decoder: str, costs: DataFrame | None = None) -> DataFrame:
+    """(sent_id, scores): the labels and scores of each ordered pair of named nodes.
+
+    For decoders that look at the best label only, a pair has one; ties go to the smaller label. ``costs`` are
+    weights that hold in one sentence only (sent_id, feature, label, value).
+    """
+    nodes = graphs.select("sent_id", F.explode(F.filter("nodes", lambda n: n["var"].isNotNull())["id"]).alias("node_id"))
+    scores = decoding.pair_scores(nodes, labels, features, weights, costs)
+    if decoder in BEST_ONLY:
+        best = F.min(F.struct((-F.col("score")).alias("below"), "label", "score"))
+        scores = scores.groupBy("sent_id", "src", "dst").agg(best.alias("b")).select("sent_id", "src", "dst", "b.label", "b.score")
     return scores.groupBy("sent_id").agg(F.collect_list(F.struct("src", "dst", "label", "score")).alias("scores"))
 
 
-def root_scores(graphs: DataFrame, sentences: DataFrame, knowledge: Knowledge, names) -> DataFrame:
-    layers = sentences.select("sent_id", "words", "pos", "rels", "heads", "srl")
-    f = edgefeatures.root_features(layers.join(graphs.select("sent_id", "nodes"), "sent_id"), names)
-    plain = knowledge.weights2.where("label is null").select("feature", "value")
-    return f.join(plain, "feature").groupBy("sent_id", "node_id").agg(F.sum(F.col("u") * F.col("value")).alias("s")).groupBy("sent_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "s"))).alias("root_scores"))
+def root_scores(features: DataFrame, weights: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """(sent_id, root_scores): a map of each node's score as the root, for nodes that meet a weight."""
+    met = features.join(weights.where("label is null").select("feature", "value"), "feature").select("sent_id", "node_id", (F.col("u") * F.col("value")).alias("s"))
+    if costs is not None:
+        own = costs.where("label is null").select("sent_id", "feature", "value")
+        met = met.unionByName(features.join(own, ["sent_id", "feature"]).select("sent_id", "node_id", (F.col("u") * F.col("value")).alias("s")))
+    return met.groupBy("sent_id", "node_id").agg(F.sum("s").alias("s")).groupBy("sent_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "s"))).alias("root_scores"))
 
 
+#: Decoders: a function of the stage's settings gives a function of (named nodes, fixed edges, scores, label limits).
 DECODERS: dict[str, Callable] = {
     "Alg1": lambda s: edgedecode.top_labels,
     "Alg1a": lambda s: edgedecode.top_labels,
-    "Alg2": lambda s: lambda nodes, fixed, scores, limits: edgedecode.connected_subgraph(nodes, fixed, scores),
+    "Alg2": lambda s: lambda nodes, fixed, scores, limits: edgedecode.connected_subgraph(nodes, fixed, scores, s.connected),
     "Greedy": lambda s: edgedecode.greedy,
-    "LR": lambda s: lambda nodes, fixed, scores, limits: edgedecode.relaxed(nodes, fixed, scores, limits, s.iterations, s.step, s.strategy, edgedecode.greedy if s.approximate else None)[0],
+    "LR": lambda s: lambda nodes, fixed, scores, limits: edgedecode.relaxed(nodes, fixed, scores, limits, s.iterations, s.step, s.strategy, edgedecode.greedy if s.approximate else None, s.connected)[0],
 }
+#: Those that look at the best label of a pair only.
+BEST_ONLY = {"Alg2", "Greedy"}
+
+
+def decode(nodes, fixed, scores, roots, limits, settings) -> tuple[str, list, bool]:
+    """(root, edges with their scores, whether an ``and`` node was put on top) of a sentence; edges in fragments score 0.
+
+    The root is the node with the best root score among named ones that are no constants; ties go to the first.
+    """
+    concept, var = {n["id"]: n["concept"] for n in nodes}, {n["id"]: n["var"] for n in nodes}
+    named = [n["id"] for n in nodes if n["var"] is not None]
+    inner = [(e["src"], e["dst"], e["label"], 0.0) for e in fixed]
+    between = [e for e in inner if var[e[0]] is not None and var[e[1]] is not None]
+    found = DECODERS[settings.decoder](settings)(named, between, scores, limits) if named else []
+    rest = [e for e in inner if e not in between]
+    if settings.decoder == "Alg1a":
+        top, joined = edgedecode.with_and_root(named, found, roots)
+        if top == "and":
+            return top, [*rest, *joined], True
+    return best_root(named, concept, roots), [*rest, *found], False
+
+
+def best_root(named, concept, roots) -> str:
+    free = [n for n in named if not penman.is_constant(concept[n])]
+    return max(free, key=lambda n: (roots.get(n, 0.0), -int(n))) if free else named[0]
 
 
 @dataclass
 class Graph:
-    """A decoded graph in the order in which it is printed: Gorn ids, variables, tree and re-entrant edges."""
+    """A decoded graph in the order in which it is printed: Gorn ids, variables, tree and re-entrant edges.
+
+    A graph in parts has a root for each: 0, 1, ...; whole graphs have one.
+    """
 
-    root: str
+    roots: list[str]
     nodes: dict[str, tuple[str | None, str]]
     edges: list[tuple[str, str, str, str]]
     spans: list[tuple[int, int, list[str]]] = field(default_factory=list)
 
+    def text(self) -> str:
+        """The parts as PENMAN, one below the other."""
+        return "\n".join(penman.show((r, self.nodes, self.edges), 1) for r in self.roots)
+
 
 def assembled(nodes, fixed, spans, scores, roots, limits, settings: Settings) -> Graph:
-    """Decodes the edges, takes a spanning tree, numbers ``:op`` children, sorts relations and gives Gorn ids."""
+    """Decodes the edges, takes spanning trees, numbers ``:op`` children, sorts relations and gives Gorn ids.
+
+    What the root does not reach is not lost: each further part has its own best root and is numbered after the others.
+    """
+    top, edges, on_top = decode(nodes, fixed, scores, roots, limits, settings.stage2)
     concept, var, start = {n["id"]: n["concept"] for n in nodes}, {n["id"]: n["var"] for n in nodes}, {n["id"]: n["start"] for n in nodes}
-    named = [n["id"] for n in nodes if n["var"] is not None]
-    inner = [(e["src"], e["dst"], e["label"], 0.0) for e in fixed]
-    between = [e for e in inner if var[e[0]] is not None and var[e[1]] is not None]
-    found = DECODERS[settings.stage2.decoder](settings.stage2)(named, between, scores, limits) if named else []
-    edges = [*(e for e in inner if e not in between), *found]
-    free = [n for n in named if not penman.is_constant(concept[n])]
-    if settings.stage2.decoder == "Alg1a":
-        root, joined = edgedecode.with_and_root(named, found, roots)
-        edges = [*(e for e in inner if e not in between), *joined]
-        if root == "and":
-            concept["and"], var["and"] = "and", penman.free_name("a", {v for v in var.values() if v})
-    else:
-        root = max(free, key=lambda n: (roots.get(n, 0.0), -int(n))) if free else named[0]
-    tree, again = penman.spanning_tree(root, [(a, label, b) for a, b, label, _ in edges])
-    children: dict[str, list] = {}
-    for a, label, b in tree:
-        children.setdefault(a, []).append((label, b))
-    gorn, order = {root: "0"}, [root]
-    for a in order:
-        for i, (label, b) in enumerate(sorted(penman.numbered_ops(children.get(a, []), start), key=lambda e: e[0])):
-            gorn[b] = f"{gorn[a]}.{i}"
-            children.setdefault("#", []).append((gorn[a], label, gorn[b], "tree"))
-            order.append(b)
+    if on_top:
+        concept["and"], var["and"] = "and", penman.free_name("a", {v for v in var.values() if v})
     turned = {":mod-of": ":domain", ":domain-of": ":mod"} if settings.normalize_mod else {}
-    out = [(a, turned.get(label, label), b, kind) for a, label, b, kind in children.get("#", [])]
-    out += [(gorn[a], label, gorn[b], "reentrant") for a, label, b in again]
-    return Graph("0", {gorn[n]: (var[n], concept[n]) for n in order}, out, [(s["start"], s["stop"], sorted(gorn[n] for n in s["nodes"] if n in gorn)) for s in spans])
+    plain = [(a, label, b) for a, b, label, _ in edges]
+    gorn, order, out, tops = {}, [], [], []
+    while top is not None:
+        tree, again = penman.spanning_tree(top, plain)
+        children: dict[str, list] = {}
+        for a, label, b in tree:
+            children.setdefault(a, []).append((label, b))
+        gorn[top] = str(len(tops))
+        tops.append(gorn[top])
+        part = [top]
+        for a in part:
+            for i, (label, b) in enumerate(sorted(penman.numbered_ops(children.get(a, []), start), key=lambda e: e[0])):
+                gorn[b] = f"{gorn[a]}.{i}"
+                out.append((gorn[a], turned.get(label, label), gorn[b], "tree"))
+                part.append(b)
+        out += [(gorn[a], label, gorn[b], "reentrant") for a, label, b in again]
+        order += part
+        left = [n["id"] for n in nodes if n["id"] not in gorn]
+        top = best_root([n for n in left if var[n] is not None] or left, concept, roots) if left else None
+    return Graph(tops, {gorn[n]: (var[n], concept[n]) for n in order}, out, [(s["start"], s["stop"], sorted(gorn[n] for n in s["nodes"])) for s in spans])
 
 
 def written(graph: Graph, snt: str, tok: str, output, annotator: str) -> str:
@@ -348,7 +468,7 @@ def written(graph: Graph, snt: str, tok: str, output, annotator: str) -> str:
     at = {n: f"{a}-{b}" for a, b, ids in graph.spans for n in ids}
     forms = {
         "nodes": lambda: sorted(f"{k}\t{c}\t{at.get(k, '')}" for k, (_, c) in graph.nodes.items()),
-        "root": lambda: [f"{graph.root}\t{graph.nodes[graph.root][1]}"],
+        "root": lambda: [f"{r}\t{graph.nodes[r][1]}" for r in graph.roots],
         "edges": lambda: sorted(f"{graph.nodes[a][1]}\t{label.lstrip(':')}\t{graph.nodes[b][1]}\t{a}\t{b}\t" for a, label, b, _ in graph.edges),
     }
     names = {"nodes": "# ::node\t", "root": "# ::root\t", "edges": "# ::edge\t"}
@@ -356,7 +476,7 @@ def written(graph: Graph, snt: str, tok: str, output, annotator: str) -> str:
         if form in output:
             lines += [names[form] + x for x in forms[form]()]
     if "AMR" in output:
-        lines.append(penman.show((graph.root, graph.nodes, graph.edges), 1))
+        lines.append(graph.text())
     if "triples" in output:
         name = lambda k: (f"{graph.nodes[k][0]} / " if graph.nodes[k][0] else "") + graph.nodes[k][1]
         lines += sorted(f"({name(a)}, {label.lstrip(':')}, {name(b)})" for a, label, b, _ in graph.edges)
@@ -371,31 +491,35 @@ def written(graph: Graph, snt: str, tok: str, output, annotator: str) -> str:
 OUT = "sent_id long, graph string, alignments string, block string, error string"
 
 
+def scored_graphs(graphs: DataFrame, sentences: DataFrame, knowledge: Knowledge, settings: Settings) -> DataFrame:
+    """``graphs`` with scores and root_scores; null where stage 2 is off or has no weights."""
+    s2 = settings.stage2
+    if settings.stage1.only or knowledge.weights2 is None or knowledge.labels is None:
+        none = {"scores": "array<struct<src:string,dst:string,label:string,score:double>>", "root_scores": "map<string,double>"}
+        return graphs.withColumns({k: F.lit(None).cast(v) for k, v in none.items()})
+    edge_names, root_names = [x for x in s2.features if x in edgefeatures.EDGE], [x for x in s2.features if x in edgefeatures.ROOT]
+    out = graphs.join(edge_scores(graphs, edge_rows(graphs, sentences, edge_names), knowledge.labels, knowledge.weights2, s2.decoder), "sent_id", "left")
+    if not root_names:
+        return out.withColumn("root_scores", F.lit(None).cast("map<string,double>"))
+    return out.join(root_scores(root_rows(graphs, sentences, root_names), knowledge.weights2), "sent_id", "left")
+
+
+def limits_of(labels: DataFrame | None) -> dict[str, int]:
+    return {r["label"]: r["max_card"] for r in labels.collect()} if labels is not None else {}  # a label set is short
+
+
 def parse(sentences: DataFrame, knowledge: Knowledge, settings: Settings = Settings(), annotator: str = "graphloom", gold: DataFrame | None = None) -> DataFrame:
     """(sent_id, graph, alignments, block, error) of every sentence; ``settings`` says which sources, features and decoder.
 
     A sentence without a cover, or one that fails where ``settings.ignore_errors`` is set, has the empty graph; a
     failure is told in ``error``, and without that setting fails the query. With ``settings.stage1.oracle`` the
-    spans are those of ``gold`` (sent_id, start, stop, frag).
+    spans are those of ``gold`` (sent_id, start, stop, frag). A graph in parts (stage 1 only, no weights, Alg1) has
+    all of them, one below the other.
     """
-    s1, s2 = settings.stage1, settings.stage2
-    if s1.oracle:
-        cover = gold.select("sent_id", "start", "stop", "frag")
-    else:
-        training = F.col("sent_id") if s1.leave_one_out else None
-        found = invoke(sentences, knowledge, s1.sources, s1.wiki, training)
-        cover = best_cover(scored(found, sentences, knowledge, s1.features))
-    graphs = cut(concept_graphs(cover))
-    full = sentences.select("sent_id", "snt", "words").join(graphs, "sent_id", "left")
-    limits = {}
-    if not s1.only and knowledge.weights2 is not None and knowledge.labels is not None:
-        edge_names = [x for x in s2.features if x in edgefeatures.EDGE]
-        root_names = [x for x in s2.features if x in edgefeatures.ROOT]
-        full = full.join(edge_scores(graphs, sentences, knowledge, edge_names), "sent_id", "left")
-        full = full.join(root_scores(graphs, sentences, knowledge, root_names), "sent_id", "left") if root_names else full.withColumn("root_scores", F.lit(None).cast("map<string,double>"))
-        limits = {r["label"]: r["max_card"] for r in knowledge.labels.collect()}  # a label set is short
-    else:
-        full = full.withColumn("scores", F.lit(None).cast("array<struct<src:string,dst:string,label:string,score:double>>")).withColumn("root_scores", F.lit(None).cast("map<string,double>"))
+    cover = gold if settings.stage1.oracle else spans_of(sentences, knowledge, settings)
+    graphs = cut(concept_graphs(cover.select("sent_id", "start", "stop", "frag")))
+    full = sentences.select("sent_id", "snt", "words").join(scored_graphs(graphs, sentences, knowledge, settings), "sent_id", "left")
+    limits = limits_of(knowledge.labels)
 
     def run(batches):
         for pdf in batches:
@@ -406,13 +530,12 @@ def parse(sentences: DataFrame, knowledge: Knowledge, settings: Settings = Setti
                     if error:
                         raise penman.PenmanError(error)
                     if row.nodes is None or not len(row.nodes):
-                        graph = Graph("0", {"0": ("a", "amr-empty")}, [], [(0, 1, ["0"])])
+                        graph = Graph(["0"], {"0": ("a", "amr-empty")}, [], [(0, 1, ["0"])])
                     else:
                         scores = [(e["src"], e["dst"], e["label"], e["score"]) for e in (row.scores if row.scores is not None else [])]
                         graph = assembled(list(row.nodes), list(row.fixed), list(row.spans), scores, dict(row.root_scores or {}), limits, settings)
-                    text = penman.show((graph.root, graph.nodes, graph.edges), 1)
                     spans = " ".join(f"{a}-{b}|{'+'.join(ids)}" for a, b, ids in graph.spans if ids)
-                    made.append((row.sent_id, text, spans, written(graph, snt, tok, settings.output, annotator), None))
+                    made.append((row.sent_id, graph.text(), spans, written(graph, snt, tok, settings.output, annotator), None))
                 except Exception as e:
                     if not settings.ignore_errors:
                         raise

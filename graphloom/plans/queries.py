@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import algebra, candidates, decoding, dictionary, evaluation, graphs
+from graphloom.operators import algebra, candidates, decoding, dictionary, evaluation, graphs, parsing
 from graphloom.plans import inputs as I
 from graphloom.sources import text as reader
 
@@ -177,9 +177,9 @@ def unescaped(spark, sf):
 # Dictionaries ----------------------------------------------------------------------------------
 
 
-@query("SELECT phrase, frag, count(*) AS n, count(DISTINCT sent) AS n_indices FROM pairs GROUP BY phrase, frag", "pairs")
+@query("SELECT phrase, frag, count(*) AS n, CASE WHEN count(DISTINCT sent) <= 10000 THEN count(DISTINCT sent) ELSE 0 END AS n_indices FROM pairs GROUP BY phrase, frag", "pairs")
 def phrase_concept_counts(spark, sf):
-    return dictionary.phrase_concept_counts(I.pairs(spark, sf), 10**9).select("phrase", "frag", "n", F.size("indices").cast("long").alias("n_indices"))
+    return dictionary.phrase_concept_counts(I.pairs(spark, sf)).select("phrase", "frag", "n", F.size("indices").cast("long").alias("n_indices"))
 
 
 @query("SELECT frag, count(*) AS n FROM pairs GROUP BY frag", "pairs")
@@ -206,14 +206,14 @@ def phrase_counts(spark, sf):
 SELECT phrase, frag, n, round(ln(n / (k * m)), 6) AS c_given_p, round(ln(n / fn), 6) AS p_given_c, CAST(2 AS INTEGER) AS corpus_len, 1.0::DOUBLE AS corpus, CAST(n AS DOUBLE) AS count FROM c JOIN f USING (frag) JOIN k USING (phrase)""", "pairs")
 def dictionary_features(spark, sf):
     p = I.pairs(spark, sf)
-    counts = dictionary.phrase_concept_counts(p, 10**9)
+    counts = dictionary.phrase_concept_counts(p)
     d = dictionary.derived_features(counts, dictionary.fragment_counts(p), dictionary.phrase_counts(counts, p))
     return d.withColumn("c_given_p", F.round("c_given_p", 6)).withColumn("p_given_c", F.round("p_given_c", 6))
 
 
-@query("SELECT phrase, frag FROM pairs GROUP BY ALL HAVING max(abs(sent - 100)) > 20", "pairs")
+@query("SELECT phrase, frag FROM pairs GROUP BY ALL HAVING max(abs(sent - 100)) > 20 AND count(DISTINCT sent) <= 10000", "pairs")
 def leave_one_out(spark, sf):
-    return dictionary.leave_one_out(dictionary.phrase_concept_counts(I.pairs(spark, sf), 10**9), F.lit(100)).select("phrase", "frag")
+    return dictionary.leave_one_out(dictionary.phrase_concept_counts(I.pairs(spark, sf)), F.lit(100)).select("phrase", "frag")
 
 
 @query("n AS (SELECT sent_id, idx AS start, tok || ' ' || lead(tok) OVER (PARTITION BY sent_id ORDER BY idx) AS phrase FROM tok) SELECT sent_id, start, phrase, frag FROM n JOIN (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') AS phrase, string_split(text, ' ')[1] AS frag FROM benchmark WHERE len(string_split(text, ' ')) > 1) USING (phrase)", "sent", "tok")
@@ -245,9 +245,17 @@ def merged_candidates(spark, sf):
 # Candidates and stage-1 features -----------------------------------------------------------------
 
 
+def token_places(spark, sf):
+    return I.tokens(spark, sf).select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("word"), F.lit(None).cast("string").alias("tag"))
+
+
+def event_places(spark, sf):
+    return I.events(spark, sf).select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("word"), F.when(F.col("idx") % 2 == 0, "VBZ").otherwise("NN").alias("tag"))
+
+
 @query("SELECT sent_id, idx AS start, tok AS phrase, tok AS frag FROM tok WHERE regexp_full_match(tok, '[A-Za-z0-9]*')", "sent", "tok")
 def passthrough(spark, sf):
-    return candidates.pass_through(I.tokens(spark, sf))
+    return parsing.from_source("PassThrough", token_places(spark, sf))
 
 
 @query("""c AS (SELECT c_custkey AS sent_id, string_split(replace(c_name, '#', ' ') || ' of ' || lower(c_mktsegment) || ' !', ' ') AS words FROM customer)
@@ -256,7 +264,7 @@ FROM c, range(5) a(i), range(1, 7) b(j) WHERE i < len(words) AND i + j < len(wor
 def ne_passthrough(spark, sf):
     c = I.read(spark, sf, "customer")
     words = F.split(F.concat(F.replace("c_name", F.lit("#"), F.lit(" ")), F.lit(" of "), F.lower("c_mktsegment"), F.lit(" !")), " ")
-    return candidates.name_pass_through(c.select(F.col("c_custkey").alias("sent_id"), words.alias("words")))
+    return parsing.from_source("NEPassThrough", parsing.places_of(c.select(F.col("c_custkey").alias("sent_id"), words.alias("words"), F.array().cast("array<string>").alias("pos"))))
 
 
 ORACLE["ne_passthrough"] = "WITH " + ORACLE["ne_passthrough"]
@@ -298,22 +306,22 @@ def stems(spark):
 @query(f"SELECT sent_id, idx AS start, tok AS phrase, stem || '-01' AS frag FROM ev JOIN {STEMS} s(surface, stem) ON tok = surface WHERE stem IN ('view', 'buy')", "ev")
 def predicate_candidates(spark, sf):
     listed = spark.createDataFrame([("view-01",), ("buy-01",)], "predicate string")
-    return candidates.predicate_senses(I.events(spark, sf), stems(spark), listed)
+    return parsing.from_source("OntoNotes", event_places(spark, sf), parsing.Knowledge(stems=stems(spark), predicates=listed))
 
 
 @query(f"SELECT sent_id, idx AS start, tok AS phrase, coalesce(stem, tok) || '-00' AS frag FROM ev LEFT JOIN (SELECT surface, arg_min(stem, (length(stem), stem)) AS stem FROM {STEMS} s(surface, stem) GROUP BY surface) ON tok = surface WHERE idx % 2 = 0", "ev")
 def verb_candidates(spark, sf):
-    return candidates.verb_senses(I.events(spark, sf).withColumn("pos", F.when(F.col("idx") % 2 == 0, "VBZ").otherwise("NN")), stems(spark))
+    return parsing.from_source("verbs", event_places(spark, sf), parsing.Knowledge(stems=stems(spark)))
 
 
 @query("SELECT sent_id, idx AS start, tok AS phrase, CASE tok WHEN 'purchase' THEN 'buy' ELSE tok END AS frag FROM ev WHERE tok IN ('view', 'click', 'purchase')", "ev")
 def stem_candidates(spark, sf):
-    return candidates.shortest_stem(I.events(spark, sf), stems(spark))
+    return parsing.from_source("WordNetPassThrough", event_places(spark, sf), parsing.Knowledge(stems=stems(spark)))
 
 
 @query("SELECT sent_id, idx AS start, tok AS phrase, tok AS frag FROM ev WHERE false", "ev")
 def nominalizations(spark, sf):
-    return candidates.nominalizations(I.events(spark, sf))
+    return parsing.from_source("nominalizations", event_places(spark, sf))
 
 
 STAGE1 = ("bias", "length", "numberIndicator", "badConcept", "sentenceMatch", "andList", "pos", "posEvent", "pairWith2WordContext", "firstMatch")
@@ -402,7 +410,7 @@ def parse_cover(spark, sf):
     frag = F.concat(F.lit("(phrase :mod "), F.col("w")[1], F.lit(")"))
     entries = b.select(F.slice("w", 1, 2).alias("words"), frag.alias("frag")).distinct()
     phrases = dictionary.match_dictionary(s, entries).select("sent_id", "start", (F.col("start") + 2).alias("stop"), "frag", F.lit(0.5).alias("score"))
-    words = candidates.pass_through(I.tokens(spark, sf)).select("sent_id", "start", (F.col("start") + 1).alias("stop"), "frag", F.lit(0.15).alias("score"))
+    words = parsing.from_source("PassThrough", token_places(spark, sf)).select("sent_id", "start", (F.col("start") + 1).alias("stop"), "frag", F.lit(0.15).alias("score"))
     return decoding.cover(decoding.chart(words.unionByName(phrases)))
 
 

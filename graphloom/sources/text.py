@@ -113,10 +113,16 @@ def phrase_count(line: Column) -> Column:
     return F.struct(F.slice(f, 1, F.size(f) - 1).alias("words"), F.element_at(f, -1).cast("int").alias("n"))
 
 
-def weight(line: Column) -> Column:
-    """``feature[+L=label]<space or tab>value``; without a label the weight is unconjoined (null)."""
+def weight(line: Column, labels: list[str] | None = None) -> Column:
+    """``feature[+L=label]<space or tab>value``; without a label the weight is unconjoined (null).
+
+    Only what is in ``labels`` is a label, or without them what starts with a colon: the ``+L=<ROOT>`` of root
+    features belongs to their name.
+    """
     at = lambda g: F.regexp_extract(line, r"^(.+?)(?:\+L=([^ \t]+))?[ \t]([^ \t]+)$", g)
-    return F.struct(at(1).alias("feature"), F.nullif(at(2), F.lit("")).alias("label"), at(3).cast("double").alias("value"))
+    known = at(2).isin(*labels) if labels is not None else at(2).startswith(":")
+    whole = F.when(at(2) != "", F.concat(at(1), F.lit("+L="), at(2))).otherwise(at(1))
+    return F.struct(F.when(known, at(1)).otherwise(whole).alias("feature"), F.when(known, at(2)).alias("label"), at(3).cast("double").alias("value"))
 
 
 def label_limit(line: Column) -> Column:
@@ -143,13 +149,22 @@ def unfold(line: Column) -> Column:
 
 
 def zip_layers(layers: dict[str, DataFrame], id: str) -> DataFrame:
-    """Annotation layers side by side by sentence id; raises if a layer lacks a sentence that another has."""
+    """Annotation layers side by side by sentence id; raises if a layer lacks a sentence that another has.
+
+    A layer's sentences are told by one exchange each, in which every id of every layer is counted.
+    """
     names = list(layers)
+    marked = [layers[n].select(F.col(id), F.lit(k).alias("layer")) for k, n in enumerate(names)]
+    every = marked[0]
+    for more in marked[1:]:
+        every = every.unionByName(more)
+    counts = every.groupBy(id).agg(*(F.sum((F.col("layer") == k).cast("int")).alias(f"n{k}") for k in range(len(names))))
+    differ = counts.agg(*(F.max(F.when(F.col(f"n{k}") != F.col("n0"), 1).otherwise(0)).alias(f"d{k}") for k in range(len(names)))).first()
+    for k, name in enumerate(names):
+        if differ[f"d{k}"]:
+            raise ValueError(f"layer {name} has other sentences than {names[0]}")
     out = layers[names[0]]
     for name in names[1:]:
-        odd = out.select(id).exceptAll(layers[name].select(id)).unionAll(layers[name].select(id).exceptAll(out.select(id)))
-        if odd.limit(1).count():
-            raise ValueError(f"layer {name} has other sentences than {names[0]}")
         out = out.join(layers[name], id)
     return out
 

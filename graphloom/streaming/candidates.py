@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.operators.candidates import pass_through
+from graphloom.operators.parsing import from_source
 from graphloom.sources.text import tokens
 
 
@@ -20,4 +20,5 @@ def document_stream(spark: SparkSession, path: str, schema: StructType, files_pe
 
 
 def candidate_stream(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    return pass_through(tokens(docs.select(F.col(id).alias("sent_id"), F.col(text).alias("text")), "sent_id", "text"))
+    places = tokens(docs.select(F.col(id).alias("sent_id"), F.col(text).alias("text")), "sent_id", "text")
+    return from_source("PassThrough", places.select("sent_id", F.col("idx").alias("start"), F.col("tok").alias("word"), F.lit(None).cast("string").alias("tag")))
