@@ -141,6 +141,33 @@ def show(graph, detail: int = 1, pretty: bool = False) -> str:
     return "".join(out)
 
 
+def cut_out(graph, ids: list[str]):
+    """The fragment of the tree that the ids name: its first is the head, each further one a tree child of one before it.
+
+    Ids come in the order of a walk; what they name must hang together. Children are numbered anew from 0 and
+    re-entrant edges are left behind.
+    """
+    if not ids:
+        raise PenmanError("a fragment without nodes")
+    _, nodes, edges = graph
+    above = {target: (source, label) for source, label, target, kind in edges if kind == "tree"}
+    for at in ids:
+        if at not in nodes:
+            raise PenmanError(f"no node {at}")
+    new, children, kept, way = {ids[0]: "0"}, {ids[0]: 0}, [], [ids[0]]
+    for at in ids[1:]:
+        parent, label = above.get(at, (None, None))
+        while way and way[-1] != parent:
+            way.pop()
+        if not way or at in new:
+            raise PenmanError(f"fragment falls apart at {at}")
+        new[at], children[at] = f"{new[parent]}.{children[parent]}", 0
+        children[parent] += 1
+        kept.append((new[parent], label, new[at], "tree"))
+        way.append(at)
+    return "0", {new[at]: nodes[at] for at in ids}, kept
+
+
 def spanning_tree(root: str, edges: list[tuple[str, str, str]]):
     """(tree edges, re-entrant edges) by a walk from the root, nearest first.
 

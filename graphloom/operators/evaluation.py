@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import edgedecode, penman
+
 
 def prf(match: Column, test: Column, gold: Column) -> list[Column]:
     """Precision, recall and F1; zero where nothing can be divided."""
@@ -65,3 +68,48 @@ def alignment_scores(df: DataFrame, test: Column, gold: Column) -> DataFrame:
     """One row: matched, test, gold, precision, recall, f1 over all sentences' alignments."""
     c = df.select(alignment_counts(test, gold).alias("c")).agg(*(F.coalesce(F.sum(f"c.{x}"), F.lit(0)).alias(x) for x in ("matched", "test", "gold")))
     return c.select("matched", "test", "gold", *prf(F.col("matched"), F.col("test"), F.col("gold")))
+
+
+def span_differences(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """(sent_id, kind, start, stop, frag): found spans that are ``incorrect`` (the gold has another fragment there) or
+    ``extra`` (it has none), and gold spans that are ``missing``. Rows of equal spans count once."""
+    keys = ["sent_id", "start", "stop"]
+    f, g = found.select(*keys, "frag").distinct(), gold.select(*keys, "frag").distinct()
+    wrong = f.join(g, [*keys, "frag"], "left_anti").join(g.select(*keys).distinct().withColumn("there", F.lit(True)), keys, "left")
+    wrong = wrong.select("sent_id", F.when(F.col("there"), "incorrect").otherwise("extra").alias("kind"), "start", "stop", "frag")
+    return wrong.unionByName(g.join(f, [*keys, "frag"], "left_anti").select("sent_id", F.lit("missing").alias("kind"), "start", "stop", "frag"))
+
+
+REPORT = "pair_id long, match long, test long, gold long, mapping array<struct<a:string,b:string>>, report array<struct<side:string,kind:string,text:string>>, error string"
+
+
+def overlap_report(pairs: DataFrame, restarts: int = 4) -> DataFrame:
+    """(pair_id, match, test, gold, mapping, report, error): the overlap of graphs ``a`` and ``b`` (PENMAN) and what does not match.
+
+    ``mapping`` has each node of a and the node of b that it is mapped to, or null; pairs that match nothing are taken
+    out. ``report`` lists mapped nodes of other concepts, what is only in a (incorrect) and what is only in b (missing).
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for pair, a, b in zip(pdf.pair_id, pdf.a, pdf.b):
+                try:
+                    x, y = (edgedecode.triples_of(penman.read(t or "", gorn=False)) for t in (a, b))
+                    match, test, gold, mapping = edgedecode.best_mapping(x, y, restarts)
+                    rows.append((pair, match, test, gold, list(mapping.items()), edgedecode.differences(x, y, mapping), None))
+                except penman.PenmanError as e:
+                    rows.append((pair, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["pair_id", "match", "test", "gold", "mapping", "report", "error"]).astype({"match": "Int64", "test": "Int64", "gold": "Int64"})
+
+    return pairs.select("pair_id", "a", "b").mapInPandas(run, REPORT)
+
+
+def score_lines(counts: DataFrame, precision_recall: bool = False, single: bool = False) -> DataFrame:
+    """(pair_id, line): scores as they are printed, one pair after another, or with ``single`` the document's in one row."""
+    rows = overlap_totals(counts).withColumn("pair_id", F.lit(None).cast("long")) if single else counts.select("pair_id", "match", "test", "gold", *prf(F.col("match"), F.col("test"), F.col("gold")))
+    number = lambda c: F.format_string("%.3f", F.col(c))
+    parts = [] if single else [F.concat(F.lit("Sentence "), F.col("pair_id").cast("string"))]
+    parts += [F.concat(F.lit("Precision: "), number("precision")), F.concat(F.lit("Recall: "), number("recall"))] if precision_recall else []
+    parts.append(F.concat(F.lit("Document F-score: " if single else "Smatch score: "), number("f1")))
+    return rows.select("pair_id", F.concat_ws("\n", *parts).alias("line"))
