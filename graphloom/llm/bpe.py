@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import without
+from graphloom.llm.common import let_go, without
 
 #: Entries of a generation of a worker's memo. A full generation becomes the old one and the old one goes, so
 #: words in use stay; what is remembered changes no result.
@@ -398,6 +398,10 @@ def tokenizer(spec: str) -> WordTokenizer:
     return WordTokenizer(spec)
 
 
+def forget() -> None:
+    tokenizer.cache_clear()
+
+
 KINDS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
@@ -416,6 +420,7 @@ def encode(df: DataFrame, path: str, *, text: str = "text", outputs=("n_tokens",
     wants_ids = "ids" in outputs or "decoded" in outputs
 
     def run(batches):
+        let_go("bpe")
         t = tokenizer(spec.value)
         for batch in batches:
             made: dict[str, list] = {o: [] for o in outputs}

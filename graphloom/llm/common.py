@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import unicodedata
 from functools import lru_cache
@@ -80,3 +81,15 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of the shared store, if it is there."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Modules that remember things between tasks, each with a function ``forget``.
+REMEMBERING = ("bpe", "langid", "nearcopies")
+
+
+def let_go(but: str) -> None:
+    """Makes this worker forget what operators other than ``but`` remember: workers outlive a stage, and would hold all of it."""
+    for name in REMEMBERING:
+        module = sys.modules.get(f"graphloom.llm.{name}")
+        if module is not None and name != but:
+            module.forget()

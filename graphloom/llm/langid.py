@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, fresh, without
+from graphloom.llm.common import cut, fresh, let_go, without
 
 #: Symbols, as a power of two, and symbols in an n-gram of the highest order.
 BITS, ORDER = 6, 4
@@ -172,6 +172,11 @@ def look_up(levels, keys: np.ndarray) -> np.ndarray:
 _MEMO: dict = {}
 
 
+def forget() -> None:
+    _MEMO.clear()
+
+
+
 @dataclass(eq=False)
 class Model:
     """Sorted arrays for each language, and the calibrated mean and limit of its cross-entropy."""
@@ -306,6 +311,7 @@ def identify(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        let_go("langid")
         for batch in batches:
             found = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
             names, scores, rejected = zip(*found) if found else ((), (), ())

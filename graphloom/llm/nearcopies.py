@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import simhash
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, let_go
 
 #: Share of the texts, by hash, from which the order of shingles is taken, and how many common shingles are put last.
 #: A share, since a shingle that is in a fixed sample twice is in ever more texts as the table grows.
@@ -23,6 +23,8 @@ ORDER_SHARE = 0.1
 COMMON = 100_000
 #: Up to so many texts to be compared are picked by a broadcast of their hashes; more are dealt out.
 PICKED = 500_000
+#: Cells of a text's sketch, a power of two.
+CELLS = 128
 #: Buckets up to this size are compared many at a time.
 TOGETHER = 64
 
@@ -39,6 +41,12 @@ class Hashes(dict):
 
 
 HASHES = Hashes()
+
+
+def forget() -> None:
+    HASHES.clear()
+
+
 #: Odd numbers by which the words of a window are weighted, by place.
 WEIGHTS = np.array([xxhash.xxh64_intdigest(b"place", k) | 1 for k in range(64)], dtype=np.uint64)
 
@@ -65,6 +73,26 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(gram_hashes(text, size))
 
 
+def sketch(own: np.ndarray) -> bytes | None:
+    """How many of a text's shingles fall into each of ``CELLS`` cells by their hash; none if a cell has more than a byte holds."""
+    counts = np.bincount((own >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def reachable(batches):
+    """Pairs whose sketches leave room for a similarity of 0.8: two sets share no more than the lesser count of each cell."""
+    for batch in batches:
+        n = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+        a, b = (batch.column(x) for x in ("sketch_a", "sketch_b"))
+        known = np.flatnonzero(np.asarray(a.is_valid()) & np.asarray(b.is_valid()))
+        keep = np.ones(len(n), bool)
+        if len(known):
+            at = pa.array(known)
+            x, y = (np.frombuffer(b"".join(c.take(at).to_pylist()), np.uint8).reshape(-1, CELLS) for c in (a, b))
+            keep[known] = 9 * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= 4 * n[known]
+        yield batch.select(["a", "b", "of_a", "of_b"]).filter(pa.array(keep))
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Jaccard similarity of 0.8 or more, in whole numbers."""
     both = np.sort(np.concatenate([a, b]))
@@ -179,18 +207,19 @@ def near_copies(df: DataFrame, *, key: Column, text: str = "text", shingle: int
     kind = rows.schema["key"].dataType.simpleString()
 
     def measure(batches):
+        let_go("nearcopies")
         for batch in batches:
             made = []
             for t in batch.column(2).to_pylist():
                 grams = gram_hashes(t, shingle)
                 own = np.unique(grams)
                 fp = simhash.majority(simhash.ones_of(grams), len(grams)) if len(grams) else 0
-                made.append((xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63), fp, len(own), prefix(own, *order.value).view(np.int64)))
-            sid, fp, n, keys = zip(*made) if made else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sid, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "of", "sid", "fp", "n", "keys"])
+                made.append((xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63), fp, len(own), prefix(own, *order.value).view(np.int64), sketch(own)))
+            sid, fp, n, keys, cells = zip(*made) if made else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sid, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["key", "of", "sid", "fp", "n", "keys", "sketch"])
 
-    prints = cut(rows.mapInArrow(measure, f"key {kind}, of long, sid long, fp long, n int, keys array<long>"))
-    sets = cut(prints.groupBy("sid").agg(F.min("key").alias("least"), F.min("of").alias("of"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")))
+    prints = cut(rows.mapInArrow(measure, f"key {kind}, of long, sid long, fp long, n int, keys array<long>, sketch binary"))
+    sets = cut(prints.groupBy("sid").agg(F.min("key").alias("least"), F.min("of").alias("of"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")))
 
     spread = sets.where("n > 0").select("sid", "n", F.posexplode("keys").alias("at", "key")).select("key", "sid", "n", "at")
     spread = spread.repartition("key").sortWithinPartitions("key", "sid")
@@ -216,17 +245,21 @@ def near_copies(df: DataFrame, *, key: Column, text: str = "text", shingle: int
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """Those of ``pairs`` whose texts have a Jaccard similarity of 0.8 or more."""
-    ids = sets.select("sid", "of", "n")
-    a, b = ids.toDF("a", "of_a", "n_a"), ids.toDF("b", "of_b", "n_b")
+    """Those of ``pairs`` whose texts have a Jaccard similarity of 0.8 or more.
+
+    Sizes and sketches come first: they rule out most pairs that are not similar before any text is sent.
+    """
+    ids = sets.select("sid", "of", "n", "sketch")
+    a, b = ids.toDF("a", "of_a", "n_a", "sketch_a"), ids.toDF("b", "of_b", "n_b", "sketch_b")
     fit = F.expr("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    pairs = cut(pairs.join(a, "a").join(b, "b").where(fit).select("a", "b", "of_a", "of_b"))
+    pairs = cut(pairs.join(a, "a").join(b, "b").where(fit).mapInArrow(reachable, "a long, b long, of_a long, of_b long"))
     wanted = cut(pairs.select(F.explode(F.array("of_a", "of_b")).alias("of")).distinct())
     picked = F.broadcast(wanted) if wanted.count() <= PICKED else wanted
     texts = cut(rows.select("of", "text").join(picked, "of", "left_semi").groupBy("of").agg(F.first("text").alias("text")))
     full = pairs.join(texts.toDF("of_a", "text_a"), "of_a").join(texts.toDF("of_b", "text_b"), "of_b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
+        let_go("nearcopies")
         for batch in batches:
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             kept = [similar(shingles(s, shingle), shingles(t, shingle)) for s, t in zip(x, y)]
