@@ -389,18 +389,23 @@ DECODERS: dict[str, Callable] = {
 BEST_ONLY = {"Alg2", "Greedy"}
 
 
-def decode(nodes, fixed, scores, roots, limits, settings) -> tuple[str, list, bool]:
+def decoder_of(settings) -> Callable:
+    """The stage's decoder. Looked up on the driver and sent with the work, so that one that was registered there is known."""
+    return DECODERS[settings.decoder](settings)
+
+
+def decode(nodes, fixed, scores, roots, limits, decoder: Callable, and_root: bool = False) -> tuple[str, list, bool]:
     """(root, edges with their scores, whether an ``and`` node was put on top) of a sentence; edges in fragments score 0.
 
-    The root is the node with the best root score among named ones that are no constants; ties go to the first.
+    With ``and_root`` the parts of a graph in parts go below an ``and`` node. Else the root is the node with the best root score among named ones that are no constants; ties go to the first.
     """
     concept, var = {n["id"]: n["concept"] for n in nodes}, {n["id"]: n["var"] for n in nodes}
     named = [n["id"] for n in nodes if n["var"] is not None]
     inner = [(e["src"], e["dst"], e["label"], 0.0) for e in fixed]
     between = [e for e in inner if var[e[0]] is not None and var[e[1]] is not None]
-    found = DECODERS[settings.decoder](settings)(named, between, scores, limits) if named else []
+    found = decoder(named, between, scores, limits) if named else []
     rest = [e for e in inner if e not in between]
-    if settings.decoder == "Alg1a":
+    if and_root:
         top, joined = edgedecode.with_and_root(named, found, roots)
         if top == "and":
             return top, [*rest, *joined], True
@@ -429,12 +434,12 @@ class Graph:
         return "\n".join(penman.show((r, self.nodes, self.edges), 1) for r in self.roots)
 
 
-def assembled(nodes, fixed, spans, scores, roots, limits, settings: Settings) -> Graph:
+def assembled(nodes, fixed, spans, scores, roots, limits, settings: Settings, decoder: Callable | None = None) -> Graph:
     """Decodes the edges, takes spanning trees, numbers ``:op`` children, sorts relations and gives Gorn ids.
 
     What the root does not reach is not lost: each further part has its own best root and is numbered after the others.
     """
-    top, edges, on_top = decode(nodes, fixed, scores, roots, limits, settings.stage2)
+    top, edges, on_top = decode(nodes, fixed, scores, roots, limits, decoder or decoder_of(settings.stage2), settings.stage2.decoder == "Alg1a")
     concept, var, start = {n["id"]: n["concept"] for n in nodes}, {n["id"]: n["var"] for n in nodes}, {n["id"]: n["start"] for n in nodes}
     if on_top:
         concept["and"], var["and"] = "and", penman.free_name("a", {v for v in var.values() if v})
@@ -519,7 +524,7 @@ def parse(sentences: DataFrame, knowledge: Knowledge, settings: Settings = Setti
     cover = gold if settings.stage1.oracle else spans_of(sentences, knowledge, settings)
     graphs = cut(concept_graphs(cover.select("sent_id", "start", "stop", "frag")))
     full = sentences.select("sent_id", "snt", "words").join(scored_graphs(graphs, sentences, knowledge, settings), "sent_id", "left")
-    limits = limits_of(knowledge.labels)
+    limits, decoder = limits_of(knowledge.labels), decoder_of(settings.stage2)
 
     def run(batches):
         for pdf in batches:
@@ -533,7 +538,7 @@ def parse(sentences: DataFrame, knowledge: Knowledge, settings: Settings = Setti
                         graph = Graph(["0"], {"0": ("a", "amr-empty")}, [], [(0, 1, ["0"])])
                     else:
                         scores = [(e["src"], e["dst"], e["label"], e["score"]) for e in (row.scores if row.scores is not None else [])]
-                        graph = assembled(list(row.nodes), list(row.fixed), list(row.spans), scores, dict(row.root_scores or {}), limits, settings)
+                        graph = assembled(list(row.nodes), list(row.fixed), list(row.spans), scores, dict(row.root_scores or {}), limits, settings, decoder)
                     spans = " ".join(f"{a}-{b}|{'+'.join(ids)}" for a, b, ids in graph.spans if ids)
                     made.append((row.sent_id, graph.text(), spans, written(graph, snt, tok, settings.output, annotator), None))
                 except Exception as e:
