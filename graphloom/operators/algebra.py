@@ -70,6 +70,24 @@ def sgd(weights: DataFrame, gradient: DataFrame, step: float, l2: float = 0.0, u
     return moved.select(*KEY, (F.col("value") * kept).alias("value"))
 
 
+def scaled_sgd(weights: DataFrame, scale: float, gradient: DataFrame, step: float, l2: float, unregularized=()) -> tuple[DataFrame, float]:
+    """(weights, scale) after one step, where the true weights are scale times the table: w = (1 - step * l2) w - step * g.
+
+    L2 changes the scale alone, so that only what the gradient touches, and what is not regularized, gets a new value.
+    """
+    kept = 1 - step * l2
+    moved = add(weights, gradient, -step / (kept * scale))
+    if unregularized:
+        free = F.col("feature").isin(*unregularized)
+        # These keep their true value but for the gradient's part, which has no shrinking in it.
+        own = gradient.where(free).select(F.col("feature").alias("gf"), F.col("label").alias("gl"), F.col("value").alias("g"))
+        was = weights.where(free).select(F.col("feature").alias("wf"), F.col("label").alias("wl"), F.col("value").alias("w"))
+        both = was.join(own, F.expr("wf = gf and wl <=> gl"), "full")
+        fixed = both.select(F.coalesce("wf", "gf").alias("feature"), F.when(F.col("wf").isNotNull(), F.col("wl")).otherwise(F.col("gl")).alias("label"), (F.coalesce("w", F.lit(0.0)) / kept - F.coalesce("g", F.lit(0.0)) * (step / (kept * scale))).alias("value"))
+        moved = moved.where(~free).unionByName(fixed)
+    return moved, scale * kept
+
+
 def average(passes: list[DataFrame], divide_by_passes: bool) -> DataFrame:
     """The sum of each pass's weights, or their mean."""
     total = passes[0]

@@ -57,9 +57,18 @@ def listed_spans(spans: DataFrame) -> DataFrame:
     return spans.groupBy("sent_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["line"]), "\n").alias("listing"))
 
 
-def shuffled(df: DataFrame, key: Column, seed: int) -> DataFrame:
-    """Rows with ``place``, a random order that depends on the seed and the key alone."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64))).orderBy(F.xxhash64(F.lit(seed + 1), key), key)))
+def shuffled(df: DataFrame, key: Column, seed: int, parts: int = 64) -> DataFrame:
+    """Rows with ``place`` (from 0, without gaps), a random order of all rows that depends on the seed and the key alone.
+
+    Rows are dealt to ``parts`` by a hash, numbered there, and moved on by the rows of the parts before.
+    """
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(parts))).withColumn("__order", F.xxhash64(F.lit(seed + 1), key)).withColumn("__key", key)
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    # A row for each part.
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("__order", "__key")) - 1
+    placed = dealt.withColumn("inside", inside).join(F.broadcast(before), "__part")
+    return placed.withColumn("place", F.col("before") + F.col("inside")).drop("__part", "__order", "__key", "before", "inside")
 
 
 def tag_counts(tags: DataFrame, size: int) -> DataFrame:

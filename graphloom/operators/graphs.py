@@ -164,10 +164,22 @@ def unify_variables(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def name_variables(nodes: DataFrame) -> DataFrame:
-    """Variables c, c2, c3, ... by the first letter of the lower-cased concept, in node order."""
-    first = F.lower(F.regexp_extract("concept", '[^"]', 0).substr(1, 1))
-    n = F.row_number().over(Window.partitionBy("sent_id", first).orderBy("ord"))
-    return nodes.withColumn("var", F.concat(first, F.when(n > 1, n.cast("string")).otherwise("")))
+    """``nodes`` with variables apart: one that an earlier node of the sentence (by ``ord``) has becomes its first letter with
+    the least number from 2 on that is free, or without one if that is; nodes without a variable stay so."""
+    walk = nodes.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("ord", "node_id", "var"))).alias("walk"))
+    none = F.array().cast("array<string>")
+
+    def free(first: Column, taken: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda k: F.when(k == 1, first).otherwise(F.concat(first, k.cast("string"))))
+        return F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0))
+
+    def step(taken: Column, x: Column) -> Column:
+        # Every node has a place in the list; the empty string stands for no variable.
+        name = F.coalesce(x["var"], F.lit(""))
+        return F.array_append(taken, F.when((name == "") | ~F.array_contains(taken, name), name).otherwise(free(F.left(name, F.lit(1)), taken)))
+
+    named = walk.select("sent_id", F.inline(F.arrays_zip(F.col("walk.node_id").alias("node_id"), F.aggregate("walk", none, step).alias("var"))))
+    return nodes.drop("var").join(named.select("sent_id", "node_id", F.nullif("var", F.lit("")).alias("var")), ["sent_id", "node_id"])
 
 
 def node_rows(nodes: DataFrame) -> DataFrame:
@@ -297,3 +309,10 @@ def common_prefix_length(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     same = F.transform(F.sequence(F.lit(0), n), lambda i: F.left(a, i) == F.left(b, i))
     return (F.size(F.filter(same, lambda x: x)) - 1).cast("int")
+
+
+def shared_prefixes(a: DataFrame, b: DataFrame, least: int = 4) -> DataFrame:
+    """(a, b, lcp) of the words of two lists that share their first ``least`` letters or more, joined on those letters."""
+    left = a.select(F.col("a"), F.left("a", F.lit(least)).alias("k")).where(F.length("a") >= least)
+    right = b.select(F.col("b"), F.left("b", F.lit(least)).alias("k")).where(F.length("b") >= least)
+    return left.join(right, "k").select("a", "b", common_prefix_length(F.col("a"), F.col("b")).alias("lcp"))

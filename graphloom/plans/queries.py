@@ -585,7 +585,7 @@ def span_load(spark, sf):
 
 @query("SELECT sent_id, CASE WHEN n = 1 THEN f ELSE f || n END AS var, node_id FROM (SELECT *, substr(concept, 1, 1) AS f, row_number() OVER (PARTITION BY sent_id, substr(concept, 1, 1) ORDER BY node_id) AS n FROM tn)", "tn")
 def variables(spark, sf):
-    return graphs.name_variables(I.tree_nodes(spark, sf).withColumn("ord", F.col("node_id"))).select("sent_id", "var", "node_id")
+    return graphs.name_variables(I.tree_nodes(spark, sf).withColumn("ord", F.col("node_id")).withColumn("var", F.substring("concept", 1, 1))).select("sent_id", "var", "node_id")
 
 
 @query("t AS (SELECT sent_id, CAST(arg_min(node_id, node_id) AS VARCHAR) AS target FROM tn WHERE node_id LIKE 'n%' GROUP BY sent_id) SELECT te.sent_id, src, label, CASE WHEN dst LIKE 'c%' AND tn.concept = 'building' THEN target ELSE dst END AS dst, dst LIKE 'c%' AND tn.concept = 'building' AS reentrant FROM te JOIN tn ON te.sent_id = tn.sent_id AND te.dst = tn.node_id JOIN t ON t.sent_id = te.sent_id", "tn", "te")
@@ -658,6 +658,14 @@ def prefix_match(spark, sf):
 ORACLE["prefix_match"] = "WITH " + ORACLE["prefix_match"]
 
 
+@query("SELECT a, b, CAST(len([i for i in range(1, least(length(a), length(b)) + 1) if left(a, i) = left(b, i)]) AS INTEGER) AS lcp FROM (SELECT DISTINCT tok AS a FROM tok) JOIN (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \n]')) AS b FROM benchmark) ON left(a, 4) = left(b, 4) WHERE length(a) > 3 AND length(b) > 3", "sent", "tok")
+def fuzzy_words(spark, sf):
+    """Words of the documents and of the benchmark that begin alike."""
+    words = lambda df, c: df.select(F.col("tok").alias(c)).distinct()
+    bench = reader.tokens(I.read(spark, sf, "benchmark").withColumnRenamed("item_id", "sent_id"), "sent_id", "text")
+    return graphs.shared_prefixes(words(I.tokens(spark, sf), "a"), words(bench, "b"))
+
+
 # Edge decoding, vectors, scores ---------------------------------------------------------------------
 
 

@@ -112,3 +112,42 @@ def exact_words(spark, sf):
     n = s.select("sent_id", F.inline("nodes")).select("sent_id", F.col("id").alias("node_id"), "concept")
     w = s.select("sent_id", F.posexplode(F.transform("nodes", lambda n: n["concept"])).alias("idx", "c")).select("sent_id", F.col("idx").cast("long").alias("idx"), alignment.bare_concept(F.col("c")).alias("word"))
     return alignment.exact_matches(n, w)
+
+
+#: Sentences, graphs and spans by rule (fixed values: documented examples of what each rule aligns); {} is a number of the row's own.
+TEMPLATES = [
+    ("17 July 2003", "(d / date-entity :day 17 :month 7 :year 2003)", "0-3|0+0.0+0.1+0.2"), ("021114", "(d / date-entity :year 2002 :month 11 :day 14)", "0-1|0+0.0+0.1+0.2"),
+    ("U.S. troops", '(t / troop :poss (c / country :name (n / name :op1 "United" :op2 "States")))', "0-1|0.0+0.0.0+0.0.0.0+0.0.0.1 1-2|0"),
+    ("the UN", '(o / organization :name (n / name :op1 "United" :op2 "Nations"))', "1-2|0+0.0+0.0.0+0.0.1"),
+    ("a U N vote", '(v / vote-01 :ARG0 (o / organization :name (n / name :op1 "United" :op2 "Nations")))', "1-3|0.0+0.0.0+0.0.0.0+0.0.0.1 3-4|0"),
+    ("he did not win", "(w / win-01 :polarity - :ARG0 (h / he))", "0-1|0.1 2-3|0.0 3-4|0"), ("unhappy", "(h / happy :polarity -)", "0-1|0+0.0"),
+    ("the tallest tree", "(t / tree :mod (a / tall :degree (m / most)))", "1-2|0.0+0.0.0 2-3|0"), ("five miles", "(d / distance-quantity :quant 5 :unit (m / mile))", "0-1|0.0 1-2|0+0.1"),
+    ("teachers", "(p / person :ARG0-of (t / teach-01))", "0-1|0+0.0"), ("president", "(p / person :ARG0-of (h / have-org-role-91 :ARG2 (q / president)))", "0-1|0+0.0+0.0.0"),
+    ("governments", "(g / government-organization :ARG0-of (x / govern-01))", "0-1|0+0.0"), ("Customer {} paid", '(p / pay-01 :ARG0 (c / company :name (n / name :op1 "Customer" :op2 "{}")))', "0-2|0.0+0.0.0+0.0.0.0+0.0.0.1 2-3|0"),
+]
+
+
+@query("SELECT c_custkey AS sent_id, [" + ", ".join("'" + " ".join(sorted(x.split())) + "'" for _, _, x in TEMPLATES) + f"][c_custkey % {len(TEMPLATES)} + 1] AS spans FROM customer")
+def aligned_by_rule(spark, sf):
+    """The aligner on a sentence and graph for each customer, of the kind that a rule is for; one kind has the customer's own number."""
+    pick = lambda k: F.replace(F.get(F.array(*(F.lit(t[k]) for t in TEMPLATES)), (F.col("c_custkey") % len(TEMPLATES)).cast("int")), F.lit("{}"), (F.col("c_custkey") + 100_000).cast("string"))
+    df = I.read(spark, sf, "customer").select(F.col("c_custkey").alias("sent_id"), F.split(pick(0), " ").alias("words"), pick(1).alias("penman"))
+    lines = alignment.alignment_lines(alignment.align_sentences(df, {"miles": ["mile"], "troops": ["troop"], "paid": ["pay"]}))
+    return lines.select("sent_id", F.array_join(F.array_sort(F.split("alignments", " ")), " ").alias("spans"))
+
+
+@query("WITH g AS (SELECT 'p' || (l_partkey % 50) AS feature, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS label, count(*) * 0.25::DOUBLE AS g FROM lineitem GROUP BY ALL), w AS (SELECT 'p' || (p_partkey % 70) AS feature, NULL AS label, CAST(count(*) AS DOUBLE) AS w FROM part GROUP BY ALL) SELECT coalesce(g.feature, w.feature) AS feature, CASE WHEN g.feature IS NOT NULL THEN g.label ELSE w.label END AS label, round(CASE coalesce(g.feature, w.feature) WHEN 'p1' THEN 1.0 ELSE 0.75 END * coalesce(w, 0) - 0.5 * coalesce(g, 0), 6) + 0 AS value FROM g FULL JOIN w ON g.feature = w.feature AND g.label IS NOT DISTINCT FROM w.label WHERE CASE coalesce(g.feature, w.feature) WHEN 'p1' THEN 1.0 ELSE 0.75 END * coalesce(w, 0) - 0.5 * coalesce(g, 0) <> 0")
+def scaled_step(spark, sf):
+    """One step of descent with L2 as a factor; the feature p1 is not regularized."""
+    li = I.read(spark, sf, "lineitem")
+    g = li.groupBy(F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("feature"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("label")).agg((F.count("*") * 0.25).alias("value"))
+    w = I.read(spark, sf, "part").groupBy(F.concat(F.lit("p"), (F.col("p_partkey") % 70).cast("string")).alias("feature")).agg((F.count("*") / 4.0).alias("value")).select("feature", F.lit(None).cast("string").alias("label"), "value")
+    moved, scale = algebra.scaled_sgd(w, 4.0, g, 0.5, 0.5, ("p1",))
+    return moved.select("feature", "label", F.round(F.col("value") * scale, 6).alias("value")).where("value <> 0")
+
+
+@query("SELECT count(*) AS n, min(k) AS first, max(k) AS last, count(DISTINCT k) AS places FROM (SELECT row_number() OVER () - 1 AS k FROM orders)")
+def shuffled_orders(spark, sf):
+    """Places of all orders in a random order: each from 0 on once."""
+    o = corpus.shuffled(I.read(spark, sf, "orders").select("o_orderkey"), F.col("o_orderkey"), 3)
+    return o.agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.count_distinct("place").alias("places"))
