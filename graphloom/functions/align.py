@@ -17,15 +17,15 @@ NUMBERS = {"one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 #: Concepts that a lower-cased word stands for besides itself.
 MEANINGS = {
-    "/": "slash", ";": "and", ":": "mean", "!": "expressive", "..": "expressive", "...": "expressive", "....": "expressive", "?": "interrogative",
-    "%": "percentage-entity", "able": "possible", "according": "say", "also": "include", "anti": "oppose counter", "anyway": "have-concession",
-    "as": "same", "because": "cause", "but": "contrast have-concession", "can": "possible", "cant": "possible", "can't": "possible",
-    "choice": "choose", "could": "possible", "death": "die", "french": "france France", "have": "obligate", "her": "she", "his": "he",
-    "how": "amr-unknown", "if": "cause", "illegal": "law", "like": "resemble", "life": "live", "may": "possible", "me": "i", "might": "possible",
-    "my": "i", "n't": "-", "no": "-", "non": "-", "not": "-", "of": "include have-manner", "ok": "okay", "o.k.": "okay", "our": "we",
-    "people": "person", "similar": "resemble", "since": "cause", "should": "recommend", "so": "infer cause", "speech": "speak",
-    "statement": "state", "them": "they", "these": "this", "those": "that", "thought": "think", "thoughts": "think", "uni": "university",
-    "well": "good", "what": "amr-unknown", "who": "amr-unknown",
+    "/": ["slash"], ";": ["and"], ":": ["mean"], "!": ["expressive"], "..": ["expressive"], "...": ["expressive"], "....": ["expressive"], "?": ["interrogative"],
+    "%": ["percentage-entity"], "able": ["possible"], "according": ["say"], "also": ["include"], "anti": ["oppose", "counter"], "anyway": ["have-concession"],
+    "as": ["same"], "because": ["cause"], "but": ["contrast", "have-concession"], "can": ["possible"], "cant": ["possible"], "can't": ["possible"],
+    "choice": ["choose"], "could": ["possible"], "death": ["die"], "french": ["france", "France"], "have": ["obligate"], "her": ["she"], "his": ["he"],
+    "how": ["amr-unknown"], "if": ["cause"], "illegal": ["law"], "like": ["resemble"], "life": ["live"], "may": ["possible"], "me": ["i"], "might": ["possible"],
+    "my": ["i"], "n't": ["-"], "no": ["-"], "non": ["-"], "not": ["-"], "of": ["include", "have-manner"], "ok": ["okay"], "o.k.": ["okay"], "our": ["we"],
+    "people": ["person"], "similar": ["resemble"], "since": ["cause"], "should": ["recommend"], "so": ["infer", "cause"], "speech": ["speak"],
+    "statement": ["state"], "them": ["they"], "these": ["this"], "those": ["that"], "thought": ["think"], "thoughts": ["think"], "uni": ["university"],
+    "well": ["good"], "what": ["amr-unknown"], "who": ["amr-unknown"],
 }
 #: Words of negation, and what words that carry one look like.
 NEGATIONS = ("no", "not", "non", "nt", "n't")
@@ -51,7 +51,7 @@ def readings(word: str, lexicon: dict[str, list[str]] | None = None) -> list[str
     for ending, cut in (("ers", 3), ("er", 2)):
         found += [word[:-cut]] if low.endswith(ending) else []
     found += [word[2:]] if low.startswith(("in", "un", "ir")) else []
-    found += MEANINGS.get(low, "").split() + (lexicon or {}).get(word, [])
+    found += MEANINGS.get(low, []) + (lexicon or {}).get(word, [])
     return list(dict.fromkeys(found))
 
 

@@ -11,27 +11,38 @@ from graphloom.functions import align, penman
 SPANS = "sent_id long, span_id int, start int, stop int, node_ids array<string>, error string"
 
 
-def align_sentences(df: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+def align_sentences(df: DataFrame, lexicon: DataFrame | dict[str, list[str]] | None = None) -> DataFrame:
     """(sent_id, span_id, start, stop, node_ids, error): the spans that the rules find for each sentence.
 
-    ``df`` has sent_id, words and penman; ``lexicon`` maps words to their stems and is sent to the executors. A graph
-    that cannot be read gives one row with ``error``; a sentence without any span gives none.
+    ``df`` has sent_id, words and penman. ``lexicon`` has the stems of words: a table (surface, stem), of any size, or a
+    small dictionary; a sentence is joined with its own words' stems only. A graph that cannot be read gives one row
+    with ``error``; a sentence without any span gives none.
     """
-    shared = df.sparkSession.sparkContext.broadcast(lexicon or {})
+    df = df.select("sent_id", "words", "penman")
+    if lexicon is None:
+        df = df.withColumn("stems", F.lit(None).cast("array<struct<surface:string,stems:array<string>>>"))
+    else:
+        if isinstance(lexicon, dict):
+            table = df.sparkSession.createDataFrame(list(lexicon.items()), "surface string, stems array<string>")
+        else:
+            table = lexicon.groupBy("surface").agg(F.array_sort(F.collect_set("stem")).alias("stems"))
+        own = df.select("sent_id", F.explode(F.array_distinct("words")).alias("surface")).distinct().join(table, "surface")
+        df = df.join(own.groupBy("sent_id").agg(F.collect_list(F.struct("surface", "stems")).alias("stems")), "sent_id", "left")
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for sent, words, text in zip(pdf.sent_id, pdf.words, pdf.penman):
+            for sent, words, text, stems in zip(pdf.sent_id, pdf.words, pdf.penman, pdf.stems):
                 try:
-                    found = align.align(list(words) if words is not None else [], penman.read(text or ""), shared.value)
+                    known = {s["surface"]: list(s["stems"]) for s in (stems if stems is not None else ())}
+                    found = align.align(list(words) if words is not None else [], penman.read(text or ""), known)
                     rows += [(sent, k, s.start, s.stop, sorted(s.nodes), None) for k, s in enumerate(found)]
                 except penman.PenmanError as e:
                     rows.append((sent, None, None, None, None, str(e)))
             out = pd.DataFrame(rows, columns=["sent_id", "span_id", "start", "stop", "node_ids", "error"])
             yield out.astype({"span_id": "Int32", "start": "Int32", "stop": "Int32"})
 
-    return df.select("sent_id", "words", "penman").mapInPandas(run, SPANS)
+    return df.mapInPandas(run, SPANS)
 
 
 def alignment_lines(spans: DataFrame) -> DataFrame:

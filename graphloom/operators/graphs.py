@@ -75,25 +75,20 @@ def climb(nodes: DataFrame, join) -> DataFrame:
     """(sent_id, node, own): what ``join`` makes of the ``own`` values on the way from each node to its root.
 
     ``nodes`` has sent_id, node, up (null at a root) and own. Each round joins what is known of a way with what is
-    known of the rest of it, so a depth of n takes log n rounds of an equi-join by (sent_id, node). Nodes whose way
-    up ends at a missing node, or in a circle, have no row.
+    known of the rest of it, so a depth of n takes log n rounds of one equi-join by (sent_id, node), one table and
+    one count. Nodes whose way up ends at a missing node, or in a circle, have no row.
     """
-    done, open_ = nodes.where("up is null").select("sent_id", "node", "own"), cut(nodes.where("up is not null").select("sent_id", "node", "up", "own"))
-    done = cut(done)
-    left = open_.count()
+    now = cut(nodes.select("sent_id", "node", "up", "own"))
+    left = now.where("up is not null").count()
     while left:
-        ends = done.select("sent_id", F.col("node").alias("up"), F.col("own").alias("above"))
-        finished = open_.join(ends, ["sent_id", "up"]).select("sent_id", "node", join(F.col("above"), F.col("own")).alias("own"))
-        onward = open_.select("sent_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("own").alias("above"))
-        further = open_.join(onward, ["sent_id", "up"]).join(finished.select("sent_id", "node"), ["sent_id", "node"], "left_anti")
-        done = cut(done.unionByName(finished))
-        open_ = cut(further.select("sent_id", "node", F.col("next").alias("up"), join(F.col("above"), F.col("own")).alias("own")))
-        # What is left is fewer each round, unless it hangs on a circle.
-        now = open_.count()
-        if now == left and not open_.join(done.select("sent_id", F.col("node").alias("up")), ["sent_id", "up"], "left_semi").limit(1).count():
+        above = now.select("sent_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("own").alias("above"))
+        moved = now.where("up is not null").join(above, ["sent_id", "up"]).select("sent_id", "node", F.col("next").alias("up"), join(F.col("above"), F.col("own")).alias("own"))
+        now = cut(now.where("up is null").unionByName(moved))
+        # Each round ends the ways of up to twice the length; if it ends none, what is left hangs on circles.
+        before, left = left, now.where("up is not null").count()
+        if left == before:
             break
-        left = now
-    return done
+    return now.where("up is null").select("sent_id", "node", "own")
 
 
 def gorn_ids(roots: DataFrame, edges: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def test_more_labels_than_ten_thousand(spark):
 
 def test_relaxation_says_whether_limits_hold(spark):
     scored = {}
-    for r in inputs.edge_scores(spark, SF).collect():
+    for r in rowsonly.decoder_input(spark, SF).collect():
         scored.setdefault(r["sent_id"], []).append((r["src"], r["dst"], r["label"], r["score"]))
     want = []
     for sent, edges in scored.items():
