@@ -39,6 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def few(rows: int) -> int:
+    """Partitions for a table of so many short rows: a task for each 50,000, so that small tables do not become many files."""
+    return max(16, -(-rows // 50_000))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it was. Pure ASCII takes the fast path."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -8,6 +8,8 @@ texts that are not connected by it and share a bucket are the second. All links
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import simhash
-from graphloom.llm.common import cut, let_go
+from graphloom.llm.common import cut, few, let_go
 
 #: Share of the texts, by hash, from which the order of shingles is taken, and how many common shingles are put last.
 #: A share, since a shingle that is in a fixed sample twice is in ever more texts as the table grows.
@@ -23,6 +25,8 @@ ORDER_SHARE = 0.1
 COMMON = 100_000
 #: Up to so many texts to be compared are picked by a broadcast of their hashes; more are dealt out.
 PICKED = 500_000
+#: Pairs of a part in which they are compared on the texts, and the least side of the grid of parts.
+PART_PAIRS, LEAST_SIDE = 10_000, 8
 #: Cells of a text's sketch, a power of two.
 CELLS = 128
 #: Buckets up to this size are compared many at a time.
@@ -253,16 +257,33 @@ def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int) -
     a, b = ids.toDF("a", "of_a", "n_a", "sketch_a"), ids.toDF("b", "of_b", "n_b", "sketch_b")
     fit = F.expr("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
     pairs = cut(pairs.join(a, "a").join(b, "b").where(fit).mapInArrow(reachable, "a long, b long, of_a long, of_b long"))
-    wanted = cut(pairs.select(F.explode(F.array("of_a", "of_b")).alias("of")).distinct())
-    picked = F.broadcast(wanted) if wanted.count() <= PICKED else wanted
-    texts = cut(rows.select("of", "text").join(picked, "of", "left_semi").groupBy("of").agg(F.first("text").alias("text")))
-    full = pairs.join(texts.toDF("of_a", "text_a"), "of_a").join(texts.toDF("of_b", "text_b"), "of_b").select("a", "b", "text_a", "text_b")
+    n = pairs.count()  # one number
+    # A grid of parts: a text goes to the parts of its row or column that have pairs with it, once each, not once for each pair.
+    side = max(LEAST_SIDE, math.ceil(math.sqrt(n / PART_PAIRS)))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    pairs = pairs.select("a", "b", "of_a", "of_b", (place("of_a") * side + place("of_b")).cast("int").alias("part"))
+    needed = cut(pairs.select("part", F.col("of_a").alias("of")).union(pairs.select("part", F.col("of_b"))).distinct().coalesce(few(n)))
+    wanted = needed.select("of").distinct()
+    picked = F.broadcast(wanted) if 2 * n <= PICKED else wanted
+    texts = rows.select("of", "text").join(picked, "of", "left_semi").dropDuplicates(["of"])
+    none = F.lit(None).cast("long")
+    sent = needed.join(texts, "of").select("part", F.lit(0).alias("kind"), "of", "text", none.alias("a"), none.alias("b"), none.alias("of_b"))
+    asked = pairs.select("part", F.lit(1).alias("kind"), F.col("of_a").alias("of"), F.lit(None).cast("string").alias("text"), "a", "b", "of_b")
 
     def run(batches):
         let_go("nearcopies")
+        here, held = None, {}
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            kept = [similar(shingles(s, shingle), shingles(t, shingle)) for s, t in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64)[np.array(kept, bool)]) for v in (a, b)], names=["a", "b"])
-
-    return cut(full.mapInArrow(run, "a long, b long"))
+            part, kind, of, text, a, b, of_b = (c.to_pylist() for c in batch.columns)
+            kept: list[int] = []
+            for i in range(len(part)):
+                if part[i] != here:
+                    here, held = part[i], {}
+                if kind[i] == 0:
+                    held[of[i]] = shingles(text[i], shingle)
+                elif similar(held[of[i]], held[of_b[i]]):
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    met = sent.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
+    return cut(met.mapInArrow(run, "a long, b long").coalesce(few(n)))

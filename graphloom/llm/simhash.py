@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, without
+from graphloom.llm.common import cut, few, without
 
 SEED = 42
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -220,13 +220,15 @@ def components(links: DataFrame) -> DataFrame:
     Least labels of neighbours, then the label of the label, until nothing changes. Each round is written
     to the shared folder; only the number of changed labels comes to the driver.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).toDF("v", "u"))
-    labels = cut(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("label")))
+    links = cut(links.select("a", "b"))
+    parts = few(2 * links.count())  # one number
+    both = links.union(links.select("b", "a")).toDF("v", "u").coalesce(parts)
+    labels = cut(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("label")).coalesce(parts))
     while True:
         seen = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("m"))
         new = labels.join(seen, "v").select("v", F.col("label").alias("was"), F.least("label", "m").alias("now"))
         onward = labels.select(F.col("v").alias("now"), F.col("label").alias("next"))
-        new = cut(new.join(onward, "now", "left").select("v", "was", F.least("now", "next").alias("label")))
+        new = cut(new.join(onward, "now", "left").select("v", "was", F.least("now", "next").alias("label")).coalesce(parts))
         if new.where("was != label").limit(1).count() == 0:
             return new.select(F.col("v").alias("node"), "label")
         labels = new.select("v", "label")
