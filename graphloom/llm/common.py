@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import unicodedata
@@ -93,8 +94,17 @@ REMEMBERING = ("bpe", "langid", "nearcopies")
 
 
 def let_go(but: str) -> None:
-    """Makes this worker forget what operators other than ``but`` remember: workers outlive a stage, and would hold all of it."""
+    """Makes this worker forget what operators other than ``but`` remember: workers outlive a stage, and would hold all of it.
+
+    What is freed goes back to the system where the C library can be told to.
+    """
+    forgot = False
     for name in REMEMBERING:
         module = sys.modules.get(f"graphloom.llm.{name}")
         if module is not None and name != but:
             module.forget()
+            forgot = True
+    if forgot and sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

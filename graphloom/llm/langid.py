@@ -92,6 +92,7 @@ def count_grams(df: DataFrame, text: Column, lang: Column, order: int = ORDER) -
     """(lang, gram, n) over whole texts. Tasks add up what they read before anything is sent."""
 
     def run(batches):
+        let_go("langid")
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def out():
@@ -280,6 +281,7 @@ def calibrate(model: Model, rows: DataFrame) -> dict[str, tuple[float, float]]:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        let_go("langid")
         names = list(shared.value.levels)
         place = {n: i for i, n in enumerate(names)}
         for batch in batches:
