@@ -21,6 +21,9 @@ EDGE: dict[str, Callable] = {}
 ROOT: dict[str, Callable] = {}
 #: Features that see, and leave for all that follow, tags with verbs and nouns (v2: more) made alike.
 COARSE = {"distance", "logDistance", "posPathv1", "posPathv2", "posPathv3", "dependencyPathv3", "dependencyPathv4", "dependencyPathv5"}
+#: Features that do not look at the way between two nodes: it is not searched for if no other is asked for.
+PATHLESS = {"CostAugEdge", "DDEdgeId", "LRLabelWithId", "bias", "biasScaled", "edgeCount", "biasCSuf", "typeBias", "self", "fragHead", "conceptBigram", "conceptUnigramWithLabel", "srl"}
+WAY = "struct<size:int,w1:int,w2:int,up:array<int>,down:array<int>>"
 #: Longest path, counting its highest word twice, that is spelt out.
 NEAR, FAR = 4, 6
 ITEM = "array<struct<feature:string,u:double,c:double,labels:string>>"
@@ -340,7 +343,8 @@ def edge_features(sentences: DataFrame, names) -> DataFrame:
     chosen, rows = known(names, EDGE), prepared(sentences, names)
 
     def of_pair(a, b):
-        p = F.struct(a.alias("a"), b.alias("b"), shortest(F.col("__paths"), a, b).alias("way"))
+        way = F.lit(None).cast(WAY) if set(chosen) <= PATHLESS else shortest(F.col("__paths"), a, b)
+        p = F.struct(a.alias("a"), b.alias("b"), way.alias("way"))
         found = let(p, lambda p: F.concat(F.array().cast(ITEM), *(EDGE[n](Pair(p)) for n in chosen)))
         return F.transform(found, lambda f: F.struct(a["id"].alias("src"), b["id"].alias("dst"), f["feature"].alias("feature"), f["u"].alias("u"), f["c"].alias("c"), f["labels"].alias("labels")))
 
