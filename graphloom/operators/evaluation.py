@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +82,8 @@ def span_differences(found: DataFrame, gold: DataFrame) -> DataFrame:
     return wrong.unionByName(g.join(f, [*keys, "frag"], "left_anti").select("sent_id", F.lit("missing").alias("kind"), "start", "stop", "frag"))
 
 
+#: Pairs of texts that a task remembers: bounds memory, bears on time alone.
+REMEMBERED = 4096
 REPORT = "pair_id long, match long, test long, gold long, mapping array<struct<a:string,b:string>>, report array<struct<side:string,kind:string,text:string>>, error string"
 
 
@@ -88,18 +92,21 @@ def overlap_report(pairs: DataFrame, restarts: int = 4) -> DataFrame:
 
     ``mapping`` has each node of a and the node of b that it is mapped to, or null; pairs that match nothing are taken
     out. ``report`` lists mapped nodes of other concepts, what is only in a (incorrect) and what is only in b (missing).
+    A task remembers what the last texts gave, and equal ones are not compared again.
     """
 
     def run(batches):
+        @lru_cache(REMEMBERED)
+        def told(a, b):
+            try:
+                x, y = (edgedecode.triples_of(penman.read(t or "", gorn=False)) for t in (a, b))
+                match, test, gold, mapping = edgedecode.best_mapping(x, y, restarts)
+                return match, test, gold, list(mapping.items()), edgedecode.differences(x, y, mapping), None
+            except penman.PenmanError as e:
+                return None, None, None, None, None, str(e)
+
         for pdf in batches:
-            rows = []
-            for pair, a, b in zip(pdf.pair_id, pdf.a, pdf.b):
-                try:
-                    x, y = (edgedecode.triples_of(penman.read(t or "", gorn=False)) for t in (a, b))
-                    match, test, gold, mapping = edgedecode.best_mapping(x, y, restarts)
-                    rows.append((pair, match, test, gold, list(mapping.items()), edgedecode.differences(x, y, mapping), None))
-                except penman.PenmanError as e:
-                    rows.append((pair, None, None, None, None, None, str(e)))
+            rows = [(pair, *told(a, b)) for pair, a, b in zip(pdf.pair_id, pdf.a, pdf.b)]
             yield pd.DataFrame(rows, columns=["pair_id", "match", "test", "gold", "mapping", "report", "error"]).astype({"match": "Int64", "test": "Int64", "gold": "Int64"})
 
     return pairs.select("pair_id", "a", "b").mapInPandas(run, REPORT)
