@@ -2,7 +2,10 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 from graphloom.functions import edgedecode, penman
+from graphloom.operators import edgefeatures
 from graphloom.plans import rowsonly
 from tests.test_relational import DATA
 
@@ -25,3 +28,27 @@ def test_overlap_of_long_chains():
 
 def test_pairs_of_orders_share_one_exchange(spark):
     assert exchanges(rowsonly.smatch_pairs(spark, DATA)) == 1
+
+
+def test_ways_by_shape(spark):
+    """The ways told by a sentence's shape are those that are searched in its row, also where heads are broken or missing;
+    equal shapes are searched once."""
+    heads = [[-1, 0, 0, 1, 3], [1, -1, 9, 2, 4], [-1, None, 1, 0, 2], [-1, 0, 5, 5, -3], None]
+    nodes = [("a", 0, 2), ("b", 1, 3), ("c", 3, 5), ("d", 4, 6)]
+    df = spark.createDataFrame([(k, h, nodes) for k, h in enumerate(heads)], "k int, heads array<int>, nodes array<struct<id:string,start:int,stop:int>>")
+    df = df.withColumn("__paths", edgefeatures.root_paths(F.col("heads")))
+    fields = ("size", "w1", "w2", "up", "down")
+    searched = F.transform("nodes", lambda a: F.transform(F.filter("nodes", lambda b: b["id"] != a["id"]), lambda b: edgefeatures.shortest(F.col("__paths"), a, b)))
+    told = F.transform(edgefeatures.ways_by_shape(F.col("heads"), F.col("nodes")), lambda w: F.struct(*(w[x].alias(x) for x in fields)))
+    for r in df.select(F.flatten(searched).alias("searched"), told.alias("told")).collect():
+        assert r["searched"] == r["told"] and len(r["told"]) == 12
+    edgefeatures.remembered.cache_clear()
+    for _ in range(50):
+        edgefeatures.remembered(((-1, 0), (0, 1), (1, 2)))
+    assert edgefeatures.remembered.cache_info().misses == 1
+
+
+def test_texts_are_made_once_a_pair():
+    """What several features ask of a pair is a column of it: names of features do not spell it out again."""
+    assert edgefeatures.asked(["dependencyPathv3", "dependencyPathv4", "posPathv1"]) == ["spelt3", "between", "context", "path3", "grams"]
+    assert edgefeatures.asked(["bias"]) == []
