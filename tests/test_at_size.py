@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import edgedecode, penman
 from graphloom.operators import edgefeatures
-from graphloom.plans import rowsonly
+from graphloom.plans import rowsonly, taught
 from tests.test_relational import DATA
 
 
@@ -52,3 +52,9 @@ def test_texts_are_made_once_a_pair():
     """What several features ask of a pair is a column of it: names of features do not spell it out again."""
     assert edgefeatures.asked(["dependencyPathv3", "dependencyPathv4", "posPathv1"]) == ["spelt3", "between", "context", "path3", "grams"]
     assert edgefeatures.asked(["bias"]) == []
+
+
+def test_fragments_are_cut_out_before_the_table_is_put_together(spark):
+    """The table is joined from counts that were taken once, not from fragments cut out anew for each of its features."""
+    plan = taught.extracted_table(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan
