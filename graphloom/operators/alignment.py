@@ -18,31 +18,50 @@ def align_sentences(df: DataFrame, lexicon: DataFrame | dict[str, list[str]] | N
     small dictionary; a sentence is joined with its own words' stems only. A graph that cannot be read gives one row
     with ``error``; a sentence without any span gives none.
     """
+    run = aligner(lexicon, lambda sent, found: [(sent, k, s.start, s.stop, sorted(s.nodes), None) for k, s in enumerate(found)], lambda sent, e: [(sent, None, None, None, None, str(e))])
+
+    def typed(batches):
+        for out in run(batches):
+            yield pd.DataFrame(out, columns=["sent_id", "span_id", "start", "stop", "node_ids", "error"]).astype({"span_id": "Int32", "start": "Int32", "stop": "Int32"})
+
+    return with_stems(df, lexicon).mapInPandas(typed, SPANS)
+
+
+def aligned_lines(df: DataFrame, lexicon: DataFrame | dict[str, list[str]] | None = None) -> DataFrame:
+    """``alignment_lines`` of what ``align_sentences`` finds, for sentences that are told apart by their ids: a line is written
+    where its sentence is aligned, and no spans are dealt out."""
+    run = aligner(lexicon, lambda sent, found: [(sent, align.show(found))] if found else [], lambda sent, e: [])
+    return with_stems(df, lexicon).mapInPandas(lambda batches: (pd.DataFrame(out, columns=["sent_id", "alignments"]) for out in run(batches)), "sent_id long, alignments string")
+
+
+def with_stems(df: DataFrame, lexicon) -> DataFrame:
+    """The sentences, each with the stems of its own words if ``lexicon`` is a table; a small dictionary goes with the work."""
     df = df.select("sent_id", "words", "penman")
-    if lexicon is None:
+    if lexicon is None or isinstance(lexicon, dict):
         df = df.withColumn("stems", F.lit(None).cast("array<struct<surface:string,stems:array<string>>>"))
     else:
-        if isinstance(lexicon, dict):
-            table = df.sparkSession.createDataFrame(list(lexicon.items()), "surface string, stems array<string>")
-        else:
-            table = lexicon.groupBy("surface").agg(F.array_sort(F.collect_set("stem")).alias("stems"))
+        table = lexicon.groupBy("surface").agg(F.array_sort(F.collect_set("stem")).alias("stems"))
         own = df.select("sent_id", F.explode(F.array_distinct("words")).alias("surface")).distinct().join(table, "surface")
         df = df.join(own.groupBy("sent_id").agg(F.collect_list(F.struct("surface", "stems")).alias("stems")), "sent_id", "left")
+    return df
+
+
+def aligner(lexicon, told, failed):
+    """A function over batches of sentences that lists what ``told`` makes of a sentence's spans, or ``failed`` of an error."""
+    small = lexicon if isinstance(lexicon, dict) else None
 
     def run(batches):
         for pdf in batches:
             rows = []
             for sent, words, text, stems in zip(pdf.sent_id, pdf.words, pdf.penman, pdf.stems):
                 try:
-                    known = {s["surface"]: list(s["stems"]) for s in (stems if stems is not None else ())}
-                    found = align.align(list(words) if words is not None else [], penman.read(text or ""), known)
-                    rows += [(sent, k, s.start, s.stop, sorted(s.nodes), None) for k, s in enumerate(found)]
+                    known = small if small is not None else {s["surface"]: list(s["stems"]) for s in (stems if stems is not None else ())}
+                    rows += told(sent, align.align(list(words) if words is not None else [], penman.read(text or ""), known))
                 except penman.PenmanError as e:
-                    rows.append((sent, None, None, None, None, str(e)))
-            out = pd.DataFrame(rows, columns=["sent_id", "span_id", "start", "stop", "node_ids", "error"])
-            yield out.astype({"span_id": "Int32", "start": "Int32", "stop": "Int32"})
+                    rows += failed(sent, e)
+            yield rows
 
-    return df.mapInPandas(run, SPANS)
+    return run
 
 
 def alignment_lines(spans: DataFrame) -> DataFrame:

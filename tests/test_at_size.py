@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from graphloom.functions import edgedecode, penman
+from graphloom.functions import align, edgedecode, penman
 from graphloom.operators import edgefeatures
 from graphloom.plans import rowsonly, taught
 from tests.test_relational import DATA
@@ -58,3 +58,16 @@ def test_fragments_are_cut_out_before_the_table_is_put_together(spark):
     """The table is joined from counts that were taken once, not from fragments cut out anew for each of its features."""
     plan = taught.extracted_table(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+def test_lines_are_written_where_sentences_are(spark):
+    """An order's graph and words come from one grouping, and no spans are dealt out."""
+    assert exchanges(rowsonly.aligned_orders(spark, DATA)) == 1
+
+
+def test_rules_look_once_at_a_concept():
+    """Concepts that were seen are not matched again: 400 nodes of a few concepts took a match for each rule and node."""
+    graph = penman.read("(o / order" + "".join(f" :item (p{k} / part-{k % 7} :flag a)" for k in range(200)) + ")")
+    align.applies.cache_clear(), align.looks.cache_clear()
+    align.align(["The", "order"] + ["part", "a"] * 200, graph)
+    assert align.applies.cache_info().misses < 100 and align.looks.cache_info().misses < 300
