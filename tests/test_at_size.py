@@ -71,3 +71,12 @@ def test_rules_look_once_at_a_concept():
     align.applies.cache_clear(), align.looks.cache_clear()
     align.align(["The", "order"] + ["part", "a"] * 200, graph)
     assert align.applies.cache_info().misses < 100 and align.looks.cache_info().misses < 300
+
+
+def test_edges_of_orders_are_dealt_out_once(spark):
+    """The decoders' edges, gathered beside the lines, are those of the joined table."""
+    df = rowsonly.order_edges(spark, DATA)
+    assert exchanges(df) == 1
+    told = sorted((r["sent_id"], tuple(map(tuple, r["edges"]))) for r in df.collect())
+    joined = rowsonly.decoder_input(spark, DATA).groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "label", "score"))).alias("edges"))
+    assert told == sorted((r["sent_id"], tuple(map(tuple, r["edges"]))) for r in joined.collect())
