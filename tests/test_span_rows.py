@@ -1,11 +1,15 @@
 """Covers in the sentence's row are those of the tables."""
 
 import random
+import re
 
 import pyarrow as pa
+import pytest
 
 from graphloom.functions import spans
 from graphloom.operators import decoding
+from graphloom.plans import queries
+from tests.test_relational import DATA
 
 FEATURE = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64())]))
 
@@ -23,6 +27,14 @@ def test_cover_in_a_row_and_over_tables(spark):
     table = spark.createDataFrame([(i, *c[:3], score(c)) for i, cs in enumerate(sents) for c in cs], "sent_id long, start int, stop int, frag string, score double")
     want = sorted(map(tuple, decoding.cover(decoding.chart(table)).collect()))
     assert sorted((i, *sents[i][x["k"]][:3], x["score"]) for i, xs in enumerate(got) for x in xs) == want
+    assert sorted(map(tuple, decoding.best_spans(table).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["parse_cover", "chart_decode"])
+def test_one_exchange_of_candidates(name, spark):
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    keys = [k for k in re.findall(r"hashpartitioning\(([^)]*), [0-9]+\)", plan) if "sent_id" in k]
+    assert len(keys) == 1 and "stop" not in keys[0], keys
 
 
 def test_gold_and_matches_in_a_row():
